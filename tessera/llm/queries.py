@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, pii, simhash, warc
+from tessera.llm import packing, pii, simhash, substrings, warc
 from tessera.llm.common import table
 
 OP9_SQL = """
@@ -20,6 +20,11 @@ FROM q
 """
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.substring_dedup(table(spark, sf_dir, "documents"), window=35)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, width=3, seed=42)
     return out.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"), "component_id")
