@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, pii, simhash, substrings, warc
+from tessera.llm import packing, pii, simhash, substrings, toxicity, warc
 from tessera.llm.common import table
 
 OP9_SQL = """
@@ -30,6 +30,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(toxicity.fold() != 1))
+    out = toxicity.scores(docs.select("doc_id", "text"), model).drop("text")
+    return out.select(
+        "doc_id",
+        F.coalesce(toxicity.fold() == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
