@@ -12,6 +12,8 @@ executor places its own pieces.
 from __future__ import annotations
 
 import bisect
+import itertools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,13 +32,18 @@ CLASSES = 128
 ROUNDS = 240
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 700_000
+#: Bytes of text whose words are looked up together.
+GROUP_BYTES = 2 << 20
+#: Marks that end a word, each its own run after letters.
+MARKS = b".,!?;:%#*$&"
 
 
 class WordIds:
     """Ids of whole texts, from remembered ids of their words.
 
-    Sound for tokenizers that drop white space and never join across it: a text's ids
-    are then those of its white-space separated words in turn.
+    Sound for tokenizers that lower-case, drop white space and never join across it, nor
+    join letters to marks: a text's ids are then those of its white-space separated words
+    in turn, and a word's those of its letters and of the marks that end it.
     """
 
     def __init__(self, path: str):
@@ -44,32 +51,74 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.known: dict[bytes, bytes] = {}
+        self.letters: dict[bytes, bytes] = {}
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([x.decode() for x in words], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+
+    def _encode_letters(self, words: list[bytes]) -> list[bytes]:
+        """Words of letters only, each a single run: encoded together and cut where one ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words) or cuts[-1] != len(ids):  # some word wasn't a single run after all
+            return self._encode(words)
+        raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > CACHE_WORDS:
             self.known.clear()
-        new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        if len(self.letters) + len(words) > CACHE_WORDS:
+            self.letters.clear()
+        parts, other = {}, []
+        for w in words:
+            core = w.lower().rstrip(MARKS)
+            if core and core.decode().isalpha():
+                parts[w] = core
+            else:
+                other.append(w)
+        for keep, new, encode in (
+            (self.letters, list({c for c in parts.values() if c not in self.letters}), self._encode_letters),
+            (self.known, other, self._encode),
+        ):
+            for at in range(0, len(new), 4000):
+                keep.update(zip(new[at : at + 4000], encode(new[at : at + 4000]), strict=True))
+        for w, core in parts.items():
+            marks = w[len(core) :]
+            if marks and marks not in self.known:
+                self.known[marks] = self._encode([marks])[0]
+            self.known[w] = self.letters[core] + (self.known[marks] if marks else b"")
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        for text in texts:
-            words = text.split()
-            try:
-                yield b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                for at in range(0, len(words), CACHE_WORDS // 4):
-                    self.learn({w for w in words[at : at + CACHE_WORDS // 4] if w not in self.known})
-                try:
-                    yield b"".join(map(self.known.__getitem__, words))
-                except KeyError:  # more distinct words than are remembered
-                    yield b"".join(
-                        np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words
-                    )
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP_BYTES):
+                size += len(texts[end])
+                end += 1
+            split = [t.split() for t in texts[at:end]]
+            at = end
+            words = set(itertools.chain.from_iterable(split))
+            if len(words) > CACHE_WORDS // 2:  # one text with more distinct words than are remembered
+                for own in split:
+                    yield b"".join(x for i in range(0, len(own), 4000) for x in self._encode(own[i : i + 4000]))
+                continue
+            new = words.difference(self.known)
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.known.clear()
+                new = words
+            if new:
+                self.learn(new)
+            known = self.known.__getitem__
+            for own in split:
+                yield b"".join(map(known, own))
 
 
 _OPEN: dict[str, WordIds] = {}
