@@ -143,7 +143,7 @@ class Lexicon:
 
 FEATURES = ("bias", "right", "misspelled", "quoted", "reported", "addressed", "kinds", "dense")
 #: Prior means and precisions of the weights: what they are where labels say nothing.
-_MEAN = np.array([-4.0, 2.5, 1.5, -2.0, -1.0, 0.5, 0.8, 0.3])
+_MEAN = np.array([-4.0, 4.0, 2.0, -2.0, -1.0, 0.5, 2.0, 0.3])
 _PRECISION = np.array([0.05, 0.3, 1.0, 1.0, 1.0, 1.0, 0.5, 1.0])
 
 
