@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, pii, simhash, substrings, toxicity, warc
+from tessera.llm import packing, pii, simhash, substrings, toxicity, vectors, warc
 from tessera.llm.common import table
 
 OP9_SQL = """
@@ -46,6 +46,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.one_bit_search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op8_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.kd_search(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256.0)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
