@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, pieces, pii, simhash, substrings, toxicity, vectors, warc
+from tessera.llm import licences, packing, pieces, pii, simhash, substrings, toxicity, vectors, warc
 from tessera.llm.common import table
 
 OP9_SQL = """
@@ -30,6 +30,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def licence_paths(docs: DataFrame) -> DataFrame:
+    """Documents as files: by source and thousands of ids, every fiftieth a licence file."""
+    block = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"))
+    name = F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    return docs.select("doc_id", F.concat_ws("/", block, name).alias("path"), "text")
+
+
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(licence_paths(table(spark, sf_dir, "documents")))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(toxicity.fold() != 1))
