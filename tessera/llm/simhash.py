@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.common import as_long, components, forest, small_batches, splittable, text_bytes, written
 
@@ -161,6 +162,37 @@ def links(fps: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -> DataFr
     )
 
 
+def _roots(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, root): each fingerprint, its least id and its component's least fingerprint."""
+    classes = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+    roots = components(links(classes.select("fp"), radius))
+    return classes.join(splittable(roots), classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, seed: int = 42) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id, then text.
+
+    Null ids come last. Fingerprints and links are those of ``near_duplicates``.
+    """
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    columns = docs.columns
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t, width, seed) for t in text_bytes(b.column(at))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(as_long(fps))], [*columns, "_fp"])
+
+    marked = docs.mapInArrow(each, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+    order = F.struct(F.col(id_col).isNull(), id_col, text_col)
+    whole = F.struct(*(F.col(f"`{c}`") for c in columns))
+    firsts = written(marked.groupBy("_fp").agg(F.min_by(whole, order).alias("row")), "firsts")
+    fps = firsts.select(F.col("_fp").alias("fp"), F.col("row")[id_col].cast("long").alias("id"))
+    roots = written(_roots(fps, radius).select("fp", "root"), "roots")
+    own = firsts.join(splittable(roots), firsts["_fp"] == roots["fp"]).select("root", "row.*")
+    return own.groupBy("root").agg(F.min_by(whole, order).alias("row")).select("row.*")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, seed: int = 42
 ) -> DataFrame:
@@ -173,11 +205,7 @@ def near_duplicates(
     An empty table gives an empty one; extra columns are ignored.
     """
     fps = written(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    roots = components(links(classes.select("fp"), radius))
-    classes = classes.join(splittable(roots), classes.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    classes = _roots(fps, radius)
     whole = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(classes.join(splittable(whole), "root").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("id", "fp", "component_id")

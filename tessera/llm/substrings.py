@@ -372,6 +372,36 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     return marked.mapInArrow(lambda it: _apply(it, window), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
+def without_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated passages cut from ``text_col``; all rows and columns stay.
+
+    As ``substring_dedup``; texts that lose nothing, nulls included, stay as they were.
+    """
+    small_batches(docs.sparkSession)
+    keyed = _keyed(docs, id_col, text_col)
+    ranges = repeated(keyed, window)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    own = docs.withColumns({"_k": F.xxhash64(text), "_size": F.octet_length(text)})
+    marked = own.join(splittable(ranges.toDF("_k", "_size", "_ranges")), ["_k", "_size"], "left")
+    marked = marked.select(*(F.col(f"`{c}`") for c in docs.columns), "_ranges")
+    at = docs.columns.index(text_col)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for raw, ranges in zip(b.column(at).to_pylist(), b.column(len(docs_columns)).to_pylist(), strict=True):
+                if raw and ranges:
+                    words = raw.encode().split()
+                    raw = b" ".join(kept_words(words, [(x["first"], x["n"]) for x in ranges], window)).decode()
+                texts.append(raw)
+            columns = list(b.columns[: len(docs_columns)])
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, docs_columns)
+
+    docs_columns = docs.columns
+    return marked.mapInArrow(each, docs.schema)
+
+
 def _apply(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, gone, sha, kept = [], [], [], []
