@@ -413,6 +413,89 @@ def retraction(spark, sf):
     return without(own, own.where("vs = 'region:1'")).select("of")
 
 
+# --- writes, versions, standing queries
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey BETWEEN 1 AND 5 THEN 'VIP' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey NOT IN (6, 7)")
+def transaction_view(spark, sf):
+    """Replacements and retractions of a batch, seen before any commit."""
+    from tessera.store import Changes, applied
+
+    own = select(narrow(spark, sf), the="customer/mktsegment")
+    old = {r["of"]: r["vs"] for r in own.where(F.col("of").isin("customer:6", "customer:7")).collect()}
+    batch = Changes()
+    for i in range(1, 6):
+        batch.replace("customer/mktsegment", f"customer:{i}", "VIP")
+    for of, v in old.items():
+        batch.retract("customer/mktsegment", of, v)
+    out = applied(own, batch.frame(spark))
+    return out.select(F.substring_index("of", ":", -1).cast("long").alias("k"), F.col("vs").alias("v"))
+
+
+@query("SELECT c_mktsegment AS k, sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) - sum(CASE WHEN c_acctbal > 5000 THEN 1 ELSE 0 END) AS weight FROM customer GROUP BY 1")
+def zset_difference(spark, sf):
+    from tessera.operators import zset
+
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_mktsegment").alias("k"), "c_acctbal")
+    return zset.difference(*(zset.of(c.where(F.col("c_acctbal") > x).select("k")) for x in (0, 5000)))
+
+
+@query("SELECT 'nation:' || n_nationkey AS this, n_name AS name, 'asserted' AS how FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'retracted' FROM nation WHERE n_regionkey = 2")
+def subscription_delta(spark, sf):
+    """What a standing query gains and loses when facts come and go."""
+    from tessera.streaming.subscription import Subscription
+
+    own = select(narrow(spark, sf), the_prefix="nation/")
+    region = own.where("the = 'nation/regionkey'").select("of", F.col("vs").alias("r"))
+    part = lambda *rs: own.join(region.where(F.col("r").isin(*rs)), "of", "left_semi").select(own.columns)
+    state = {"df": part("region:0", "region:2")}
+    sub = Subscription(spark, lambda: state["df"], C(name="nation/name:Text"))
+    sub.poll()
+    state["df"] = part("region:0", "region:1")
+    d = sub.poll()
+    return d.asserted.withColumn("how", F.lit("asserted")).unionByName(d.retracted.withColumn("how", F.lit("retracted")))
+
+
+@query("SELECT 'customer' AS source, count(*) AS n, count(DISTINCT c_name) AS names, round(sum(c_acctbal), 2) AS total FROM customer")
+def csv_round_trip(spark, sf):
+    """Facts written as CSV and read again."""
+    import uuid
+
+    from tessera.plans.compile import ensure_checkpoints
+    from tessera.sources import csv
+
+    ensure_checkpoints(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/csv-{uuid.uuid4().hex}"
+    csv.write_facts(select(narrow(spark, sf), domain="customer"), at)
+    own = csv.read_facts(spark, at)
+    names, money = own.where("the = 'customer/name'"), own.where("the = 'customer/acctbal'")
+    counted = names.agg(F.count("*").alias("n"), F.countDistinct("vs").alias("names"))
+    return counted.join(money.agg(F.round(F.sum("vf"), 2).alias("total"))).select(F.lit("customer").alias("source"), "n", "names", "total")
+
+
+@query("SELECT o_custkey AS k, max(o_orderkey) AS last FROM orders GROUP BY 1")
+def transaction_log_replay(spark, sf):
+    """Orders as a log of writes to their customer: the last one stands."""
+    from tessera.model import TAGS
+    from tessera.sources import csv
+
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    none = {c: F.lit(None).cast(t) for c, t in (("vs", "string"), ("vf", "double"), ("vb", "binary"), ("vbool", "boolean"))}
+    log = o.select(F.col("o_orderkey").alias("txn"), F.lit("customer/last").alias("the"), F.concat(F.lit("customer:"), "o_custkey").alias("of"), F.lit(TAGS["UnsignedInteger"]).cast("byte").alias("vt"), F.col("o_orderkey").cast("decimal(38,0)").alias("vn"), *(c.alias(n) for n, c in none.items()))
+    return csv.replayed(log).select(F.substring_index("of", ":", -1).cast("long").alias("k"), F.col("vn").cast("long").alias("last"))
+
+
+@query("WITH RECURSIVE r AS (SELECT n_nationkey AS id, n_nationkey // 2 AS p FROM nation WHERE n_nationkey > 0), a AS (SELECT id AS x, id AS y FROM r UNION SELECT a.x, r.p FROM a JOIN r ON a.y = r.id WHERE r.p > 0) SELECT CAST(x AS VARCHAR) AS this, CAST(y AS VARCHAR) AS ancestor FROM a")
+def revision_ancestry(spark, sf):
+    """A version tree on the nations' keys, each revision's parent half its number."""
+    from tessera.history import ancestors
+
+    n = spark.read.parquet(f"{sf}/nation.parquet").where("n_nationkey > 0")
+    half = F.floor(F.col("n_nationkey") / 2).cast("string")
+    revs = n.select(F.col("n_nationkey").cast("string").alias("id"), F.lit("main").alias("origin"), F.col("n_nationkey").cast("long").alias("edition"), F.when(F.col("n_nationkey") > 1, F.array(half)).otherwise(F.array().cast("array<string>")).alias("parents"))
+    return ancestors(revs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, (f, _) in QUERIES.items()}
 

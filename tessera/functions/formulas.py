@@ -122,9 +122,9 @@ def _like(c, kinds, constants):
 def float_text(x: Column) -> Column:
     """Shortest digits without an exponent; whole floats without a point."""
     s = x.cast("string")
-    whole = s.cast(INT).cast("string")
-    broken = F.regexp_replace(F.regexp_replace(s.cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", "")
-    plain = F.when(s.contains("E"), F.when(x == F.floor(x), whole).otherwise(broken)).otherwise(F.regexp_replace(s, r"\.0$", ""))
+    whole = s.try_cast(INT).cast("string")
+    broken = F.regexp_replace(F.regexp_replace(s.try_cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", "")
+    plain = F.when(s.contains("E"), F.when(x == F.rint(x), whole).otherwise(broken)).otherwise(F.regexp_replace(s, r"\.0$", ""))
     return F.when(F.isnan(x), "NaN").when(s == "Infinity", "inf").when(s == "-Infinity", "-inf").when(s == "-0.0", "-0").otherwise(F.coalesce(plain, s))
 
 
