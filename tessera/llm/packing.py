@@ -30,6 +30,9 @@ from tessera.llm.common import small_batches, splittable, text_bytes, written
 #: Classes that lengths are rounded up to in the program, and its rounds.
 CLASSES = 128
 ROUNDS = 240
+#: Roundings tried: how full a mix must be, and the share of it that is taken.
+FULL = (0.9, 0.99)
+SHARES = (0.9, 0.5, 0.2, 0.05)
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 700_000
 #: Bytes of text whose words are looked up together.
@@ -225,53 +228,64 @@ class Group:
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[Group]:
-    """Groups of sequences that hold every piece of ``histogram`` (length to number)."""
+    """Groups of sequences that hold every piece of ``histogram`` (length to number).
+
+    The fractional solution is rounded down at several levels, each of which takes a share
+    of every mix that is full enough and leaves the rest to best fit; the one with the
+    fewest sequences stands.
+    """
     left = {k: v for k, v in histogram.items() if v > 0}
-    groups: list[Group] = []
+    whole: list[Group] = []
     if left.pop(capacity, 0):
-        groups.append(Group(histogram[capacity], {capacity: 1}))
-    if left:
-        lengths = np.array(sorted(left))
-        counts = np.array([left[x] for x in lengths.tolist()])
-        # Linear grouping: classes of about equal counts, rounded up to their longest.
-        cls = np.minimum((np.cumsum(counts) - counts) * CLASSES // counts.sum(), CLASSES - 1)
-        ids = np.unique(cls)
-        sizes = np.array([lengths[cls == c].max() for c in ids])
-        need = np.array([counts[cls == c].sum() for c in ids])
-        queues = [[[int(x), left[int(x)]] for x in lengths[cls == c][::-1]] for c in ids]
-        for mix, x in sorted(configurations(sizes, need, capacity), key=lambda p: -p[1]):
-            room = min((sum(n for _, n in queues[k]) // int(mix[k]) for k in np.flatnonzero(mix)), default=0)
-            todo = min(int(x), room)
-            slots = [int(k) for k in np.flatnonzero(mix) for _ in range(int(mix[k]))]
-            while todo:
-                # The longest left of each class; as many alike sequences as they last.
-                wants: dict[int, int] = {}
-                for k in slots:
-                    wants[k] = wants.get(k, 0) + 1
-                held: dict[int, int] = {}
-                times = todo
-                for k, n in wants.items():
-                    q = queues[k]
-                    if q[0][1] >= n:
-                        take = {q[0][0]: n}
-                    else:
-                        take, short = {}, n
-                        for length, has in q:
-                            take[length] = min(has, short)
-                            short -= take[length]
-                            if not short:
-                                break
-                    for length, m in take.items():
-                        held[length] = held.get(length, 0) + m
-                        times = min(times, next(has for y, has in q if y == length) // m)
-                for k in wants:
-                    for entry in queues[k]:
-                        entry[1] -= times * held.get(entry[0], 0)
-                    queues[k] = [e for e in queues[k] if e[1]]
-                groups.append(Group(times, held))
-                todo -= times
-        left = {length: n for q in queues for length, n in q}
-    return best_fit(groups, left, capacity)
+        whole.append(Group(histogram[capacity], {capacity: 1}))
+    if not left:
+        return whole
+    lengths = np.array(sorted(left))
+    counts = np.array([left[x] for x in lengths.tolist()])
+    # Linear grouping: classes of about equal counts, rounded up to their longest.
+    cls = np.minimum((np.cumsum(counts) - counts) * CLASSES // counts.sum(), CLASSES - 1)
+    ids = np.unique(cls)
+    sizes = np.array([lengths[cls == c].max() for c in ids])
+    need = np.array([counts[cls == c].sum() for c in ids])
+    members = [[(int(x), left[int(x)]) for x in lengths[cls == c][::-1]] for c in ids]
+    mixes = sorted(configurations(sizes, need, capacity), key=lambda p: (-int(p[0] @ sizes), -p[1]))
+    best: list[Group] | None = None
+    for full in FULL:
+        own = [(mix, x) for mix, x in mixes if int(mix @ sizes) >= full * capacity]
+        for share in SHARES:
+            groups, rest = _rounded([(mix, x * share) for mix, x in own], members)
+            groups = best_fit(groups, rest, capacity)
+            if best is None or sum(g.count for g in groups) < sum(g.count for g in best):
+                best = groups
+    return whole + best
+
+
+def _rounded(mixes: list[tuple[np.ndarray, float]], members: list[list[tuple[int, int]]]) -> tuple[list[Group], dict[int, int]]:
+    """Whole numbers of sequences of each mix, filled with the classes' longest pieces; what is left."""
+    queues = [[[length, n] for length, n in m] for m in members]
+    groups: list[Group] = []
+    for mix, x in mixes:
+        wants = {int(k): int(mix[k]) for k in np.flatnonzero(mix)}
+        todo = min(int(x), *(sum(n for _, n in queues[k]) // m for k, m in wants.items()))
+        while todo:
+            # As many alike sequences as the longest of each class last.
+            held: dict[int, int] = {}
+            times = todo
+            for k, n in wants.items():
+                for length, has in queues[k]:
+                    m = min(has, n)
+                    held[length] = held.get(length, 0) + m
+                    times = min(times, has // m)
+                    n -= m
+                    if not n:
+                        break
+            for k in wants:
+                for entry in queues[k]:
+                    entry[1] -= times * held.get(entry[0], 0)
+                queues[k] = [e for e in queues[k] if e[1]]
+            groups.append(Group(times, held))
+            todo -= times
+    return groups, {length: n for q in queues for length, n in q}
 
 
 def best_fit(groups: list[Group], left: dict[int, int], capacity: int) -> list[Group]:

@@ -32,6 +32,12 @@ LEAF = 48
 SHARD = 2048
 
 
+def _apart(rows: pa.Table, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and their vectors. All rows of an id are here; one of them counts."""
+    ids, first = np.unique(rows["id"].to_numpy(), return_index=True)
+    return ids, rows["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)[first]
+
+
 def _search(
     table: DataFrame,
     is_query,
@@ -61,9 +67,7 @@ def _search(
         got = (np.empty(0, np.int64),) * 3
         if left.num_rows and right.num_rows:
             d = left["d"][0].as_py()
-            qi, q = left["id"].to_numpy(), left["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)
-            ci, c = right["id"].to_numpy(), right["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)
-            got = task(qi, q, ci, c)
+            got = task(*_apart(left, d), *_apart(right, d))
         return pa.table([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], kind)], ["query_id", "vec_id", "score"])
 
     keys = ["qb", "cb", "d"]
@@ -82,11 +86,8 @@ def dots(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _first(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Positions of each query's k best, ties to smaller ids; a repeated id counts once."""
+    """Positions of each query's k best, ties to smaller ids."""
     order = np.lexsort((ids, -score, query))
-    q, i = query[order], ids[order]
-    fresh = np.r_[True, (q[1:] != q[:-1]) | (i[1:] != i[:-1])] if len(q) else np.empty(0, bool)
-    order = order[fresh]
     q = query[order]
     starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
     place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
@@ -215,10 +216,6 @@ def kd_task(k: int, scale: float) -> Callable:
         n = len(qi)
         best_score = np.full((n, k), -np.inf, dtype=q.dtype)
         best_id = np.full((n, k), np.iinfo(np.int64).max)
-        order = np.argsort(ci, kind="stable")
-        ci, c = ci[order], c[order]
-        fresh = np.r_[True, ci[1:] != ci[:-1]]
-        ci, c = ci[fresh], c[fresh]
         for at in range(0, len(ci), SHARD):
             ids, points = ci[at : at + SHARD], c[at : at + SHARD]
             tree = KdTree(points)
