@@ -70,13 +70,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def splittable(df: DataFrame) -> DataFrame:
+def splittable(df: DataFrame, merge: bool = False) -> DataFrame:
     """Deal the rows out evenly, so that a join on their key shuffles them anew.
 
     Straight after an aggregation a join would reuse its hash partitions, and then
-    adaptive execution can't split a hot key of the other side.
+    adaptive execution can't split a hot key of the other side. ``merge`` keeps the join
+    from turning into a broadcast one once the other side is dealt out: that one reads hot
+    partitions whole.
     """
-    return df.repartition(shuffle_partitions(df.sparkSession))
+    out = df.repartition(shuffle_partitions(df.sparkSession))
+    return out.hint("merge") if merge else out
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

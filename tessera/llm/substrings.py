@@ -295,7 +295,7 @@ def repeated(keyed: DataFrame, window: int) -> DataFrame:
     different = by_c.groupBy("h").agg(F.count("*").alias("different"))
     by_c = by_c.join(splittable(different), "h").select("h", "c", (F.col("total") > 1).alias("whole"), (F.col("different") > HOT).alias("hot"), "of.*")
     settled = occ2.where("alone").select("k", "size", "first", "n").unionByName(
-        mixed_.join(splittable(by_c.where("whole").select("h", "c")), ["h", "c"]).select("k", "size", "first", "n")
+        mixed_.join(splittable(by_c.where("whole").select("h", "c"), merge=True), ["h", "c"]).select("k", "size", "first", "n")
     )
     # The texts of the contexts to compare, from one document each.
     wanted = by_c.groupBy("k", "size").agg(F.collect_list(F.struct("first", "n", "h", "c", "whole", "hot")).alias("wanted"))
@@ -338,7 +338,7 @@ def repeated(keyed: DataFrame, window: int) -> DataFrame:
     )
     hot = pieces.where("hot").select("h", "c", "k", "size", "first", "whole")
     twice = hot.groupBy("h", "c").agg(F.count("*").alias("total"), F.max("whole").alias("any")).where("total > 1 or any")
-    hot = hot.where("not whole").join(splittable(twice.select("h", "c")), ["h", "c"]).select("k", "size", "first", F.lit(1).alias("n"))
+    hot = hot.where("not whole").join(splittable(twice.select("h", "c"), merge=True), ["h", "c"]).select("k", "size", "first", F.lit(1).alias("n"))
     every = settled.unionByName(streamed).unionByName(hot)
     return written(every.groupBy("k", "size").agg(F.collect_set(F.struct("first", "n")).alias("ranges")), "ranges")
 
