@@ -373,7 +373,7 @@ def pack(
             seq, off = first[i] + into % size[i], offset[i] + into // size[i] * length
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], [*b.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = held.join(splittable(before), ["part", "length"]).select(
+    ranked = held.join(splittable(before, merge=True), ["part", "length"]).select(
         "id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank")
     )
     return ranked.mapInArrow(
