@@ -119,3 +119,20 @@ def test_transaction_log(spark, tmp_path):
     p.write_text("txn,at,the,of,as,is\n1,2020,se.post/title,post:1,text,old\n2,2021,se.post/title,post:1,text,new\n2,2021,se.post/tag,post:1,text,a\n3,2022,se.post/tag,post:1,text,b\n")
     got = csv.replayed(csv.read_log(spark, str(p)), {"se.post/tag"})
     assert sorted(r["vs"] for r in got.collect()) == ["a", "b", "new"]
+
+
+def test_standing_query_over_a_stream(spark, tmp_path):
+    from tessera.sources.facts import SCHEMA
+    from tessera.streaming.subscription import standing
+
+    inbox, seen = str(tmp_path / "in"), []
+    facts(spark, [("task/title", "t:1", "dig")]).coalesce(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(SCHEMA).parquet(inbox)
+    q = standing(stream, TASK, [], str(tmp_path / "kept"), lambda d, n: seen.append((n, rows(d.asserted), rows(d.retracted))))
+    try:
+        q.processAllAvailable()
+        facts(spark, [("task/title", "t:2", "eat"), ("other/x", "t:1", 1)]).coalesce(1).write.mode("append").parquet(inbox)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert [x[1:] for x in seen] == [([("t:1", "dig")], []), ([("t:2", "eat")], [])]
