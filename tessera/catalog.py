@@ -496,6 +496,54 @@ def revision_ancestry(spark, sf):
     return ancestors(revs)
 
 
+@query("SELECT 'nation:' || n_nationkey AS of, upper(n_name) AS v FROM nation WHERE n_regionkey = 3 UNION ALL SELECT 'nation:' || n_nationkey, 'northern ' || upper(n_name) FROM nation WHERE n_regionkey = 3")
+def induced_facts(spark, sf):
+    """A commit's facts trigger a rule, and what it asserts triggers another."""
+    import uuid
+
+    from tessera.plans.compile import ensure_checkpoints
+    from tessera.store import Branch, Changes
+
+    ensure_checkpoints(spark)
+    br = Branch(spark, f"{spark.sparkContext.getCheckpointDir()}/branch-{uuid.uuid4().hex}")
+    loud, titled = C(loud="nation/loud:Text"), C(titled="nation/titled:Text")
+    name = C(name="nation/name:Text", region="nation/regionkey:Entity")
+    rules = [
+        Rule(loud, (P(name, this="?this", name="?n", region="region:3"), P("text/upper-case", of="?n", is_="?loud")), head="assert"),
+        Rule(titled, (P(loud, this="?this", loud="?l"), P("text/concatenate", first="northern ", second="?l", is_="?titled")), head="assert"),
+    ]
+    batch = Changes()
+    for r in spark.read.parquet(f"{sf}/nation.parquet").collect():  # a commit's own batch
+        batch.assert_("nation/name", f"nation:{r['n_nationkey']}", r["n_name"])
+        batch.assert_("nation/regionkey", f"nation:{r['n_nationkey']}", f"region:{r['n_regionkey']}", "Entity")
+    t = br.transaction()
+    t.changes = batch
+    t.commit(rules)
+    return br.facts().where(F.col("the").isin("nation/loud", "nation/titled")).select("of", F.col("vs").alias("v"))
+
+
+@query("SELECT 'customer:' || c_custkey AS of, CASE WHEN c_custkey % 2 = 0 THEN 'left' WHEN c_custkey % 3 = 0 THEN 'right' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+def three_way_merge(spark, sf):
+    """One side changes even keys; the other odd multiples of three, and drops other multiples of five."""
+    from tessera.history import merged
+
+    base = select(narrow(spark, sf), the="customer/mktsegment")
+    k = F.substring_index("of", ":", -1).cast("long")
+    mine = base.withColumn("vs", F.when(k % 2 == 0, "left").otherwise(F.col("vs")))
+    theirs = base.withColumn("vs", F.when((k % 2 == 1) & (k % 3 == 0), "right").otherwise(F.col("vs"))).where((k % 5 != 0) | (k % 2 == 0) | (k % 3 == 0))
+    return merged(base, mine, theirs).select("of", F.col("vs").alias("v"))
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT 'text' AS kind FROM customer UNION ALL SELECT 'text' FROM customer UNION ALL SELECT 'number' FROM customer UNION ALL SELECT 'number' FROM customer UNION ALL SELECT 'entity' FROM customer) GROUP BY 1")
+def type_predicates(spark, sf):
+    own = Session(spark, NarrowFacts(narrow(spark, sf).where(F.col("the").startswith("customer/"))))
+    out = None
+    for kind in ("text", "number", "entity"):
+        got = own.rows([P(Attribute("any/any"), the="_", of="?of", is_="?v"), P("type", of="?v", is_=kind)], select=["of"]).select(F.lit(kind).alias("kind"))
+        out = got if out is None else out.unionByName(got)
+    return out.groupBy("kind").count().withColumnRenamed("count", "n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, (f, _) in QUERIES.items()}
 

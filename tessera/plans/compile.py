@@ -237,8 +237,21 @@ class Session:
             return self.join(state, self._scan(p), p.terms, set())
         if p.what in con.CONSTRAINTS:
             return self.constrain(state, p)
+        if analyze.is_table(p.what):
+            return self.join(state, self._revisions(p.what), p.terms, set())
         return self.compute(state, p)
 
+    def _revisions(self, name: str) -> Relation:
+        """Revision records, or a row for each of a revision's parents."""
+        if self.revisions is None:
+            raise QueryError("NoRevisions", name)
+        own = self.revisions
+        if name.endswith("/revision-parent"):
+            df = own.select(F.col("id").alias("of"), F.col("id").alias("this"), F.explode(F.array_distinct("parents")).alias("parent"))
+            return Relation(df, {n: Slot("Text") for n in df.columns})
+        df = own.select(F.col("id").alias("of"), F.col("id").alias("this"), F.col("origin").alias("branch"), F.col("edition").cast(red.INT).alias("edition"))
+        return Relation(df, {n: Slot("Text") for n in ("of", "this", "branch")} | {"edition": Slot("UnsignedInteger")})
+
     def _scan(self, p: Premise) -> Relation:
         the = p.terms.get("the")
         if isinstance(the, Var | Blank):

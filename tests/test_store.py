@@ -136,3 +136,15 @@ def test_standing_query_over_a_stream(spark, tmp_path):
     finally:
         q.stop()
     assert [x[1:] for x in seen] == [([("t:1", "dig")], []), ([("t:2", "eat")], [])]
+
+
+def test_revision_premises(spark):
+    from tessera.plans.compile import Session
+    from tessera.sources.facts import NarrowFacts
+
+    revs = H.revisions(spark, [{"id": "r1", "origin": "a", "edition": 1, "parents": []}, {"id": "r2", "origin": "b", "edition": 2, "parents": ["r1", "r1"]}])
+    own = facts(spark, [("note/at", "n:1", "r2")])
+    s = Session(spark, NarrowFacts(own), revisions=revs)
+    note = P(C(at="note/at:Text"), this="?n", at="?r")
+    got = s.rows([note, P("history/revision", of="?r", branch="?b", edition="?e"), P("history/revision-parent", of="?r", parent="?p")], select=["n", "b", "e", "p"])
+    assert rows(got) == [("n:1", "b", 2, "r1")]
