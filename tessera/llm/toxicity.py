@@ -144,7 +144,7 @@ class Lexicon:
 FEATURES = ("bias", "right", "misspelled", "quoted", "reported", "addressed", "kinds", "dense")
 #: Prior means and precisions of the weights: what they are where labels say nothing.
 _MEAN = np.array([-4.0, 4.0, 2.0, -2.0, -1.0, 0.5, 2.0, 0.3])
-_PRECISION = np.array([0.05, 0.3, 1.0, 1.0, 1.0, 1.0, 0.5, 1.0])
+_PRECISION = np.array([0.05, 0.1, 0.5, 1.0, 1.0, 1.0, 0.2, 1.0])
 
 
 @dataclass
@@ -230,7 +230,7 @@ def choose(rows: list[tuple[str, bool, int, int]], positives: int, negatives: in
     for all words and longer stems that begin with it.
     """
     base = (positives + 1) / (positives + negatives + 2)
-    need = math.log(max(len(rows), 2)) + 3
+    need = math.log(max(len(rows), 2)) + 1
     good = []
     for w, is_stem, pos, neg in rows:
         n, share = pos + neg, pos / max(1, pos + neg)
