@@ -39,6 +39,8 @@ HOT = 1500
 SHARD_WORDS = 60_000
 #: Words handled at once; a longer document is keyed in overlapping stretches.
 STRETCH = 1 << 22
+#: Words of documents that are keyed together.
+TOGETHER = 250_000
 #: Words whose hashes a worker remembers.
 CACHE_WORDS = 500_000
 #: Bytes of reference text that may be broadcast as automata.
@@ -142,7 +144,7 @@ def _occurrences(keyed: DataFrame, window: int) -> DataFrame:
                     continue
                 for at in range(0, len(words) - window + 1, STRETCH):
                     part = words[at : at + STRETCH + window - 1]
-                    if units and held + len(part) > STRETCH:
+                    if units and held + len(part) > TOGETHER:
                         yield out(units)
                         units, held = [], 0
                     units.append((i, at, part))
