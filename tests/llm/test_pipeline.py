@@ -6,10 +6,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
-from tessera.llm import pii, simhash
+from tessera.llm import jaccard, pii, simhash
 from tessera.llm.common import written
 
 
@@ -91,3 +92,49 @@ def test_stages(spark, tmp_path):
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
         want += [(i is None, i or 0, k, zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["piece"], r["ids_crc32"]) for r in now.collect()) == sorted(want)
+
+
+def shingle_set(t):
+    w = (t or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("tile_rows", [1024, 16])
+def test_near_copies(spark, monkeypatch, tile_rows):
+    """Copies of a similarity from 0.7 to 0.97, chains of them and a large group."""
+    monkeypatch.setattr(jaccard.links, "__defaults__", (*jaccard.links.__defaults__[:-1], tile_rows))
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
+    docs, scores = [], []
+    for k in range(60):
+        own = words(200)
+        docs.append(" ".join(own))
+        for _ in range(1 + k % 2):
+            for at in rng.sample(range(5, 195), 1 + k % 6):
+                own[at] = "changed"
+            docs.append(" ".join(own))
+            scores.append(near(docs[-2], docs[-1]))
+    assert {round(s, 1) for s in scores} >= {0.7, 0.8, 0.9} and sum(0.8 <= s <= 0.97 for s in scores) > 40
+    base = words(80)
+    docs += [" ".join([*base[:j], f"x{j}", *base[j + 1 :]]) for j in range(60)]
+    nine = " ".join(f"v{i}" for i in range(13))  # nine shingles
+    docs += [nine, f"{nine} more", f"{nine} more and", f"{nine} more and yet another", "A b", "a B", "", None, " \n"]
+    order = list(range(len(docs)))
+    rng.shuffle(order)
+    rows = [(i, docs[k], "en", "src", 1) for i, k in enumerate(order)]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and near(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = C.drop_near_copies(spark, frame, "")
+    assert got.columns == frame.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(group))
+    assert C.drop_near_copies(spark, frame.limit(0), "").collect() == []
