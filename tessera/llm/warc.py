@@ -25,8 +25,8 @@ VERSION = b"WARC/1.1"
 SPLIT_BYTES = 16 << 20
 #: How much of a file is read at once.
 CHUNK = 1 << 20
-#: What a record's headers may hold before the blank line.
-HEADER_LIMIT = 1 << 16
+#: How much of a record's headers is inflated first; longer ones take further steps.
+HEADER_STEP = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -74,17 +74,29 @@ def parse_head(raw: bytes) -> dict[str, str] | None:
 
 
 def _begins_record(raw: bytes) -> bool | None:
-    """Whether a gzip member of a WARC record begins here; None if more bytes are needed."""
-    z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(raw, HEADER_LIMIT)
-    except zlib.error:
-        return False
-    if b"\r\n\r\n" in out:
-        return parse_head(out) is not None
-    if not VERSION[:7].startswith(out[:7]) or len(out) >= HEADER_LIMIT or z.eof:
-        return False
-    return None
+    """Whether a gzip member of a WARC record begins here; None if more bytes are needed.
+
+    Headers may be of any length: as long as what there is reads as header lines, more is asked for.
+    """
+    z, out, read, limit = zlib.decompressobj(31), b"", 0, HEADER_STEP
+    while True:
+        try:
+            out += z.decompress(raw, limit)
+        except zlib.error:
+            return False
+        if b"\r\n\r\n" in out:
+            return parse_head(out) is not None
+        if not out.startswith(VERSION[:7]) and not VERSION[:7].startswith(out):
+            return False
+        end = out.rfind(b"\r\n")
+        if end > read:
+            lines = out[read:end].split(b"\r\n")
+            if not all(b":" in x for x in (lines if read else lines[1:])):
+                return False
+            read = end + 2
+        raw, limit = z.unconsumed_tail, 2 * limit
+        if z.eof or not raw:
+            return False if z.eof else None
 
 
 class _Window:

@@ -412,6 +412,18 @@ def test_warc_splits():
         assert [b.partition(b"\r\n\r\n")[2] for _, _, b in got] == payloads
 
 
+@pytest.mark.parametrize("at", [0, 1, 2])
+def test_warc_long_urls(at):
+    """Headers beyond any chunk, of the first, second and third record."""
+    rng = random.Random(2)
+    urls = [f"http://{i}" for i in range(4)]
+    urls[at] = "data:," + rng.randbytes(1_200_000).hex()
+    blob = b"".join(warc.record(u, b"text", "d", i, None, False, "2024") for i, u in enumerate(urls))
+    for split in (300_000, 1 << 30):
+        got = [x for s in range(0, len(blob), split) for x in warc.read_split(pa.BufferReader(blob), s, min(len(blob), s + split))]
+        assert [h["warc-target-uri"] == u for (_, h, _), u in zip(got, urls, strict=True)] == [True] * 4
+
+
 def test_sentencepiece(spark, texts):
     import public_tokenizers
     import sentencepiece
