@@ -61,8 +61,7 @@ class Weights:
         self.templates = templates
         self.vocabulary = sorted({t for _, text in templates for t in tokens(text)})
         self.idf = {t: idf(n, df.get(t, 0)) for t in self.vocabulary}
-        #: A token of no template counts as one that no text holds.
-        self.other = idf(n, 0)
+        self.n = n
         self.vectors: list[dict[str, float]] = []
         needed: set[str] = set()
         for _, text in templates:
@@ -91,42 +90,37 @@ def _adding(weights: Column):
     return lambda a, t: a + F.coalesce(F.element_at(weights, t), F.lit(0.0))
 
 
-def _best(units: Column, w: Weights) -> Column:
-    """struct(cosine, template) of the template nearest to any of several token arrays.
+def _best(units: DataFrame, counts: DataFrame, w: Weights) -> DataFrame:
+    """(_row, _best) of ``units`` (_row, _at, t): struct(cosine, template) of the template
+    nearest to any of a row's token arrays.
 
-    One step an array of intermediate results, so that nothing is computed twice.
+    One step a column of intermediate results, so that nothing is computed twice.
     """
     weight = _map(w.idf)
-    known = F.transform(units, lambda u: F.struct(F.filter(u, lambda t: F.map_contains_key(weight, t)).alias("m"), F.size(u).alias("n")))
-
-    def norm(s: Column) -> Column:
-        m = s["m"]
-        others = (s["n"] - F.size(m)).cast("double") * F.lit(w.other * w.other)
-        square = F.aggregate(
-            F.array_distinct(m),
-            others,
-            lambda a, d: a + F.pow(F.size(F.filter(m, lambda x: x == d)).cast("double") * F.element_at(weight, d), F.lit(2.0)),
-        )
-        return F.struct(m.alias("m"), F.sqrt(square).alias("norm"))
-
-    def nearest(s: Column) -> Column:
-        found = []
-        for j, vector in enumerate(w.vectors):
-            dot = F.aggregate(s["m"], F.lit(0.0), _adding(_map({t: x * w.idf[t] for t, x in vector.items()})))
-            # Rounded, so that ties don't hang on the order of sums; ties go to the first template.
-            found.append(F.struct(F.round(F.when(s["norm"] > 0, dot / s["norm"]).otherwise(0.0), 9).alias("cosine"), F.lit(-j).alias("template")))
-        return F.array_max(F.array(*found))
-
-    return F.array_max(F.transform(F.transform(known, norm), nearest))
-
-
-def frequencies(files: DataFrame, text_col: str, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
-    """Number of texts, and of texts that hold each token of the vocabulary."""
-    known = F.array(*(F.lit(t) for t in vocabulary))
-    held = F.array_intersect(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), GAP), known)
-    rows = files.select(F.explode(F.array_append(held, F.lit(""))).alias("t")).groupBy("t").count().collect()  # a row a token
-    counts = {r["t"]: r["count"] for r in rows}
-    return counts.pop("", 0), counts
+    known = lambda t: F.map_contains_key(weight, t)
+    # Tokens of no template weigh by their own document frequency.
+    odd = units.select("_row", "_at", F.explode(F.filter("t", lambda t: ~known(t))).alias("token")).groupBy("_row", "_at", "token").agg(F.count("*").alias("tf"))
+    heavy = F.log((1.0 + F.lit(w.n)) / (1.0 + F.col("df"))) + 1.0
+    odd = odd.join(splittable(counts), "token").groupBy("_row", "_at").agg(F.sum(F.pow(F.col("tf") * heavy, F.lit(2.0))).alias("odd"))
+    own = units.select("_row", "_at", F.filter("t", known).alias("m")).join(splittable(odd), ["_row", "_at"], "left")
+    square = F.aggregate(
+        F.array_distinct("m"),
+        F.coalesce("odd", F.lit(0.0)),
+        lambda a, d: a + F.pow(F.size(F.filter("m", lambda x: x == d)).cast("double") * F.element_at(weight, d), F.lit(2.0)),
+    )
+    own = own.select("_row", "m", F.sqrt(square).alias("norm"))
+    found = []
+    for j, vector in enumerate(w.vectors):
+        dot = F.aggregate("m", F.lit(0.0), _adding(_map({t: x * w.idf[t] for t, x in vector.items()})))
+        # Rounded, so that ties don't hang on the order of sums; ties go to the first template.
+        found.append(F.struct(F.round(F.when(F.col("norm") > 0, dot / F.col("norm")).otherwise(0.0), 9).alias("cosine"), F.lit(-j).alias("template")))
+    return own.select("_row", F.array_max(F.array(*found)).alias("_best")).groupBy("_row").agg(F.max("_best").alias("_best"))
+
+
+def frequencies(files: DataFrame, text_col: str) -> DataFrame:
+    """(token, df): number of texts that hold each token; the empty token stands for all texts."""
+    held = F.array_distinct(F.array_append(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), GAP), F.lit("")))
+    return files.select(F.explode(held).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
 def scan(
@@ -152,15 +146,19 @@ def scan(
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     path = F.col(f"`{path_col}`").cast("string")
     first = Weights(0, {}, templates, threshold)
-    w = Weights(*frequencies(files.select(text.alias("text")), "text", first.vocabulary), templates, threshold)
+    counts = written(frequencies(files.select(text.alias("text")), "text"), "frequencies")
+    df = {r["token"]: r["df"] for r in counts.where(F.col("token").isin(["", *first.vocabulary])).collect()}  # a row a token
+    w = Weights(df.pop("", 0), df, templates, threshold)
     needed = F.array(*(F.lit(t) for t in w.needed))
     named = F.coalesce(F.element_at(F.split(path, "/"), -1).rlike(licence_file), F.lit(False))
     lines = F.filter(F.transform(F.split(text, "\n"), _tokens), lambda x: F.arrays_overlap(x, needed))
     units = F.concat(lines, F.when(named, F.array(_tokens(text))).otherwise(F.expr("array()")))
-    best = F.when(F.arrays_overlap(F.split(F.lower(text), GAP), needed), _best(units, w))
+    units = F.when(F.arrays_overlap(F.split(F.lower(text), GAP), needed), units)
     names = F.array(*(F.lit(n) for n, _ in templates))
-    # Written, as three plans read it and none should compare texts again.
-    own = written(files.select(*(F.col(f"`{c}`") for c in kept), path.alias("_path"), named.alias("_named"), best.alias("_best")), "licences")
+    # Written, as several plans read it and none should compare texts again.
+    own = written(files.select(*(F.col(f"`{c}`") for c in kept), path.alias("_path"), named.alias("_named"), units.alias("_units"), F.monotonically_increasing_id().alias("_row")), "lines")
+    best = _best(own.select("_row", F.posexplode("_units").alias("_at", "t")), counts, w)
+    own = written(own.drop("_units").join(splittable(best), "_row", "left").drop("_row"), "licences")
     own = own.withColumn("_own", F.when(F.col("_best.cosine") >= threshold, F.element_at(names, 1 - F.col("_best.template"))))
     # A licence file speaks for its directory.
     directory = F.regexp_replace("_path", "/?[^/]*$", "")

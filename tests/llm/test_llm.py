@@ -206,6 +206,19 @@ def test_licences(spark):
     assert licences.scan(files.limit(0)).collect() == []
 
 
+def test_licences_weigh_all_tokens(spark):
+    """Words of all texts beside a notice weigh little, rare ones much."""
+    common = " ".join(f"w{i}" for i in range(12))
+    rows = [(f"{i}.txt", f"{common} t{i}") for i in range(300)]
+    rows += [("a.txt", f"Released under the MIT License. {common}"), ("b.txt", "Released under the MIT License. " + " ".join(f"rare{i}" for i in range(12)))]
+    df = Counter(t for _, x in rows for t in set(licences.tokens(x)))
+    weigh = lambda t: licences.idf(len(rows), df[t])
+    notice = sum(weigh(t) ** 2 for t in licences.tokens(licences.TEMPLATES[0][1]))
+    want = math.sqrt(notice / sum(weigh(t) ** 2 for t in set(licences.tokens(rows[300][1]))))
+    got = {r["path"]: (r["licence"], r["similarity"]) for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["a.txt"] == ("MIT", pytest.approx(want, abs=1e-8)) and got["b.txt"] == (None, None)
+
+
 def test_lexicon_automaton():
     def distance(a, b):
         row = list(range(len(b) + 1))
