@@ -1,14 +1,18 @@
 """Personal data by weak supervision.
 
 Labelers of three sorts (format rules, gazetteers, context words) vote on candidate
-spans. Votes are counted over all documents by pattern (kind, votes, shape), a number of
-patterns that the corpus doesn't change. Expectation-maximisation estimates each
-labeler's reliability from those counts alone, and a logistic span classifier is trained
-on the soft labels. Spans of the base rules always stay; the classifier adds others.
+spans. Votes are counted over all documents by pattern: kind, votes, and coarse traits of
+the span that no labeler looks at (length, letters and digits, separators, neighbours,
+words that speak of something else). There is a fixed number of patterns, whatever the
+corpus holds. Expectation-maximisation estimates each labeler's reliability from the votes
+alone. A logistic span classifier is then trained on the soft labels; it sees the traits
+too, so what the labelers leave open is settled by what a span looks like. Spans of the
+base rules always stay; the classifier adds others.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
@@ -26,6 +30,8 @@ BASE = KINDS[:4]
 #: How often a true number fails its own checksum (typing errors).
 CHECKSUM_MISS = 0.005
 LABELERS = ("format", "checksum", "gazetteer", "context", "shape")
+#: What a kind's commonest pattern would weigh in the span classifier if it were the only one.
+SPANS = 30.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -54,6 +60,8 @@ _CUES = {
     "secret": ("token", "secret", "key", "passw", "pwd", "auth", "bearer", "credential"),
     "id": ("ssn", "social", "iban", "account", "passport", "identity", "konto"),
 }
+#: Words that speak of numbers and codes which are nobody's.
+_OTHER = ("version", "isbn", "order", "invoice", "commit", "sha", "uuid", "doi", "http", "page", "chapter", "part no", "serial", "model")
 
 
 def emails(t: str) -> Iterator[tuple[int, int]]:
@@ -87,13 +95,19 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _byte(digits: str) -> int | None:
+    """The number if it is at most 255, however many zeros lead it."""
+    own = digits.lstrip("0")
+    return int(own or "0") if len(own) <= 3 and (len(own) < 3 or own <= "255") else None
+
+
 def base_spans(t: str) -> list[tuple[str, int, int]]:
     """The base rules' spans, by kind as listed, then start."""
     out = [("email", a, b) for a, b in emails(t)] if "@" in t else []
     if not _DIGIT.search(t):
         return out
     for m in _IP.finditer(t):
-        if all(len(p.lstrip("0")) <= 3 and int(p[-4:] if len(p) > 4 else p) <= 255 for p in m[0].split(".")):
+        if all(_byte(p) is not None for p in m[0].split(".")):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(t):
         d = _digits(m[0])
@@ -110,29 +124,56 @@ def loose_spans(t: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int
     """Further candidates, which overlap neither base spans nor each other."""
     if not _DIGIT.search(t):
         return []
-    taken = sorted((a, b) for _, a, b in base)
-    starts = [a for a, _ in taken]
+    starts, ends = [], []  # of what is taken: runs apart from each other, as base spans may overlap
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out = []
-    import bisect
-
     for kind, rule in _LOOSE:
         for m in rule.finditer(t):
             a, b = m.span()
             if kind == "secret" and not (_DIGIT.search(m[0]) and re.search("[A-Za-z]", m[0])):
                 continue
             i = bisect.bisect_left(starts, b)
-            # Taken spans may nest, so look back as far as one can still reach over a.
-            if any(y > a for _, y in taken[max(0, i - 8) : i]):
+            if i and ends[i - 1] > a:
                 continue
             out.append((kind, a, b))
-            j = bisect.bisect_left(taken, (a, b))
-            taken.insert(j, (a, b))
-            starts.insert(j, a)
+            starts.insert(i, a)
+            ends.insert(i, b)
     return out
 
 
+def traits(t: str, kind: str, a: int, b: int) -> str:
+    """One character a trait: length, variety, letters, separator, left, right, other talk."""
+    s = t[a:b]
+    core = [c for c in s if c.isalnum()]
+    apart = sorted({c for c in s if not c.isalnum()})
+    letters = [c for c in core if not c.isdigit()]
+    side = lambda c: "^" if not c else "s" if c.isspace() else "a" if c.isalnum() else "=" if c in "=:\"'`" else "p"
+    before = t[max(0, a - 28) : a].lower()
+    return "".join(
+        (
+            str(min(9, len(s).bit_length())),
+            str(4 * len(set(core)) // (len(core) + 1)),
+            "d" if not letters else "l" if len(letters) == len(core) else "x" if any(c.isupper() for c in letters) and any(c.islower() for c in letters) else "m",
+            "0" if not apart else "*" if len(apart) > 1 else {" ": "s", "-": "-", ".": "."}.get(apart[0], "o"),
+            side(t[a - 1 : a]),
+            side(t[b : b + 1]),
+            "+" if any(c in before for c in _OTHER) else "0",
+        )
+    )
+
+
+def pattern(t: str, kind: str, a: int, b: int, is_base: bool) -> str:
+    """What the model knows of a span: its votes and its traits."""
+    return f"{votes(t, kind, a, b, is_base)}|{traits(t, kind, a, b)}"
+
+
 def votes(t: str, kind: str, a: int, b: int, is_base: bool) -> str:
-    """One character a labeler: + for, - against, 0 silent; then the shape of the length."""
+    """Kind, base or loose, and one character a labeler: + for, - against, 0 silent."""
     s, d = t[a:b], _digits(t[a:b])
     before = t[max(0, a - 28) : a].lower()
     fmt = "+" if is_base else "0"
@@ -142,9 +183,9 @@ def votes(t: str, kind: str, a: int, b: int, is_base: bool) -> str:
         gaz = "+" if s.rpartition(".")[2].lower() in _DOMAINS else "-"
         shape = "+" if len(s) <= 254 and ".." not in s else "-"
     elif kind == "ip":
-        parts = [int(p) for p in s.split(".")]
-        gaz = "-" if parts[0] in (0, 127, 255) else "+"
-        shape = "+" if all(str(int(p)) == p for p in s.split(".")) else "-"
+        parts = s.split(".")
+        gaz = "-" if _byte(parts[0]) in (0, 127, 255) else "+"
+        shape = "+" if all(len(p) == 1 or p[0] != "0" for p in parts) else "-"
     elif kind == "card":
         fmt = "+" if 16 <= len(d) <= 19 else "-"
         check = "+" if luhn(d) else "-"
@@ -183,7 +224,6 @@ class Model:
     """Labeler reliabilities, and the probability that each vote pattern is personal data."""
 
     def __init__(self, counts: dict[str, int], rounds: int = 60):
-        self.counts = counts
         patterns = sorted(counts)
         n = np.array([counts[p] for p in patterns], dtype=float)
         kinds = np.array([KINDS.index(p.split("|")[0]) for p in patterns], dtype=int)
@@ -212,20 +252,28 @@ class Model:
             q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         self.reliability = table
         self.share = share
-        # The span classifier: logistic in the votes, with kinds of its own intercept.
-        x = np.concatenate([np.eye(len(KINDS))[kinds], (v == 2).astype(float), (v == 0).astype(float)], axis=1) if len(patterns) else np.zeros((0, 16))
+        # The span classifier: logistic in kind, votes and traits, on the soft labels. Weights
+        # are shares of a kind's spans, so that they are alike at every size of the corpus.
+        own = [(p.split("|") + [""])[3] for p in patterns]
+        seen = sorted({(i, c) for x in own for i, c in enumerate(x)})
+        column = {x: i for i, x in enumerate(seen)}
+        look = np.zeros((len(patterns), len(seen)))
+        for r, x in enumerate(own):
+            look[r, [column[i, c] for i, c in enumerate(x)]] = 1.0
+        x = np.concatenate([np.eye(len(KINDS))[kinds], (v == 2).astype(float), (v == 0).astype(float), look], axis=1)
         w = np.zeros(x.shape[1])
-        weight = np.minimum(n, 1e6) ** 0.5  # frequent patterns count more, but don't drown the rest
-        for _ in range(400 if len(patterns) else 0):
-            p = 1 / (1 + np.exp(-x @ w))
-            g = x.T @ (weight * (p - q)) + 0.05 * w
-            h = x.T @ (x * (weight * p * (1 - p) + 1e-6)[:, None]) + 0.05 * np.eye(len(w))
-            step = np.linalg.solve(h, g)
-            w -= np.clip(step, -2, 2)
-            if np.abs(step).max() < 1e-8:
-                break
+        if len(patterns):
+            weight = SPANS * np.sqrt(n / np.bincount(kinds, n, len(KINDS))[kinds])
+            for _ in range(400):
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                g = x.T @ (weight * (p - q)) + 0.05 * w
+                h = x.T @ (x * (weight * p * (1 - p) + 1e-6)[:, None]) + 0.05 * np.eye(len(w))
+                step = np.linalg.solve(h, g)
+                w -= np.clip(step, -2, 2)
+                if np.abs(step).max() < 1e-8:
+                    break
         self.weights = w
-        self.probability = dict(zip(patterns, (1 / (1 + np.exp(-x @ w))).tolist(), strict=True))
+        self.probability = dict(zip(patterns, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
@@ -238,8 +286,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
             for t in b.column(0).to_pylist():
                 if t:
                     base, loose = candidates(t)
-                    seen.update(votes(t, *x, True) for x in base)
-                    seen.update(votes(t, *x, False) for x in loose)
+                    seen.update(pattern(t, *x, True) for x in base)
+                    seen.update(pattern(t, *x, False) for x in loose)
         yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
     counts = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(each, "pattern string, n long")
@@ -254,7 +302,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def spans_of(t: str, probability: dict[str, float], threshold: float) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and added spans of one text."""
     base, loose = candidates(t)
-    return base, [x for x in loose if probability.get(votes(t, *x, False), 0.0) >= threshold]
+    return base, [x for x in loose if probability.get(pattern(t, *x, False), 0.0) >= threshold]
 
 
 def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
