@@ -15,6 +15,7 @@ import bisect
 import itertools
 import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,12 +42,26 @@ GROUP_BYTES = 2 << 20
 MARKS = b".,!?;:%#*$&"
 
 
+def _plain() -> frozenset[str]:
+    """Letters that stay one letter each when they are composed or lower-cased.
+
+    From the Latin, Greek and Cyrillic blocks, where all versions of Unicode agree; a letter
+    like the dotted capital I, whose small form is a letter and a mark, is none of them.
+    """
+    same = lambda c: unicodedata.normalize("NFC", c) == c and len(c) == 1 and c.isalpha()
+    return frozenset(c for c in map(chr, range(0x530)) if same(c) and same(c.lower()))
+
+
+PLAIN = _plain()
+
+
 class WordIds:
     """Ids of whole texts, from remembered ids of their words.
 
-    Sound for tokenizers that lower-case, drop white space and never join across it, nor
-    join letters to marks: a text's ids are then those of its white-space separated words
-    in turn, and a word's those of its letters and of the marks that end it.
+    Sound for tokenizers that compose, lower-case and drop white space, never join across
+    it, and part letters from marks: a text's ids are then those of its white-space
+    separated words in turn. The ids of a word of plain letters and of the marks that end
+    it are those of the letters, then those of the marks; any other word is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -66,10 +81,10 @@ class WordIds:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
 
     def _encode_letters(self, words: list[bytes]) -> list[bytes]:
-        """Words of letters only, each a single run: encoded together and cut where one ends."""
+        """Words of plain letters, each a single run: encoded together and cut where one ends."""
         ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words) or cuts[-1] != len(ids):  # some word wasn't a single run after all
+        if len(cuts) != len(words) or cuts[-1] != len(ids):  # this tokenizer has no mark for the end of a run
             return self._encode(words)
         raw, cuts = ids.tobytes(), (4 * cuts).tolist()
         return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
@@ -82,7 +97,7 @@ class WordIds:
         parts, other = {}, []
         for w in words:
             core = w.lower().rstrip(MARKS)
-            if core and core.decode().isalpha():
+            if core and PLAIN.issuperset(core.decode()):
                 parts[w] = core
             else:
                 other.append(w)
@@ -215,6 +230,45 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds:
     return [(mix, x / float(over[mix > 0].max())) for mix, x in used.values()]
 
 
+def fewest(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> int:
+    """A number of sequences that no packing stays below: the program's dual.
+
+    Prices under which no mix is worth more than one sequence bound the total from below by
+    what all pieces are worth. The classes' shortest lengths are priced, so that every
+    packing of the pieces is one of the classes; the sum of lengths is a price list too.
+    """
+    left = {k: v for k, v in histogram.items() if v > 0}
+    if not left:
+        return 0
+    least = -(-sum(k * v for k, v in left.items()) // capacity)
+    sizes, need, _ = _classes(left, min)
+    covered = np.zeros(len(sizes))
+    eta = 2.0 * np.log(len(sizes) + 2)
+    for _ in range(rounds):
+        share = covered / need
+        prices = np.exp(-eta * (share - share.min())) / need
+        mix = price(sizes, prices, capacity)
+        worth = float(prices @ mix)
+        if worth <= 0:
+            break
+        least = max(least, int(np.ceil(float(prices @ need) / worth - 1e-6)))
+        on = mix > 0
+        covered += float((need[on] / mix[on]).min()) / 8 * mix
+    return least
+
+
+def _classes(left: dict[int, int], stands) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
+    """Linear grouping into classes of about equal counts: the length that ``stands`` for
+    each, its number of pieces, and its lengths with theirs, longest first."""
+    lengths = np.array(sorted(left))
+    counts = np.array([left[x] for x in lengths.tolist()])
+    cls = np.minimum((np.cumsum(counts) - counts) * CLASSES // counts.sum(), CLASSES - 1)
+    ids = np.unique(cls)
+    sizes = np.array([stands(lengths[cls == c].tolist()) for c in ids])
+    need = np.array([counts[cls == c].sum() for c in ids])
+    return sizes, need, [[(int(x), left[int(x)]) for x in lengths[cls == c][::-1]] for c in ids]
+
+
 @dataclass
 class Group:
     """``count`` sequences that hold the same lengths."""
@@ -231,8 +285,8 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Group]:
     """Groups of sequences that hold every piece of ``histogram`` (length to number).
 
     The fractional solution is rounded down at several levels, each of which takes a share
-    of every mix that is full enough and leaves the rest to best fit; the one with the
-    fewest sequences stands.
+    of every mix that is full enough and leaves the rest to best fit. The roundings and
+    best fit of everything are compared, and the one with the fewest sequences stands.
     """
     left = {k: v for k, v in histogram.items() if v > 0}
     whole: list[Group] = []
@@ -240,22 +294,15 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Group]:
         whole.append(Group(histogram[capacity], {capacity: 1}))
     if not left:
         return whole
-    lengths = np.array(sorted(left))
-    counts = np.array([left[x] for x in lengths.tolist()])
-    # Linear grouping: classes of about equal counts, rounded up to their longest.
-    cls = np.minimum((np.cumsum(counts) - counts) * CLASSES // counts.sum(), CLASSES - 1)
-    ids = np.unique(cls)
-    sizes = np.array([lengths[cls == c].max() for c in ids])
-    need = np.array([counts[cls == c].sum() for c in ids])
-    members = [[(int(x), left[int(x)]) for x in lengths[cls == c][::-1]] for c in ids]
+    sizes, need, members = _classes(left, max)
     mixes = sorted(configurations(sizes, need, capacity), key=lambda p: (-int(p[0] @ sizes), -p[1]))
-    best: list[Group] | None = None
+    best = best_fit([], dict(left), capacity)
     for full in FULL:
         own = [(mix, x) for mix, x in mixes if int(mix @ sizes) >= full * capacity]
         for share in SHARES:
             groups, rest = _rounded([(mix, x * share) for mix, x in own], members)
             groups = best_fit(groups, rest, capacity)
-            if best is None or sum(g.count for g in groups) < sum(g.count for g in best):
+            if sum(g.count for g in groups) < sum(g.count for g in best):
                 best = groups
     return whole + best
 
