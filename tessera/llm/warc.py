@@ -4,6 +4,12 @@ Archives are files of one gzip member a record, as the format asks. The reader d
 byte ranges: a task scans its range for the gzip magic, validates each candidate by
 decoding the header, owns the records that start in its range and reads the last of them
 past its end. Files are opened by ``pyarrow.fs``, so any store that it knows will do.
+
+A payload may hold an archive of its own, whose records look like true ones where deflate
+has stored it as it was. A stored block is at most 65,535 bytes long and its neighbours
+are parted by a block header, so what begins inside a payload can't run on soundly for
+longer: a first record in a range counts once it and what follows it without a gap span
+more than that, or reach the end of the file. At the start of a file there is no doubt.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ SPLIT_BYTES = 16 << 20
 CHUNK = 1 << 20
 #: How much of a record's headers is inflated first; longer ones take further steps.
 HEADER_STEP = 1 << 16
+#: The longest stored block of a deflate stream: fixed by the format.
+STORED = 65_535
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -35,6 +43,10 @@ def _line(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
+def record_id(key: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{key}:{digest}')}>"
+
+
 def record(url: str | None, payload: bytes, digest: str, key: int | None, original: int | None, revisit: bool, date: str) -> bytes:
     """One record as a gzip member. A revisit keeps the HTTP headers only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -42,7 +54,7 @@ def record(url: str | None, payload: bytes, digest: str, key: int | None, origin
     head = [
         VERSION.decode(),
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{key}:{digest}')}>",
+        f"WARC-Record-ID: {record_id(key, digest)}",
         f"WARC-Date: {date}",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -54,7 +66,7 @@ def record(url: str | None, payload: bytes, digest: str, key: int | None, origin
     if key is not None:
         head.append(f"X-Page-ID: {key}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{original}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(original, digest)}", f"X-Refers-To-Page-ID: {original}"]
     z = zlib.compressobj(4, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
@@ -100,78 +112,108 @@ def _begins_record(raw: bytes) -> bool | None:
 
 
 class _Window:
-    """A file read forward in chunks, with what has been passed let go."""
+    """A file read forward in chunks; what has been passed is let go a chunk at a time."""
 
     def __init__(self, file, at: int):
         self.file, self.size = file, file.size()
-        self.at, self.held = at, b""
+        self.begin, self.held, self.skip = at, b"", 0
+
+    @property
+    def at(self) -> int:
+        return self.begin + self.skip
+
+    @property
+    def left(self) -> int:
+        """Bytes held from here on."""
+        return len(self.held) - self.skip
 
     def grow(self) -> bool:
-        end = self.at + len(self.held)
+        end = self.begin + len(self.held)
         if end >= self.size:
             return False
         self.file.seek(end)
         more = self.file.read(CHUNK)
-        self.held += more
+        self.held, self.begin, self.skip = self.held[self.skip :] + more, self.at, 0
         return bool(more)
 
+    def view(self, at: int = 0) -> memoryview:
+        return memoryview(self.held)[self.skip + at :]
+
     def pass_(self, n: int) -> None:
-        self.held, self.at = self.held[n:], self.at + n
+        self.skip += n
+
+
+def _member(w: _Window, at: int) -> tuple[int, bytes] | None:
+    """Length and content of the gzip member of a record ``at`` bytes on; None if there is none."""
+    while w.left < at + len(MAGIC) and w.grow():
+        pass
+    ok = _begins_record(bytes(w.view(at)[:HEADER_STEP]))
+    step = HEADER_STEP
+    while ok is None:
+        if w.left <= at + step and not w.grow():
+            return None
+        step *= 2
+        ok = _begins_record(bytes(w.view(at)[:step]))
+    if not ok:
+        return None
+    z, out, used = zlib.decompressobj(31), [], at
+    try:
+        while not z.eof:
+            if used == w.left and not w.grow():
+                return None
+            part = w.view(used)
+            out.append(z.decompress(part))
+            used = w.left - len(z.unused_data)
+    except zlib.error:
+        return None
+    return used - at, b"".join(out)
+
+
+def _sure(w: _Window, size: int) -> bool:
+    """Whether the member here, of ``size`` bytes, and those after it go on as no payload's could."""
+    at = size
+    while at <= STORED:
+        if w.at + at >= w.size:
+            return True
+        found = _member(w, at)
+        if found is None:
+            return False
+        at += found[0]
+    return True
 
 
 def read_split(file, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Records whose member starts in [start, end): (offset, headers, block)."""
+    """Records whose member starts in [start, end): (offset, headers, block).
+
+    What lies between records is passed over, but a record in the 64 KiB before a gap counts
+    only if a record of its own range went before it.
+    """
     w = _Window(file, start)
-    sure = False  # right after a record another one must begin
+    sure = start == 0  # at the start of a file and right after a record there is no doubt
     while w.at < end:
-        if len(w.held) < len(MAGIC) and not w.grow() and not w.held:
+        if w.left < len(MAGIC) and not w.grow() and not w.left:
             return
         if not sure:
-            at = w.held.find(MAGIC)
+            at = w.held.find(MAGIC, w.skip)
             if at < 0:
-                w.pass_(max(0, len(w.held) - len(MAGIC) + 1))
+                w.pass_(max(0, w.left - len(MAGIC) + 1))
                 if not w.grow():
                     return
                 continue
-            w.pass_(at)
+            w.pass_(at - w.skip)
             if w.at >= end:
                 return
-            ok = _begins_record(w.held)
-            while ok is None and w.grow():
-                ok = _begins_record(w.held)
-            if not ok:
+        found = _member(w, 0)
+        head = parse_head(found[1]) if found else None
+        if head is None or not (sure or _sure(w, found[0])):
+            if not sure:
                 w.pass_(1)
-                continue
-        z, out, used = zlib.decompressobj(31), [], 0
-        try:
-            while not z.eof:
-                if used == len(w.held):
-                    w.pass_(used)
-                    used = 0
-                    if not w.grow():
-                        raise zlib.error("cut short")
-                begin, part = (w.at, w.held) if not out and not used else (begin, w.held[used:])
-                out.append(z.decompress(part))
-                used = len(w.held) - len(z.unused_data)
-            raw = b"".join(out)
-            head = parse_head(raw)
-        except zlib.error:
-            head = None
-        if head is None:
-            if sure:  # not a record after all: look for the next magic
-                sure = False
-                continue
-            w.pass_(1)
+            sure = False
             continue
-        w.pass_(used)
-        if not sure:  # a payload may hold a record of its own: a true one is followed by another, or nothing
-            follows = _begins_record(w.held) if len(w.held) >= len(MAGIC) else None
-            while follows is None and w.grow():
-                follows = _begins_record(w.held)
-            if not follows and w.held:
-                continue
+        size, raw = found
         body = raw.find(b"\r\n\r\n") + 4
-        yield begin, head, raw[body : body + int(head["content-length"])]
+        yield w.at, head, raw[body : body + int(head["content-length"])]
+        w.pass_(size)
         sure = True
 
 
@@ -255,8 +297,8 @@ def read_archives(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYT
                             payload = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
                             size, digest = len(payload), hashlib.sha256(payload).hexdigest()
                         number = lambda x: int(x) if x.lstrip("-").isdigit() else None
-                        refers = head.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
-                        rows.append((path, offset, kind, number(head.get("x-page-id", "")), head.get("warc-target-uri"), size, digest, number(refers), payload))
+                        refers = number(head.get("x-refers-to-page-id", ""))
+                        rows.append((path, offset, kind, number(head.get("x-page-id", "")), head.get("warc-target-uri"), size, digest, refers, payload))
                         held += len(payload or b"")
                         if len(rows) >= 1000 or held > 8 << 20:
                             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], types)
