@@ -22,12 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import mixed, small_batches, splittable, written
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 24_000
-#: Lexicon entries, at most.
-TERMS = 3_000
+#: Min-hashes of a text that tell how many of the sampled texts are like it.
+SKETCH = 8
+#: What a text without copies weighs; copies share it. Whole numbers add up the same in any order.
+WHOLE = 840
 #: Lengths of the stems that the lexicon may hold, beside whole words.
 STEMS = (3, 4, 5, 6, 7, 8)
 #: Deterministic states remembered before they are made anew.
@@ -223,107 +225,137 @@ def _fit_weights(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
     return w
 
 
-def choose(rows: list[tuple[str, bool, int, int]], positives: int, negatives: int) -> Lexicon:
-    """A lexicon of the features whose documents are toxic more often than chance allows.
+def telling(counts: DataFrame, positives: int, negatives: int) -> DataFrame:
+    """The features of ``counts`` (w, stem, pos, neg) whose texts are toxic more often than
+    chance allows, as (w, stem, share, gain): a test of likelihoods that asks for more the more
+    features are mostly toxic in three texts or more. Weights are in ``WHOLE``s."""
+    base = (positives + WHOLE) / (positives + negatives + 2 * WHOLE)
+    able = counts.where((F.col("pos") >= 3 * WHOLE) & (F.col("pos") > F.col("neg")))
+    tried = max(2, able.count())
+    n = (F.col("pos") + F.col("neg")) / float(WHOLE)
+    share = F.col("pos") / (F.col("pos") + F.col("neg"))
+    rest = F.greatest(1 - share, F.lit(1e-12))
+    gain = n * (share * F.log(share / base) + (1 - share) * F.log(rest / (1 - base)))
+    own = able.where(share > max(0.6, 2 * base))
+    return own.select("w", "stem", share.alias("share"), gain.alias("gain")).where(F.col("gain") >= math.log(tried) + 1)
 
-    ``rows``: (word or stem, is a stem, toxic documents, other documents). A stem stands
-    for all words and longer stems that begin with it.
+
+def choose(rows: list[tuple[str, bool, float]]) -> Lexicon:
+    """A lexicon of telling features (word or stem, is a stem, share of toxic texts).
+
+    A stem stands for all words and longer stems that begin with it.
     """
-    base = (positives + 1) / (positives + negatives + 2)
-    need = math.log(max(len(rows), 2)) + 1
-    good = []
-    for w, is_stem, pos, neg in rows:
-        n, share = pos + neg, pos / max(1, pos + neg)
-        if share <= max(0.6, 2 * base) or pos < 3:
-            continue
-        odds = share * math.log(share / base) + (1 - share) * math.log(max(1 - share, 1e-12) / (1 - base))
-        if n * odds >= need:
-            good.append((w, is_stem, n * odds, share))
-    # Of a stem and what begins with it, the stem if it's as telling.
-    pure = {w: (gain, share) for w, is_stem, gain, share in good if is_stem}
     stems: list[str] = []
-    for w in sorted(pure, key=len):
-        if pure[w][1] >= 0.9 and not any(w[:k] in stems for k in range(2, len(w))):
+    kept: set[str] = set()
+    for w in sorted((w for w, is_stem, share in rows if is_stem and share >= 0.9), key=lambda w: (len(w), w)):
+        if not any(w[:k] in kept for k in range(2, len(w))):
             stems.append(w)
-    kept = set(stems)
-    terms = [(gain, w) for w, is_stem, gain, _ in good if not is_stem and not any(w[:k] in kept for k in range(2, len(w) + 1))]
-    terms = [w for _, w in sorted(terms, reverse=True)]
-    return Lexicon([*SEED, *terms[:TERMS]], stems[:TERMS])
+            kept.add(w)
+    terms = [w for w, is_stem, _ in rows if not is_stem and not any(w[:k] in kept for k in range(2, len(w) + 1))]
+    return Lexicon([*SEED, *terms], stems)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Scorer:
-    """Learn lexicon and weights from the labelled documents.
+def sketch(text: str) -> list[int]:
+    """Min-hashes of a text's four-word grams."""
+    w = text.lower().split()
+    grams = {" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))}
+    own = np.array([xxhash.xxh64_intdigest(g) for g in grams], dtype=np.uint64)
+    return [int(mixed(own ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)).min() >> np.uint64(1)) for k in range(1, SKETCH + 1)]
+
 
-    At most ``sample`` labelled rows are used, those with the least hash of the id; they
-    are the only bound here. Documents that share a sketch (near copies) count once.
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
+    """(text, pos, neg): the labelled texts with the weight of either label.
+
+    A text counts once however many rows hold it, and its labels share its weight. Near
+    copies share weights too: a text's is divided by its expected number of likes, the mean
+    over its min-hashes of how many sampled texts agree on one.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
     own = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    own = own.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"])
+    own = own.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
     own = own.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null and id is not null")
-    rows = texts.join(F.broadcast(own), "id").select("y", "text")  # at most ``sample`` pairs of numbers are broadcast
+    rows = texts.join(F.broadcast(own), "id")  # at most ``sample`` pairs of numbers are broadcast
+    rows = rows.groupBy(F.sha2("text", 256).alias("key")).agg(F.any_value("text").alias("text"), F.count("*").alias("n"), F.sum((F.col("y") * WHOLE).cast("long")).alias("y"))
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sketch = []
-            for t in b["text"].to_pylist():
-                w = t.lower().split()
-                grams = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
-                sketch.append(min(xxhash.xxh64_intdigest(g) >> 1 for g in grams))
-            yield pa.RecordBatch.from_arrays([b["y"], b["text"], pa.array(sketch, pa.int64())], ["y", "text", "sketch"])
-
-    rows = rows.mapInArrow(sketched, "y int, text string, sketch long").dropDuplicates(["sketch"]).select("y", "text").persist()
-    try:
-        total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-
-        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            names = ["w", "stem", "neg", "pos"]
-
-            def out() -> pa.RecordBatch:
-                keys = list(seen[0].keys() | seen[1].keys())
-                got = pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), *(pa.array([c[k] for k in keys], pa.int64()) for c in seen)], names
-                )
-                seen[0].clear()
-                seen[1].clear()
-                return got
-
-            for b in batches:
-                for y, t in zip(b["y"].to_pylist(), b["text"].to_pylist(), strict=True):
-                    words = set(_WORD.findall(t.lower()))
-                    seen[y].update((w, False) for w in words if len(w) > 2)
-                    seen[y].update((s, True) for s in {w[:k] for w in words for k in STEMS if len(w) > k})
-                if len(seen[0]) + len(seen[1]) > 600_000:
-                    yield out()
-            yield out()
-
-        counts = rows.mapInArrow(counted, "w string, stem boolean, neg long, pos long").groupBy("w", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        telling = counts.where("pos >= 3 and pos > neg").orderBy(F.desc(F.col("pos") / (F.col("neg") + 1)), "w", "stem").limit(20 * TERMS)
-        lexicon = choose([(r["w"], r["stem"], r["pos"], r["neg"]) for r in telling.collect()], total.get(1, 0), total.get(0, 0))
-        first = Scorer(lexicon)
-
-        def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: Counter = Counter()
-            for b in batches:
-                for y, t in zip(b["y"].to_pylist(), b["text"].to_pylist(), strict=True):
-                    x = first.features(t)
-                    seen[y, tuple(np.round(x, 2).tolist()) if x is not None else ()] += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in seen], pa.int32()), pa.array([list(k[1]) for k in seen], pa.list_(pa.float64())), pa.array(list(seen.values()), pa.int64())], ["y", "x", "n"]
+            got = [sketch(t) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.list_(pa.int64()))], [*b.schema.names, "sketch"])
+
+    small_batches(spark, 500)
+    rows = written(rows.mapInArrow(each, "key string, text string, n long, y long, sketch array<long>"), "sampled")
+    marks = rows.select("key", F.posexplode("sketch").alias("i", "m"))
+    alike = marks.groupBy("i", "m").agg(F.count("*").alias("alike"))
+    likes = marks.join(splittable(alike), ["i", "m"]).groupBy("key").agg(F.sum("alike").alias("likes"))
+    weight = F.floor(F.lit(WHOLE * SKETCH) / F.col("likes")) + 1  # no text goes
+    share = F.col("y") / (F.col("n") * WHOLE)
+    own = rows.join(likes, "key").select("text", weight.alias("w"), F.rint(weight * share).cast("long").alias("pos"))
+    return written(own.select("text", "pos", (F.col("w") - F.col("pos")).alias("neg")), "weighed")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Scorer:
+    """Learn lexicon and weights from the labelled documents.
+
+    At most ``sample`` labelled ids are used, those with the least hash; nothing else is
+    bounded, so the lexicon's size follows from the sample alone. Clashing labels of an id or
+    of a text are averaged, and copies share a text's weight (``sampled``). The result
+    doesn't hang on how rows are dealt out.
+    """
+    rows = sampled(docs, labels, id_col, text_col, label_col, sample)
+    total = rows.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        names = ["w", "stem", "pos", "neg"]
+
+        def out() -> pa.RecordBatch:
+            keys = list(seen[0].keys() | seen[1].keys())
+            got = pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), *(pa.array([c[k] for k in keys], pa.int64()) for c in seen)], names
             )
+            seen[0].clear()
+            seen[1].clear()
+            return got
 
-        found = rows.mapInArrow(described, "y int, x array<double>, n long").collect()  # at most a row per sampled document
-    finally:
-        rows.unpersist()
-    nothing = [1.0] + [0.0] * (len(FEATURES) - 1)
-    if found:
-        x = np.array([r["x"] or nothing for r in found])
-        weights = _fit_weights(x, np.array([float(r["y"]) for r in found]), np.array([float(r["n"]) for r in found]))
-        return Scorer(lexicon, weights)
-    return first
+        for b in batches:
+            for t, *both in zip(b["text"].to_pylist(), b["pos"].to_pylist(), b["neg"].to_pylist(), strict=True):
+                words = set(_WORD.findall(t.lower()))
+                keys = [(w, False) for w in words if len(w) > 2]
+                keys += [(s, True) for s in {w[:k] for w in words for k in STEMS if len(w) > k}]
+                for c, n in zip(seen, both, strict=True):
+                    if n:
+                        for k in keys:
+                            c[k] += n
+            if len(seen[0]) + len(seen[1]) > 600_000:
+                yield out()
+        yield out()
+
+    counts = rows.mapInArrow(counted, "w string, stem boolean, pos long, neg long").groupBy("w", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = written(counts, "features")
+    # What a test of the sample leaves; the sample bounds it.
+    lexicon = choose([(r["w"], r["stem"], r["share"]) for r in telling(counts, total["pos"] or 0, total["neg"] or 0).collect()])
+    first = Scorer(lexicon)
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, list[int]] = {}
+        for b in batches:
+            for t, *both in zip(b["text"].to_pylist(), b["pos"].to_pylist(), b["neg"].to_pylist(), strict=True):
+                x = first.features(t)
+                own = seen.setdefault(tuple(np.round(x, 2).tolist()) if x is not None else (), [0, 0])
+                own[0] += both[0]
+                own[1] += both[1]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([list(k) for k in seen], pa.list_(pa.float64())), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1))], ["x", "pos", "neg"]
+        )
+
+    found = rows.mapInArrow(described, "x array<double>, pos long, neg long").groupBy("x").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()  # at most a row a sampled text
+    found = sorted((tuple(r["x"]), r["pos"], r["neg"]) for r in found)
+    if not found:
+        return first
+    nothing = (1.0, *[0.0] * (len(FEATURES) - 1))
+    n = np.array([p + q for _, p, q in found], dtype=float)
+    return Scorer(lexicon, _fit_weights(np.array([x or nothing for x, _, _ in found]), np.array([p for _, p, _ in found]) / n, n / WHOLE))
 
 
 def scores(docs: DataFrame, model: Scorer, text_col: str = "text", out_col: str = "score") -> DataFrame:
@@ -335,7 +367,7 @@ def scores(docs: DataFrame, model: Scorer, text_col: str = "text", out_col: str
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != out_col]
     at = kept.index(text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * TERMS short strings
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # short strings, as many as a bounded sample holds
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = sent.value.score
