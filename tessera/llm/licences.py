@@ -1,7 +1,7 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from directories.
 
-Every line of every text, and every licence file as a whole, is compared with notice
-templates as sparse TF-IDF vectors; document frequencies come from all texts. A file
+Every line and every paragraph of every text, and every licence file as a whole, is
+compared with notice templates as sparse TF-IDF vectors; document frequencies come from all texts. A file
 without a licence of its own takes that of the nearest ancestor directory that holds a
 licence file, found by joining paths. All of it is DataFrame operations.
 """
@@ -33,6 +33,15 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
     ("proprietary", "Copyright. All rights reserved."),
 )
@@ -40,6 +49,8 @@ LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([-._].*)?$"
 THRESHOLD = 0.6
 #: What separates tokens.
 GAP = "[^a-z0-9]+"
+#: What separates paragraphs: a line without tokens, and all such lines after it.
+BREAK = "\n[^a-z0-9\n]*\n[^a-z0-9]*"
 
 
 def tokens(text: str) -> list[str]:
@@ -47,7 +58,8 @@ def tokens(text: str) -> list[str]:
 
 
 def _tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), GAP), lambda x: x != "")
+    """Of a text in small letters."""
+    return F.filter(F.split(text, GAP), lambda x: x != "")
 
 
 def idf(n: int, df: int) -> float:
@@ -133,8 +145,8 @@ def scan(
 ) -> DataFrame:
     """``files`` without its text and with licence, similarity, via and inherited_from.
 
-    A file's own licence is that of the template nearest to any of its lines, or to the
-    whole of a licence file, if the cosine reaches ``threshold``; via is then 'own'. Else
+    A file's own licence is that of the template nearest to any of its lines or paragraphs,
+    or to the whole of a licence file, if the cosine reaches ``threshold``; via is then 'own'. Else
     it is the licence of the nearest ancestor directory, its own included, with a licence
     file that has one ('inherited'; of several the most similar, then the smallest path).
     Else all four are null. Null and empty texts have no licence of their own; null paths
@@ -151,12 +163,16 @@ def scan(
     w = Weights(df.pop("", 0), df, templates, threshold)
     needed = F.array(*(F.lit(t) for t in w.needed))
     named = F.coalesce(F.element_at(F.split(path, "/"), -1).rlike(licence_file), F.lit(False))
-    lines = F.filter(F.transform(F.split(text, "\n"), _tokens), lambda x: F.arrays_overlap(x, needed))
-    units = F.concat(lines, F.when(named, F.array(_tokens(text))).otherwise(F.expr("array()")))
-    units = F.when(F.arrays_overlap(F.split(F.lower(text), GAP), needed), units)
+    low = F.lower(text)
+    near = lambda x: F.arrays_overlap(x, needed)
+    lines = F.transform(F.split(low, "\n"), _tokens)
+    # A paragraph of one line is that line.
+    wrapped = F.transform(F.filter(F.split(low, BREAK), lambda x: x.contains("\n")), _tokens)
+    units = F.concat(F.filter(F.concat(lines, wrapped), near), F.when(named, F.array(_tokens(low))).otherwise(F.expr("array()")))
+    units = F.when(near(F.split(low, GAP)), units)
     names = F.array(*(F.lit(n) for n, _ in templates))
     # Written, as several plans read it and none should compare texts again.
-    own = written(files.select(*(F.col(f"`{c}`") for c in kept), path.alias("_path"), named.alias("_named"), units.alias("_units"), F.monotonically_increasing_id().alias("_row")), "lines")
+    own = written(files.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_kept"), path.alias("_path"), named.alias("_named"), units.alias("_units"), F.monotonically_increasing_id().alias("_row")), "lines")
     best = _best(own.select("_row", F.posexplode("_units").alias("_at", "t")), counts, w)
     own = written(own.drop("_units").join(splittable(best), "_row", "left").drop("_row"), "licences")
     own = own.withColumn("_own", F.when(F.col("_best.cosine") >= threshold, F.element_at(names, 1 - F.col("_best.template"))))
@@ -170,13 +186,13 @@ def scan(
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     asks = own.where("_own is null and _path is not null").select("_path").distinct()
     asks = asks.select("_path", F.posexplode(above).alias("depth", "dir"))
-    heirs = asks.join(held, "dir").groupBy("_path").agg(F.max_by("speaks", "depth").alias("from"))
-    heirs = splittable(heirs.select(F.col("_path").alias("_heir"), "from"))
+    heirs = asks.join(held, "dir").groupBy("_path").agg(F.max_by("speaks", "depth").alias("_from"))
+    heirs = splittable(heirs.select(F.col("_path").alias("_heir"), "_from"))
     out = own.join(heirs, (F.col("_path") == F.col("_heir")) & F.col("_own").isNull(), "left")
     return out.select(
-        *(F.col(f"`{c}`") for c in kept),
-        F.coalesce("_own", "from._own").alias("licence"),
+        *(F.col(f"_kept.`{c}`") for c in kept),
+        F.coalesce("_own", "_from._own").alias("licence"),
         F.when(F.col("_own").isNotNull(), F.col("_best.cosine")).alias("similarity"),
-        F.when(F.col("_own").isNotNull(), "own").when(F.col("from").isNotNull(), "inherited").alias("via"),
-        F.col("from._path").alias("inherited_from"),
+        F.when(F.col("_own").isNotNull(), "own").when(F.col("_from").isNotNull(), "inherited").alias("via"),
+        F.col("_from._path").alias("inherited_from"),
     )

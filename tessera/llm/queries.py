@@ -19,6 +19,45 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM q
 """
 
+
+def _op3_sql() -> str:
+    values = ", ".join(f"({j}, '{name}', '{text.lower().replace(chr(39), chr(39) * 2)}')" for j, (name, text) in enumerate(licences.TEMPLATES))
+    return rf"""
+WITH f AS (
+  SELECT row_number() OVER () AS r, doc_id, concat_ws('/', source, CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR),
+         CASE WHEN doc_id % 50 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END) AS path,
+         doc_id % 50 = 0 AS named, lower(coalesce(text, '')) AS t FROM documents),
+n AS (SELECT count(*) AS n FROM f),
+df AS (SELECT w, count(*) AS df FROM (SELECT DISTINCT r, unnest(regexp_extract_all(t, '[a-z0-9]+')) AS w FROM f) GROUP BY w),
+tpl(j, licence, body) AS (VALUES {values}),
+tw AS (SELECT j, w, tf * (ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1.0) AS x
+       FROM (SELECT j, w, count(*) AS tf FROM (SELECT j, unnest(regexp_extract_all(body, '[a-z0-9]+')) AS w FROM tpl) GROUP BY j, w)
+       LEFT JOIN df USING (w) CROSS JOIN n),
+tu AS (SELECT j, w, x / sqrt(sum(x * x) OVER (PARTITION BY j)) AS x FROM tw),
+u AS (SELECT r, unnest(list_concat(list_concat(string_split(t, chr(10)),
+             list_filter(string_split_regex(t, '
+[^a-z0-9
+]*
+[^a-z0-9]*'), lambda p: contains(p, chr(10)))), CASE WHEN named THEN [t] ELSE [] END)) AS body FROM f),
+v AS (SELECT row_number() OVER () AS k, r, body FROM u),
+vw AS (SELECT k, r, w, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS x
+       FROM (SELECT k, r, w, count(*) AS tf FROM (SELECT k, r, unnest(regexp_extract_all(body, '[a-z0-9]+')) AS w FROM v) GROUP BY k, r, w)
+       JOIN df USING (w) CROSS JOIN n),
+size AS (SELECT k, r, sqrt(sum(x * x)) AS size FROM vw GROUP BY k, r),
+dot AS (SELECT k, j, sum(vw.x * tu.x) AS d FROM vw JOIN tu USING (w) GROUP BY k, j),
+best AS (SELECT r, j, round(d / size, 9) AS c, row_number() OVER (PARTITION BY r ORDER BY round(d / size, 9) DESC, j) AS p FROM dot JOIN size USING (k)),
+own AS (SELECT f.r, f.doc_id, f.path, f.named, tpl.licence, best.c AS similarity
+        FROM f LEFT JOIN best ON best.r = f.r AND best.p = 1 AND best.c >= {licences.THRESHOLD} LEFT JOIN tpl USING (j)),
+held AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, licence, path,
+         row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY similarity DESC, path) AS p FROM own WHERE named AND licence IS NOT NULL),
+above AS (SELECT r, i, array_to_string(string_split(path, '/')[1 : i], '/') AS dir FROM (SELECT r, path, unnest(range(0, len(string_split(path, '/')))) AS i FROM own WHERE licence IS NULL)),
+heirs AS (SELECT r, held.licence, held.path, row_number() OVER (PARTITION BY r ORDER BY i DESC) AS p FROM above JOIN held ON held.dir = above.dir AND held.p = 1)
+SELECT own.doc_id, own.path, coalesce(own.licence, heirs.licence) AS licence, own.similarity,
+       CASE WHEN own.licence IS NOT NULL THEN 'own' WHEN heirs.licence IS NOT NULL THEN 'inherited' END AS via, heirs.path AS inherited_from
+FROM own LEFT JOIN heirs ON heirs.r = own.r AND heirs.p = 1
+"""
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d),
@@ -109,4 +148,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op8_kd_search": OP8_SQL, "op9_warc": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_licences": _op3_sql(), "op8_kd_search": OP8_SQL, "op9_warc": OP9_SQL}
