@@ -82,6 +82,14 @@ def splittable(df: DataFrame, merge: bool = False) -> DataFrame:
     return out.hint("merge") if merge else out
 
 
+def fresh(name: str, taken) -> str:
+    """``name``, with as many underscores before it as make it no column of ``taken``."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

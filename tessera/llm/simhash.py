@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import as_long, components, forest, small_batches, splittable, text_bytes, written
+from tessera.llm.common import as_long, components, forest, fresh, small_batches, splittable, text_bytes, written
 
 BITS = 64
 #: Rows of a tile beyond which it is split into square sub-tiles.
@@ -176,21 +176,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
-    columns = docs.columns
+    columns, mark = docs.columns, fresh("_fp", docs.columns)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, width, seed) for t in text_bytes(b.column(at))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(as_long(fps))], [*columns, "_fp"])
-
-    marked = docs.mapInArrow(each, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
-    order = F.struct(F.col(id_col).isNull(), id_col, text_col)
-    whole = F.struct(*(F.col(f"`{c}`") for c in columns))
-    firsts = written(marked.groupBy("_fp").agg(F.min_by(whole, order).alias("row")), "firsts")
-    fps = firsts.select(F.col("_fp").alias("fp"), F.col("row")[id_col].cast("long").alias("id"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(as_long(fps))], [*columns, mark])
+
+    marked = docs.mapInArrow(each, StructType([*docs.schema.fields, StructField(mark, LongType())]))
+    own = lambda c: F.col(f"`{c}`")
+    whole = F.struct(*(own(c) for c in columns))
+    order = F.struct(own(id_col).isNull(), own(id_col), own(text_col))
+    firsts = written(marked.groupBy(own(mark).alias("fp")).agg(F.min_by(whole, order).alias("row"), F.min(order).alias("order")), "firsts")
+    fps = firsts.select("fp", F.col("row")[id_col].cast("long").alias("id"))
     roots = written(_roots(fps, radius).select("fp", "root"), "roots")
-    own = firsts.join(splittable(roots), firsts["_fp"] == roots["fp"]).select("root", "row.*")
-    return own.groupBy("root").agg(F.min_by(whole, order).alias("row")).select("row.*")
+    found = firsts.join(splittable(roots), "fp").groupBy("root").agg(F.min_by("row", "order").alias("row"))
+    return found.select("row.*")
 
 
 def near_duplicates(

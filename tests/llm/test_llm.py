@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -148,27 +149,33 @@ def test_components_chain(spark):
 
 def plain_licences(rows, templates, threshold):
     n = len(rows)
-    vocabulary = {t for _, x in templates for t in licences.tokens(x)}
-    df = Counter(t for _, x in rows for t in set(licences.tokens(x or "")) & vocabulary)
-    weight = {t: licences.idf(n, df[t]) for t in vocabulary}
+    split = lambda x: re.findall("[a-z0-9]+", (x or "").lower())
+    df = Counter(t for _, x in rows for t in set(split(x)))
+    weight = lambda t: math.log((1 + n) / (1 + df[t])) + 1
 
     def vector(x):
-        return {t: c * weight.get(t, 0) for t, c in Counter(licences.tokens(x)).items() if t in vocabulary}
+        return {t: c * weight(t) for t, c in Counter(split(x)).items()}
+
+    size = lambda v: math.sqrt(sum(w * w for w in v.values()))
 
     def best(x):
-        own, odd = vector(x), sum(t not in vocabulary for t in licences.tokens(x))
-        size = math.sqrt(sum(w * w for w in own.values()) + odd * licences.idf(n, 0) ** 2)
-        found = (0.0, 0)
+        own, found = vector(x), (0.0, 0)
         for j, (_, y) in enumerate(templates):
             v = vector(y)
             dot = sum(w * v.get(t, 0) for t, w in own.items())
-            cosine = round(dot / size / math.sqrt(sum(w * w for w in v.values())), 9) if size else 0.0
-            found = max(found, (cosine, -j))
+            found = max(found, (round(dot / size(own) / size(v), 9) if own else 0.0, -j))
         return found
 
     own = {}
     for i, (path, x) in enumerate(rows):
         units = (x or "").split("\n")
+        paragraph: list[str] = []
+        for line in [*units, ""]:
+            if split(line):
+                paragraph.append(line)
+            else:
+                units.append(" ".join(paragraph))
+                paragraph = []
         if path and re.match(licences.LICENCE_FILE, path.split("/")[-1]):
             units.append(x or "")
         c, j = max(best(u) for u in units)
@@ -197,10 +204,12 @@ def test_licences(spark):
         ("a/LICENSE", "MIT\n" + mit), ("a/b/x.py", "code mit die"), ("a/b/c/y.py", None), ("a/b/COPYING.txt", "Licensed under the Apache License, Version 2.0."),
         ("z/q.py", "text\nReleased under the MIT License.\nmore text"), ("z/r.py", "nothing at all"), ("LICENSE", ""), ("top.py", ""), (None, "Released under the MIT License."), (None, None),
         ("a/LICENSE-2", "Licensed under the Apache License, Version 2.0."), ("z/r.py", "nothing at all"), ("a/long.txt", "lorem the " * 4000),
+        ("g/gpl.py", "x = 1\n# **\n# This program is free software: you can redistribute it\n#  and/or modify it under the terms of the GNU General Public License\n# as published by the Free Software Foundation, either version 3\n# of the License, or (at your option) any later version.\n#\n\n# more"),
     ]
-    files = spark.createDataFrame([(p, t, "old", "c") for p, t in rows], "path string, text string, via string, dir string")
+    files = spark.createDataFrame([(p, t, "old", "c", "f", 1) for p, t in rows], "path string, text string, via string, dir string, `from` string, _own int")
     got = licences.scan(files)
-    assert got.columns == ["path", "dir", "licence", "similarity", "via", "inherited_from"]
+    assert got.columns == ["path", "dir", "from", "_own", "licence", "similarity", "via", "inherited_from"]
+    assert [r["licence"] for r in got.collect() if r["path"] == "g/gpl.py"] == ["GPL-3.0"]
     key = lambda x: tuple(str(v) for v in x)
     assert sorted(((r["path"], r["licence"], r["via"]) for r in got.collect()), key=key) == sorted(plain_licences(rows, licences.TEMPLATES, 0.6), key=key)
     assert licences.scan(files.limit(0)).collect() == []
@@ -437,6 +446,34 @@ def test_warc_long_urls(at):
         assert [h["warc-target-uri"] == u for (_, h, _), u in zip(got, urls, strict=True)] == [True] * 4
 
 
+def test_warc_nested_archives():
+    """Payloads that are archives themselves, stored as they are, of a few and of many records."""
+    rng = random.Random(3)
+    inner = lambda n, size: b"".join(warc.record("in", rng.randbytes(size), "d", 900 + i, None, False, "2024") for i in range(n))
+    payloads = [inner(3, 9000), rng.randbytes(200), inner(400, 300), inner(2, 200_000), b"", inner(1, 70_000)]
+
+    def stored(raw):
+        z = zlib.compressobj(0, zlib.DEFLATED, 31)
+        return z.compress(zlib.decompress(raw, 31)) + z.flush()
+
+    parts = [stored(warc.record("u", p, "d", i, None, False, "2024")) for i, p in enumerate(payloads)]
+    assert b"".join(parts).count(warc.MAGIC) > 100  # stored, not deflated
+    for end in (b"", b"\x1f\x8b\x08 torn"):
+        blob = b"".join(parts) + end
+        for split in (5_000, 20_000, 1 << 30):
+            got = [x for s in range(0, len(blob), split) for x in warc.read_split(pa.BufferReader(blob), s, min(len(blob), s + split))]
+            if not end:
+                assert [int(h["x-page-id"]) for _, h, _ in got] == list(range(6))
+                assert [b.partition(b"\r\n\r\n")[2] for _, _, b in got] == payloads
+            else:
+                assert not {int(h["x-page-id"]) for _, h, _ in got} & set(range(900, 1300))
+
+
+def test_warc_refers_to_the_record(tmp_path):
+    first, again = (warc.parse_head(zlib.decompress(warc.record("u", b"x" * 200, "d" * 64, k, 4, k != 4, "2024"), 31)) for k in (4, 9))
+    assert again["warc-refers-to"] == first["warc-record-id"] != again["warc-record-id"]
+
+
 def test_sentencepiece(spark, texts):
     import public_tokenizers
     import sentencepiece
