@@ -32,6 +32,8 @@ SKETCH = 8
 WHOLE = 840
 #: Lengths of the stems that the lexicon may hold, beside whole words.
 STEMS = (3, 4, 5, 6, 7, 8)
+#: Features counted in a worker before the counts go on.
+HELD = 200_000
 #: Deterministic states remembered before they are made anew.
 STATES = 50_000
 #: Words on either side of a hit that are its context.
@@ -327,8 +329,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     if n:
                         for k in keys:
                             c[k] += n
-            if len(seen[0]) + len(seen[1]) > 600_000:
-                yield out()
+                if len(seen[0]) + len(seen[1]) > HELD:
+                    yield out()
         yield out()
 
     counts = rows.mapInArrow(counted, "w string, stem boolean, pos long, neg long").groupBy("w", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
