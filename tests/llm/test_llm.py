@@ -328,33 +328,58 @@ def vecs(spark):
 
 
 def plain_search(rows, every, k, turn, zero):
-    own = {}
+    """By row: a repeated id stands for as many queries and candidates."""
+    own = []
     for i, v, _ in rows:
         if i is not None and v and all(y is not None and math.isfinite(y) for y in v) and (zero or any(v)):
-            own[i] = turn(np.array(v, dtype=np.float64))
-    out = {}
-    for q in own:
-        if q % every == 0:
-            s = sorted(((-vectors.dots(own[q][None], c[None])[0], i) for i, c in own.items() if i != q and len(c) == len(own[q])))[:k]
-            out[q] = [(i, -x) for x, i in s]
-    return {q: x for q, x in out.items() if x}
-
-
-def test_vector_searches(spark):
+            own.append((i, turn(np.array(v, dtype=np.float64))))
+    out = []
+    for a, (i, q) in enumerate(own):
+        if i % every == 0:
+            near = sorted((-vectors.dots(q[None], c[None])[0], j) for b, (j, c) in enumerate(own) if b != a and len(c) == len(q))[:k]
+            out += [(i, r, j, -s) for r, (s, j) in enumerate(near, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("pilot", [2048, 16])
+def test_vector_searches(spark, monkeypatch, pilot):
+    monkeypatch.setattr(vectors, "PILOT", pilot)
+    monkeypatch.setattr(vectors, "GROWTH", 4)
+    monkeypatch.setattr(vectors, "QUERY_BYTES", 10_000 if pilot == 16 else 8 << 20)
     df, rows = vecs(spark)
-    for got, want in (
-        (vectors.one_bit_search(df, 20, 20), plain_search(rows, 20, 20, lambda v: v, False)),
-        (vectors.kd_search(df, 50, 5), plain_search(rows, 50, 5, lambda v: np.floor(256 * v), True)),
-    ):
-        mine = {}
-        for r in got.orderBy("query_id", "rank").collect():
-            mine.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-        assert mine.keys() == want.keys()
-        hits = sum(len({i for i, _ in mine[q]} & {i for i, _ in want[q]}) for q in want) / sum(map(len, want.values()))
-        assert hits >= 0.99
-        if dict(got.dtypes)["score"] == "bigint":
-            assert mine == {q: [(i, int(s)) for i, s in x] for q, x in want.items()}
+    got = sorted(tuple(r) for r in vectors.kd_search(df, 50, 5).collect())
+    assert got == [(q, r, i, int(s)) for q, r, i, s in plain_search(rows, 50, 5, lambda v: np.floor(256 * v), True)]
+    got = vectors.one_bit_search(df, 20, 20)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    got, want = Counter((r["query_id"], r["vec_id"], r["score"]) for r in got.collect()), Counter((q, i, s) for q, _, i, s in plain_search(rows, 20, 20, lambda v: v, False))
+    assert got.total() == want.total() and (got & want).total() >= 0.95 * want.total()
     assert vectors.one_bit_search(df.limit(0)).collect() == [] and vectors.kd_search(df.limit(0)).collect() == []
+    assert vectors.kd_search(df.where("vec_id % 50 <> 0")).collect() == []
+
+
+def test_whole_numbers_of_any_size(spark):
+    rows = [(i, [float(x) for x in v], "") for i, v in enumerate([(1e12, 3), (1e12, 2), (-1e12, 9), (1e11, 1e11), (0, 0)] * 3)]
+    got = sorted(tuple(r) for r in vectors.kd_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, x string"), 7, 4).collect())
+    want = []
+    ints = [[math.floor(256 * x) for x in v] for _, v, _ in rows]
+    for i in range(0, len(rows), 7):
+        near = sorted((-min(2**63 - 1, max(-(2**63), a)), -a, j) for j, c in enumerate(ints) if j != i for a in [sum(x * y for x, y in zip(ints[i], c, strict=True))])
+        want.append((i, [s for s, _, _ in near[:4]]))
+    assert [(i, [-s for s in x]) for i, x in want] == [(i, [r[3] for r in got if r[0] == i]) for i, _ in want]
+
+
+def test_kd_tree_prunes():
+    """Clustered points: most leaves can't hold a score that counts."""
+    rng = np.random.default_rng(1)
+    points = np.floor(256 * (rng.standard_normal((40, 8)).repeat(200, axis=0) + 0.05 * rng.standard_normal((8000, 8))))
+    scan = vectors.KdScan(np.arange(0, 8000, 50), points[::50], np.full(160, -np.inf), 5)
+    scan.meet(np.arange(8000), np.arange(8000), points)
+    assert scan.visited < 0.35 * scan.leaves
+    q, s, i, _ = scan.best.held
+    for a in range(160):
+        score = points @ points[50 * a]
+        score[50 * a] = -np.inf
+        assert s[q == a].tolist() == np.sort(score)[::-1][:5].tolist()
 
 
 def test_packing(spark, texts):
