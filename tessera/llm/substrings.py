@@ -2,21 +2,23 @@
 
 Documents stream through suffix automata of reference shards; their matching statistics
 give the windows of ``window`` words that the shard holds more than once, and maximal
-runs of such windows are removed. For a corpus against itself the reference is every
-passage that can repeat at all:
+runs of such windows are removed. A corpus that is its own reference has no size that
+could be broadcast, so its shards hold every passage that can repeat at all, and a shard's
+automaton is built in the task that streams the shard's passages:
 
-1. Each window is keyed by its minimizer, the least hash of its 8-word grams. Equal
+1. Equal texts are one text with a number of copies; a text's key is its SHA-256.
+2. Each window is keyed by its minimizer, the least hash of its 8-word grams. Equal
    windows have equal minimizers at equal places, so a window whose minimizer occurs
-   once is unique. Windows of a document that share an occurrence form a context.
-2. Contexts that are equal as a whole repeat as a whole; they are folded by hash before
-   any text moves, so copies cost nothing.
-3. The contexts left under a repeated minimizer form the reference shards, keyed by
-   minimizer. A shard's automaton is built in the task that streams the shard's contexts,
-   so that no task needs another shard. A minimizer with more than ``HOT`` different
-   contexts (a very common line) is keyed by whole windows instead, as 128-bit hashes,
-   aggregated before the shuffle.
-
-A reference of proven small size is turned into automata that are broadcast whole
+   once is unique. Windows of a text that share an occurrence form a context.
+3. Contexts that are equal as a whole (128 bits of their words' SHA-256) are folded into
+   one with a weight before any text moves.
+4. Every context under a repeated minimizer goes to the minimizer's shard. The automaton
+   counts occurrences by weight, and it alone decides which windows repeat.
+5. A minimizer with more than ``SPLIT`` different contexts (a very common line) is dealt
+   out further: its contexts' windows are keyed anew by their least gram that few of them
+   hold, folded again and sent to shards of their own.
+
+A given reference is broadcast as automata, a block of bounded size at a time
 (``remove_matches``).
 """
 
@@ -31,10 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_long, discard, mixed, small_batches, splittable, text_bytes, written
+from tessera.llm.common import as_long, fresh, mixed, shuffle_partitions, small_batches, splittable, text_bytes, written
 
 GRAM = 8
-HOT = 1500
+#: Different contexts under a minimizer beyond which they are dealt out by a second key.
+SPLIT = 256
 #: Words an automaton holds before the next one is begun.
 SHARD_WORDS = 60_000
 #: Words handled at once; a longer document is keyed in overlapping stretches.
@@ -43,8 +46,8 @@ STRETCH = 1 << 22
 TOGETHER = 250_000
 #: Words whose hashes a worker remembers.
 CACHE_WORDS = 500_000
-#: Bytes of reference text that may be broadcast as automata.
-BROADCAST_BYTES = 8 << 20
+#: Bytes of reference text whose automata are broadcast at once: some 60 times as much.
+BROADCAST_BYTES = 1 << 20
 
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INV = pow(_B, -1, 1 << 64)
@@ -83,20 +86,23 @@ class Stretch:
         return mixed((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def contexts(sizes: np.ndarray, words: list[bytes], window: int) -> tuple[np.ndarray, ...]:
+def contexts(sizes: np.ndarray, words: list[bytes], window: int, common: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Of documents of ``sizes`` words laid end to end: (document, first window's start
-    there, number of windows, minimizer hash, context hash) of every context."""
+    there, number of windows, minimizer hash) of every context. Grams whose hash is in
+    ``common`` are least of all only where a window holds no other."""
     gram = min(GRAM, window)
     ends = np.cumsum(sizes)
-    s = Stretch(words)
     n = len(words)
     none = np.empty(0, np.int64)
     if n < window:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     at = np.arange(n - gram + 1)
-    grams = s.runs(at, at + gram)
+    grams = Stretch(words).runs(at, at + gram)
+    rank = grams >> np.uint64(1)
+    if common is not None:
+        rank |= np.isin(grams, common).astype(np.uint64) << np.uint64(63)
     # The upper 40 bits of the hash and the place: a minimum is the leftmost of the least.
-    low = (grams & ~np.uint64((1 << 24) - 1)) | at.astype(np.uint64)
+    low = (rank & ~np.uint64((1 << 24) - 1)) | at.astype(np.uint64)
     width, have = window - gram + 1, 1
     while have * 2 <= width:
         low = np.minimum(low[:-have], low[have:])
@@ -108,38 +114,51 @@ def contexts(sizes: np.ndarray, words: list[bytes], window: int) -> tuple[np.nda
     inside = starts + window <= ends[doc]
     starts, doc = starts[inside], doc[inside]
     if not len(starts):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     anchor = (low[starts] & np.uint64((1 << 24) - 1)).astype(np.int64)
     new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
     first, last = starts[new], starts[np.r_[new[1:] - 1, len(starts) - 1]]
     d = doc[new]
-    return d, first - (ends - sizes)[d], last - first + 1, grams[anchor[new]], s.runs(first, last + window)
+    return d, first - (ends - sizes)[d], last - first + 1, grams[anchor[new]]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows with the key of their text: its hash and its bytes."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = F.col(text_col).cast("string").alias("text")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("k"), F.octet_length(text).alias("size"), own)
+def _sha(text):
+    """The key of a text: its SHA-256."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
-def _occurrences(keyed: DataFrame, window: int) -> DataFrame:
+def _halves(words: list[bytes]) -> tuple[int, int]:
+    """128 bits of the SHA-256 of words, as two longs."""
+    raw = hashlib.sha256(b" ".join(words)).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:16], "little", signed=True)
+
+
+def _longs(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _occurrences(texts: DataFrame, window: int) -> DataFrame:
+    """(t, copies, first, n, h, c1, c2): every context of every text."""
+    names = ["t", "copies", "first", "n", "h", "c1", "c2"]
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k, size = b.column(0).to_numpy(), b.column(1).to_numpy()
             units: list[tuple[int, int, list[bytes]]] = []  # row, first word, words
             held = 0
 
-            def out(units: list[tuple[int, int, list[bytes]]], k: np.ndarray = k, size: np.ndarray = size) -> pa.RecordBatch:
-                d, first, n, h, c = contexts(np.array([len(w) for _, _, w in units]), [x for _, _, w in units for x in w], window)
+            def out(units: list[tuple[int, int, list[bytes]]], t: np.ndarray = b.column(0).to_numpy(), copies: np.ndarray = b.column(1).to_numpy()) -> pa.RecordBatch:
+                d, first, n, h = contexts(np.array([len(w) for _, _, w in units]), [x for _, _, w in units for x in w], window)
+                own = [w for _, _, w in units]
+                c = [_halves(own[i][a : a + m + window - 1]) for i, a, m in zip(d.tolist(), first.tolist(), n.tolist(), strict=True)]
+                c = np.array(c, dtype=np.int64).reshape(-1, 2)
                 row, off = (np.array([u[i] for u in units], dtype=np.int64)[d] for i in (0, 1))
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(k[row]), pa.array(size[row]), pa.array((first + off).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(as_long(h)), pa.array(as_long(c))],
-                    ["k", "size", "first", "n", "h", "c"],
+                    [pa.array(t[row]), pa.array(copies[row]), pa.array((first + off).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(as_long(h)), pa.array(c[:, 0]), pa.array(c[:, 1])], names
                 )
 
-            for i, t in enumerate(text_bytes(b.column(2))):
-                words = t.split()
+            for i, text in enumerate(text_bytes(b.column(2))):
+                words = text.split()
                 if len(words) < window:
                     continue
                 for at in range(0, len(words) - window + 1, STRETCH):
@@ -152,11 +171,11 @@ def _occurrences(keyed: DataFrame, window: int) -> DataFrame:
             if units:
                 yield out(units)
 
-    return keyed.select("k", "size", "text").mapInArrow(each, "k long, size int, first int, n int, h long, c long")
+    return texts.select("t", "copies", "text").mapInArrow(each, "t long, copies long, first int, n int, h long, c1 long, c2 long")
 
 
 class SuffixAutomaton:
-    """Of several texts of words; each state knows how often its words occur."""
+    """Of several texts of words with weights; each state knows how often its words occur."""
 
     def __init__(self):
         self.next: list[dict] = [{}]
@@ -164,14 +183,14 @@ class SuffixAutomaton:
         self.length = [0]
         self.count = [0]
 
-    def add(self, words: list) -> None:
+    def add(self, words: list, weight: int = 1) -> None:
         nxt, link, length, count = self.next, self.link, self.length, self.count
         last = 0
         for w in words:
             q = nxt[last].get(w)
             if q is not None and length[q] == length[last] + 1:
                 last = q
-                count[q] += 1
+                count[q] += weight
                 continue
             p, cur = last, -1
             if q is None:
@@ -179,7 +198,7 @@ class SuffixAutomaton:
                 nxt.append({})
                 link.append(0)
                 length.append(length[last] + 1)
-                count.append(1)
+                count.append(weight)
                 while p >= 0 and w not in nxt[p]:
                     nxt[p][w] = cur
                     p = link[p]
@@ -204,7 +223,7 @@ class SuffixAutomaton:
                 link[cur] = split
                 last = cur
             else:
-                count[split] = 1
+                count[split] = weight
                 last = split
 
     def finish(self) -> None:
@@ -250,99 +269,120 @@ def _ranges(starts: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def _stream_shards(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by minimizer -> ranges of repeated windows of those not yet settled."""
-    names = ["k", "size", "first", "n"]
+    """Contexts sorted by key -> the ranges of their windows that the shard holds twice."""
+    names, kinds = ["h", "c1", "c2", "at", "m"], [pa.int64()] * 3 + [pa.int32()] * 2
     held: list[tuple] = []
     n_words = 0
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
         automaton = SuffixAutomaton()
         for x in held:
-            automaton.add(x[-1])
+            automaton.add(x[-1], x[-2])
         automaton.finish()
-        rows = [
-            (k, size, first + at, n)
-            for k, size, first, whole, words in held
-            if not whole
-            for at, n in _ranges(automaton.repeats(words, window, 2))
-        ]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names)
+        return _longs([(h, c1, c2, at, m) for h, c1, c2, _, words in held for at, m in _ranges(automaton.repeats(words, window, 2))], names, kinds)
 
     last = None
     for b in batches:
-        for h, k, size, first, whole, text in zip(*(b[x].to_pylist() for x in ("h", "k", "size", "first", "whole", "words")), strict=True):
+        for h, c1, c2, weight, text in zip(*(b[x].to_pylist() for x in ("h", "c1", "c2", "weight", "words")), strict=True):
             if h != last and n_words >= SHARD_WORDS:
                 yield flush(held)
                 held, n_words = [], 0
             last = h
             words = text.split(b" ")
-            held.append((k, size, first, whole, words))
+            held.append((h, c1, c2, weight, words))
             n_words += len(words)
     if held:
         yield flush(held)
 
 
-def repeated(keyed: DataFrame, window: int) -> DataFrame:
-    """(k, size, ranges): by text key, the ranges of starts whose window repeats.
+def _judged(pieces: DataFrame, window: int) -> DataFrame:
+    """(h, c1, c2, at, m): the ranges of each piece's windows that repeat in its shard."""
+    own = pieces.select("h", "c1", "c2", "weight", "words")
+    dealt = own.repartition(shuffle_partitions(own.sparkSession), "h").sortWithinPartitions("h")
+    return dealt.mapInArrow(lambda it: _stream_shards(it, window), "h long, c1 long, c2 long, at int, m int")
 
-    A range is (first, n). Keyed texts count as often as they have rows.
-    """
-    occ = written(_occurrences(keyed, window), "occurrences")
-    by_h = occ.groupBy("h").agg(F.count("*").alias("total"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("total > 1")
-    occ2 = written(occ.join(splittable(by_h.select("h", F.expr("c0 = c1").alias("alone"))), "h"), "repeated")
-    discard(occ)
-    mixed_ = occ2.where("not alone")
-    by_c = mixed_.groupBy("h", "c").agg(F.count("*").alias("total"), F.min(F.struct("k", "size", "first", "n")).alias("of"))
-    by_c = written(by_c, "contexts")
-    different = by_c.groupBy("h").agg(F.count("*").alias("different"))
-    by_c = by_c.join(splittable(different), "h").select("h", "c", (F.col("total") > 1).alias("whole"), (F.col("different") > HOT).alias("hot"), "of.*")
-    settled = occ2.where("alone").select("k", "size", "first", "n").unionByName(
-        mixed_.join(splittable(by_c.where("whole").select("h", "c"), merge=True), ["h", "c"]).select("k", "size", "first", "n")
-    )
-    # The texts of the contexts to compare, from one document each.
-    wanted = by_c.groupBy("k", "size").agg(F.collect_list(F.struct("first", "n", "h", "c", "whole", "hot")).alias("wanted"))
-    texts = keyed.select("k", "size", "text").join(splittable(wanted), ["k", "size"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("k", pa.int64()), ("size", pa.int32()), ("first", pa.int32()), ("whole", pa.bool_()), ("hot", pa.bool_()), ("words", pa.binary())])
+
+def _cut(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """The words of the contexts (h, c1, c2, weight, many) that ``wanted`` names, by text."""
+    names = ["h", "c1", "c2", "weight", "many", "words"]
+    kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for text, wants in zip(text_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
+                words = text.split()
+                rows += [(x["h"], x["c1"], x["c2"], x["weight"], x["many"], b" ".join(words[x["first"] : x["first"] + x["n"] + window - 1])) for x in wants]
+                if len(rows) > 20_000:
+                    yield _longs(rows, names, kinds)
+                    rows = []
+            yield _longs(rows, names, kinds)
+
+    by_text = wanted.groupBy("t").agg(F.collect_list(F.struct("first", "n", "h", "c1", "c2", "weight", "many")).alias("wanted"))
+    return texts.join(splittable(by_text), "t").select("text", "wanted").mapInArrow(each, "h long, c1 long, c2 long, weight long, many boolean, words binary")
+
+
+def _split(pieces: DataFrame, window: int) -> DataFrame:
+    """(h, c1, c2, at, m) of pieces under very common minimizers, dealt out by a second key."""
+    gram = min(GRAM, window)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: dict[str, list] = {n: [] for n in types.names}
-            k, size, wants = b["k"].to_pylist(), b["size"].to_pylist(), b["wanted"].to_pylist()
-            for i, t in enumerate(text_bytes(b["text"])):
-                words = t.split()
-                for x in wants[i]:
-                    spans = [(x["first"], window + x["n"] - 1, x["h"], x["c"])]
-                    if x["hot"]:  # a row a window, under its own hash
-                        own = [words[j : j + window] for j in range(x["first"], x["first"] + x["n"])]
-                        h = [xxhash.xxh128_intdigest(b" ".join(y)) for y in own]
-                        signed = lambda v: v - (1 << 64) if v >> 63 else v
-                        spans = [(x["first"] + j, 0, signed(v >> 64), signed(v & ((1 << 64) - 1))) for j, v in enumerate(h)]
-                    for first, n, h1, h2 in spans:
-                        for name, v in zip(types.names, (h1, h2, k[i], size[i], first, x["whole"], x["hot"], b" ".join(words[first : first + n])), strict=True):
-                            rows[name].append(v)
-                if len(rows["h"]) > 20_000:
-                    yield pa.RecordBatch.from_pydict(rows, types)
-                    rows = {n: [] for n in types.names}
-            yield pa.RecordBatch.from_pydict(rows, types)
-
-    pieces = written(
-        texts.mapInArrow(cut, "h long, c long, k long, size int, first int, whole boolean, hot boolean, words binary")
-        .groupBy("h", "c", "k", "size", "first", "whole", "hot")  # copies of a document give the same
-        .agg(F.any_value("words").alias("words")),
-        "pieces",
-    )
-    shards = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    streamed = (
-        pieces.where("not hot")
-        .repartition(shards, "h")
-        .sortWithinPartitions("h")
-        .mapInArrow(lambda it: _stream_shards(it, window), "k long, size int, first int, n int")
-    )
-    hot = pieces.where("hot").select("h", "c", "k", "size", "first", "whole")
-    twice = hot.groupBy("h", "c").agg(F.count("*").alias("total"), F.max("whole").alias("any")).where("total > 1 or any")
-    hot = hot.where("not whole").join(splittable(twice.select("h", "c"), merge=True), ["h", "c"]).select("k", "size", "first", F.lit(1).alias("n"))
-    every = settled.unionByName(streamed).unionByName(hot)
-    return written(every.groupBy("k", "size").agg(F.collect_set(F.struct("first", "n")).alias("ranges")), "ranges")
+            h, g = [], []
+            for key, text in zip(b["h"].to_pylist(), b["words"].to_pylist(), strict=True):
+                words = text.split(b" ")
+                at = np.arange(len(words) - gram + 1)
+                own = np.unique(Stretch(words).runs(at, at + gram))
+                h.append(np.full(len(own), key))
+                g.append(as_long(own))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (h, g)], ["h", "g"])
+
+    many = pieces.select("h", "words").mapInArrow(grams, "h long, g long").groupBy("h", "g").count().where(F.col("count") > SPLIT)
+    many = splittable(many.groupBy("h").agg(F.collect_list("g").alias("common")))
+    names = ["h", "c1", "c2", "weight", "words", "h0", "c10", "c20", "off"]
+
+    def anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for h, c1, c2, weight, text, common in zip(*(b[x].to_pylist() for x in ("h", "c1", "c2", "weight", "words", "common")), strict=True):
+                words = text.split(b" ")
+                _, first, n, key = contexts(np.array([len(words)]), words, window, np.array(common or [], dtype=np.int64).view(np.uint64))
+                key = as_long(mixed(key ^ np.array([h], dtype=np.int64).view(np.uint64)))
+                for a, m, k in zip(first.tolist(), n.tolist(), key.tolist(), strict=True):
+                    own = words[a : a + m + window - 1]
+                    rows.append((k, *_halves(own), weight, b" ".join(own), h, c1, c2, a))
+            yield _longs(rows, names, [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 3 + [pa.int32()])
+
+    parts = pieces.join(many, "h", "left").select("h", "c1", "c2", "weight", "words", "common")
+    parts = written(parts.mapInArrow(anew, "h long, c1 long, c2 long, weight long, words binary, h0 long, c10 long, c20 long, off int"), "parts")
+    folded = parts.groupBy("h", "c1", "c2").agg(F.sum("weight").alias("weight"), F.any_value("words").alias("words"))
+    found = _judged(folded, window).groupBy("h", "c1", "c2").agg(F.collect_list(F.struct("at", "m")).alias("found"))
+    back = parts.select("h", "c1", "c2", "h0", "c10", "c20", "off").join(splittable(found, merge=True), ["h", "c1", "c2"])
+    back = back.select("h0", "c10", "c20", "off", F.explode("found").alias("x"))
+    return back.select(F.col("h0").alias("h"), F.col("c10").alias("c1"), F.col("c20").alias("c2"), (F.col("off") + F.col("x.at")).alias("at"), F.col("x.m").alias("m"))
+
+
+def repeated(docs: DataFrame, text_col: str, window: int) -> DataFrame:
+    """(key, ranges): by text key, the ranges (first, n) of starts whose window repeats."""
+    text = F.col(f"`{text_col}`")
+    own = docs.select(_sha(text).alias("key"), text.cast("string").alias("text"))
+    # Copies meet here once, combined before the shuffle, and never again.
+    texts = own.groupBy("key").agg(F.count("*").alias("copies"), F.any_value("text").alias("text"))
+    texts = written(texts.withColumn("t", F.monotonically_increasing_id()), "texts")
+    occ = written(_occurrences(texts, window), "occurrences")
+    folded = written(occ.groupBy("h", "c1", "c2").agg(F.sum("copies").alias("weight"), F.min(F.struct("t", "first", "n")).alias("of")), "folded")
+    by_h = folded.groupBy("h").agg(F.sum("weight").alias("total"), F.count("*").alias("different")).where("total > 1")
+    by_h = splittable(by_h.select("h", (F.col("different") > SPLIT).alias("many")))
+    able = folded.join(by_h, "h").select("h", "c1", "c2", "weight", "of.*", "many")
+    pieces = written(_cut(texts, able, window), "pieces")
+    judged = _judged(pieces.where("not many"), window).unionByName(_split(pieces.where("many"), window))
+    found = judged.groupBy("h", "c1", "c2").agg(F.collect_list(F.struct("at", "m")).alias("found"))
+    found = written(found, "judged")
+    # Occurrences lie in files by text, so what a common context meets is spread over them.
+    spans = occ.select("t", "first", "h", "c1", "c2").join(splittable(found, merge=True), ["h", "c1", "c2"])
+    spans = spans.select("t", F.explode(F.transform("found", lambda x: F.struct((F.col("first") + x["at"]).alias("first"), x["m"].alias("n")))).alias("r"))
+    ranges = spans.groupBy("t").agg(F.collect_list("r").alias("ranges"))
+    return written(texts.select("t", "key").join(splittable(ranges), "t").select("key", "ranges"), "ranges")
 
 
 def kept_words(words: list[bytes], ranges: list[tuple[int, int]], window: int) -> list[bytes]:
@@ -368,9 +408,9 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     all; an empty table gives an empty one; extra columns are ignored.
     """
     small_batches(docs.sparkSession)
-    keyed = _keyed(docs, id_col, text_col)
-    ranges = repeated(keyed, window)
-    marked = keyed.join(splittable(ranges), ["k", "size"], "left").select("id", "text", "ranges")
+    ranges = repeated(docs, text_col, window)
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    marked = own.withColumn("key", _sha(F.col("text"))).join(splittable(ranges), "key", "left").select("id", "text", "ranges")
     return marked.mapInArrow(lambda it: _apply(it, window), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
@@ -380,27 +420,25 @@ def without_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     As ``substring_dedup``; texts that lose nothing, nulls included, stay as they were.
     """
     small_batches(docs.sparkSession)
-    keyed = _keyed(docs, id_col, text_col)
-    ranges = repeated(keyed, window)
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    own = docs.withColumns({"_k": F.xxhash64(text), "_size": F.octet_length(text)})
-    marked = own.join(splittable(ranges.toDF("_k", "_size", "_ranges")), ["_k", "_size"], "left")
-    marked = marked.select(*(F.col(f"`{c}`") for c in docs.columns), "_ranges")
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    key, runs = fresh("_key", names), fresh("_ranges", names)
+    ranges = repeated(docs, text_col, window).toDF(key, runs)
+    marked = docs.withColumn(key, _sha(F.col(f"`{text_col}`"))).join(splittable(ranges), key, "left")
+    marked = marked.select(*(F.col(f"`{c}`") for c in names), runs)
+    at = names.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for raw, ranges in zip(b.column(at).to_pylist(), b.column(len(docs_columns)).to_pylist(), strict=True):
+            for raw, ranges in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
                 if raw and ranges:
                     words = raw.encode().split()
                     raw = b" ".join(kept_words(words, [(x["first"], x["n"]) for x in ranges], window)).decode()
                 texts.append(raw)
-            columns = list(b.columns[: len(docs_columns)])
+            columns = list(b.columns[: len(names)])
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, docs_columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    docs_columns = docs.columns
     return marked.mapInArrow(each, docs.schema)
 
 
@@ -418,46 +456,61 @@ def _apply(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
+def _shards(texts: list[list[bytes]]) -> list[SuffixAutomaton]:
+    out: list[SuffixAutomaton] = []
+    n = SHARD_WORDS
+    for words in texts:
+        if n + len(words) > SHARD_WORDS:
+            out.append(SuffixAutomaton())
+            n = 0
+        out[-1].add(words)
+        n += len(words)
+    for a in out:
+        a.finish()
+    return out
+
+
 def remove_matches(docs: DataFrame, reference: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", reference_col: str = "text") -> DataFrame:
     """As ``substring_dedup``, but a word goes if its window occurs in ``reference``.
 
-    The reference is broadcast as suffix automata of shards; its size is checked first and
-    one of over ``BROADCAST_BYTES`` is refused.
+    The reference is broadcast as suffix automata of shards, a block of about
+    ``BROADCAST_BYTES`` of its text at a time, and the documents stream through each block;
+    texts longer than a shard are cut in stretches that overlap by a window. A reference in
+    the order of the documents' own size is better joined to them: ``substring_dedup``.
     """
-    text = F.coalesce(F.col(reference_col).cast("string"), F.lit(""))
-    size = reference.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    if size > BROADCAST_BYTES:
-        raise ValueError(f"a reference of {size} bytes is too large to broadcast; union it with the documents instead")
-    shards: list[list[list[bytes]]] = [[]]
-    n = 0
-    for row in reference.select(text.alias("t")).collect():
-        words = row["t"].encode().split()
-        if n + len(words) > SHARD_WORDS and shards[-1]:
-            shards.append([])
-            n = 0
-        shards[-1].append(words)
-        n += len(words)
-    automata = []
-    for shard in shards:
-        a = SuffixAutomaton()
-        for words in shard:
-            a.add(words)
-        a.finish()
-        automata.append(a)
-    sent = docs.sparkSession.sparkContext.broadcast(automata)
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def marked() -> Iterator[pa.RecordBatch]:
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for raw in text_bytes(b.column(0)):
+                words = raw.split()
+                out += [b" ".join(words[i : i + SHARD_WORDS + window - 1]) for i in range(0, len(words) - window + 1, SHARD_WORDS)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["words"])
+
+    parts = reference.select(F.col(f"`{reference_col}`").cast("string").alias("text")).mapInArrow(stretches, "words binary").distinct()
+    parts = written(parts, "reference")
+    size = parts.agg(F.sum(F.octet_length("words")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-size // BROADCAST_BYTES))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    own = written(own.withColumn("row", F.monotonically_increasing_id()), "documents")
+    spans = None
+    for block in range(blocks):
+        held = parts.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).collect()  # about BROADCAST_BYTES
+        sent = spark.sparkContext.broadcast(_shards([bytes(r["words"]).split() for r in held]))
+
+        def each(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = []
-                for raw in b["text"].to_pylist():
+                rows = []
+                for row, raw in zip(b["row"].to_pylist(), b["text"].to_pylist(), strict=True):
                     words = (raw or "").encode().split()
-                    found.append([{"first": f, "n": m} for a in sent.value for f, m in _ranges(a.repeats(words, window, 1))])
-                kind = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([b["id"], b["text"], pa.array(found, kind)], ["id", "text", "ranges"])
-
-        yield from _apply(marked(), window)
-
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(each, "id long, n_words long, n_removed long, kept_sha256 string, kept string")
+                    rows += [(row, f, m) for a in sent.value for f, m in _ranges(a.repeats(words, window, 1))]
+                yield _longs(rows, ["row", "first", "n"], [pa.int64(), pa.int32(), pa.int32()])
+
+        found = written(own.select("row", "text").mapInArrow(each, "row long, first int, n int"), "matches")
+        sent.destroy()
+        spans = found if spans is None else spans.unionByName(found)
+    ranges = spans.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
+    marked = own.join(splittable(ranges), "row", "left").select("id", "text", "ranges")
+    return marked.mapInArrow(lambda it: _apply(it, window), "id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -65,9 +65,9 @@ def brute_removed(texts, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [1500, 2])
-def test_substrings(spark, texts, monkeypatch, hot):
-    monkeypatch.setattr(substrings, "HOT", hot)
+@pytest.mark.parametrize("split", [256, 1])
+def test_substrings(spark, texts, monkeypatch, split):
+    monkeypatch.setattr(substrings, "SPLIT", split)
     got = substrings.substring_dedup(frame(spark, texts), 35).collect()
     want = [(i, *x) for (i, _), x in zip(texts, brute_removed(texts, 35), strict=True)]
     assert sorted((r["id"] is None, r["id"] or 0, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted((i is None, i or 0, *x) for i, *x in want)
@@ -83,15 +83,46 @@ def test_substrings_empty_and_reference(spark):
     assert sorted((r["id"], r["kept"]) for r in got.collect() if r["kept"]) == [(1, "a f"), (2, "x y")]
 
 
+@pytest.mark.parametrize("size", [1 << 20, 200])
+def test_reference_of_any_size(spark, monkeypatch, size):
+    monkeypatch.setattr(substrings, "BROADCAST_BYTES", size)
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 40)
+    rng = random.Random(8)
+    reference = [[rng.choice("abcd") for _ in range(rng.randrange(150))] for _ in range(8)]
+    own = [[rng.choice("abcd") for _ in range(200)] for _ in range(20)] + [reference[0]]
+    held = {tuple(w[j : j + 5]) for w in reference for j in range(len(w) - 4)}
+    want = []
+    for i, w in enumerate(own):
+        gone = {j + k for j in range(len(w) - 4) if tuple(w[j : j + 5]) in held for k in range(5)}
+        want.append((i, len(gone), " ".join(x for j, x in enumerate(w) if j not in gone) if gone else " ".join(w)))
+    docs = frame(spark, [(i, " ".join(w)) for i, w in enumerate(own)])
+    got = substrings.remove_matches(docs, spark.createDataFrame([(" ".join(w),) for w in reference], "text string"), window=5)
+    assert sorted((r["id"], r["n_removed"], r["kept"]) for r in got.collect()) == want
+
+
+def test_common_lines_in_all_orders(spark, monkeypatch):
+    """One line in every text, lines in any order: hot minimizers whose windows differ or not."""
+    monkeypatch.setattr(substrings, "SPLIT", 4)
+    rng = random.Random(12)
+    line, lines = words(rng, 20), [words(rng, 12) for _ in range(5)]
+    own = [[*words(rng, 10 + i % 9), *line, *words(rng, 30), *(line if i % 4 else [])] for i in range(60)]
+    own += [[x for j in rng.sample(range(5), 5) for x in lines[j]] for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(own)]
+    got = substrings.substring_dedup(frame(spark, rows), 35).collect()
+    assert sorted((r["id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == [(i, *x) for (i, _), x in zip(rows, brute_removed(rows, 35), strict=True)]
+
 def test_automaton_counts():
     rng = random.Random(1)
     for _ in range(200):
         own = [[rng.choice("ab") for _ in range(rng.randrange(12))] for _ in range(4)]
         a = substrings.SuffixAutomaton()
-        for w in own:
-            a.add(w)
+        weights = [rng.randrange(1, 3) for _ in own]
+        for w, n in zip(own, weights, strict=True):
+            a.add(w, n)
         a.finish()
-        seen = Counter(tuple(w[j : j + 3]) for w in own for j in range(len(w) - 2))
+        seen = Counter()
+        for w, n in zip(own, weights, strict=True):
+            seen.update({x: n * c for x, c in Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2)).items()})
         for w in own:
             assert a.repeats(w, 3, 2) == [j for j in range(len(w) - 2) if seen[tuple(w[j : j + 3])] > 1]
 
