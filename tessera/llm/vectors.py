@@ -2,10 +2,10 @@
 
 The vectors are written once and stay where they are. Queries come to them in blocks of a
 bounded size, broadcast one after the other; nothing else is shuffled but what is found. A
-bounded pilot of the rows gives each query of a block a score that its kth best reaches at
-least. The rows then take turns, each some times larger than all before it, and after each
-turn the kth best scores found so far are passed on, so a turn reports little that can't
-stand.
+pilot, a few of the rows and a bounded number, gives each query of a block a score that its
+kth best reaches at least. The rows then take turns, each some times larger than all before
+it, and after each turn the kth best scores found so far are passed on, so a turn reports
+little that can't stand.
 
 ``one_bit_search``: randomly rotated one-bit codes. Inner products are estimated from
 packed bits and two correction scalars; error bounds choose what is computed exactly.
@@ -29,8 +29,9 @@ from tessera.llm.common import ceil_div, shared_dir, shuffle_partitions, small_b
 
 #: Bytes of query vectors that are broadcast at once.
 QUERY_BYTES = 8 << 20
-#: Rows that give a first bound, and how many times larger a turn is than all before it.
-PILOT, GROWTH = 8192, 4
+#: A turn is so many times larger than all before it; the pilot, the first of them, has at
+#: most so many rows.
+GROWTH, PILOT = 16, 8192
 #: Rows of an Arrow batch, and of queries compared with it at once.
 BATCH, TILE = 4096, 256
 #: The error bound's width, in standard deviations of the rotation: of the rows that just
@@ -261,16 +262,20 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def _least(queries: np.ndarray, own: np.ndarray, pilot: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    """What each query's kth best score is at least, from the pilot; a little less, for rounding."""
-    out = np.full(len(queries), -np.inf)
+def _piloted(queries: np.ndarray, own: np.ndarray, pilot: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Best:
+    """Each query's best of the pilot; the kth score is taken a little lower, for rounding."""
+    best = Best(np.full(len(queries), -np.inf), k)
     for at in range(0, len(queries), TILE):
         score = queries[at : at + TILE] @ pilot.T
         score[own[at : at + TILE, None] == rows[None, :]] = -np.inf
-        if len(rows) >= k:
-            kth = np.partition(score, len(rows) - k, axis=1)[:, len(rows) - k]
-            out[at : at + TILE] = kth - 1e-9 * (1 + np.abs(kth))
-    return out
+        m = min(k, len(rows))
+        kth = np.partition(score, len(rows) - m, axis=1)[:, len(rows) - m]
+        x, y = np.nonzero((score >= (kth - 1e-9 * (1 + np.abs(kth)))[:, None]) & (score > -np.inf))
+        for j in range(0, len(x), 1 << 16):
+            a, b = x[j : j + (1 << 16)] + at, y[j : j + (1 << 16)]
+            best.add(a, dots(queries[a], pilot[b]), ids[b], rows[b])
+    best.least -= 1e-9 * (1 + np.abs(best.least))
+    return best
 
 
 def _search(
@@ -280,12 +285,16 @@ def _search(
     usable,
     shaped: Callable[[np.ndarray], np.ndarray],
     coded: Callable[[DataFrame], DataFrame],
+    piloted: Callable[..., Best],
     scan: Callable[[dict, Iterator[pa.RecordBatch]], Iterator[Best]],
     kind: pa.DataType,
     id_col: str,
     vec_col: str,
 ) -> DataFrame:
-    """Write the vectors, bring the queries to them block by block and turn by turn, and rank."""
+    """Write the vectors, bring the queries to them block by block and turn by turn, and rank.
+
+    The pilot's rows are scored at once and take no turn.
+    """
     spark = table.sparkSession
     small_batches(spark, BATCH)
     score_type = "long" if kind == pa.int64() else "double"
@@ -297,17 +306,19 @@ def _search(
     n, nq, widest = own.agg(F.count("*"), F.count(F.when(asks, 1)), F.max(F.size("v"))).first()
     if not nq:
         return spark.createDataFrame([], f"query_id long, rank int, vec_id long, score {score_type}")
-    ends = [PILOT]
+    first = min(PILOT, ceil_div(n, GROWTH))
+    ends = [first * GROWTH]
     while ends[-1] < n:
         ends.append(ends[-1] * GROWTH)
     chance = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) * (float(n) / (1 << 30))
-    turn = sum((F.when(chance >= e, 1).otherwise(0) for e in ends[1:-1]), F.lit(0))
+    turn = sum((F.when(chance >= e, 1).otherwise(0) for e in ends[:-1]), F.lit(0))
     at = f"{shared_dir(spark)}/tessera-vectors-{uuid.uuid4().hex}"
     # A number for each row, for good once written: rows of the same id stay apart.
     placed = own.repartition(shuffle_partitions(spark), "id").withColumn("row", F.monotonically_increasing_id())
     coded(placed.withColumn("turn", turn)).write.partitionBy("turn").parquet(f"{at}/rows")
     whole = spark.read.parquet(f"{at}/rows")
-    pilot = whole.select("row", "v").orderBy(F.xxhash64("row"), "row").limit(PILOT).toArrow()  # PILOT rows
+    pilot = whole.select("row", "id", "v").orderBy(F.xxhash64("row"), "row").limit(first).toArrow()  # at most PILOT rows
+    spent = np.sort(pilot["row"].to_numpy())
     blocks = max(1, ceil_div(nq * 8 * (widest or 1), QUERY_BYTES))
     block = F.pmod(F.xxhash64(F.lit("block"), F.col("row")), F.lit(blocks))
 
@@ -317,38 +328,44 @@ def _search(
             part = rows.filter(pa.compute.equal(size, d)).combine_chunks()
             yield d, shaped(_matrix(part["v"].combine_chunks(), d)), part
 
-    known = {d: (m, t["row"].to_numpy()) for d, m, t in apart(pilot)}
-    result = f"query long, query_id long, id long, row long, score {score_type}"
+    known = {d: (m, t["id"].to_numpy(), t["row"].to_numpy()) for d, m, t in apart(pilot)}
+    result = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("score", kind)])
+    schema = f"query long, query_id long, id long, row long, score {score_type}"
+
+    def reported(rows: np.ndarray, query_ids: np.ndarray, best: Best) -> pa.RecordBatch:
+        q, score, ids, held = best.held
+        if kind == pa.int64():
+            score = np.array([min(2**63 - 1, max(-(2**63), int(x))) for x in score], dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(rows[q]), pa.array(query_ids[q]), pa.array(ids), pa.array(held), pa.array(score, kind)], schema=result)
+
     for b in range(blocks):
-        asked = {}
+        asked, begun = {}, []
         for d, m, t in apart(whole.where(asks & (block == b)).select("row", "id", "v").toArrow()):  # about QUERY_BYTES
-            rows = t["row"].to_numpy()
-            asked[d] = (rows, t["id"].to_numpy(), m, _least(m, rows, *known[d], k) if d in known else np.full(len(rows), -np.inf))
+            rows, ids = t["row"].to_numpy(), t["id"].to_numpy()
+            best = piloted(m, rows, *known[d], k) if d in known else Best(np.full(len(rows), -np.inf), k)
+            begun.append(reported(rows, ids, best))
+            asked[d] = (rows, ids, m, best.least)
         if not asked:
             continue
-        for number in range(max(1, len(ends) - 1)):
-            sent = spark.sparkContext.broadcast(asked)
+        spark.createDataFrame(pa.Table.from_batches(begun), schema).write.parquet(f"{at}/found/block={b}/number=0")
+        for number in range(len(ends)):
+            sent = spark.sparkContext.broadcast((asked, spent))
 
             def each(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                for d, best in scan(sent.value, batches):
-                    q, score, ids, rows = best.held
-                    own = sent.value[d]
-                    if kind == pa.int64():
-                        score = np.array([min(2**63 - 1, max(-(2**63), int(x))) for x in score], dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[0][q]), pa.array(own[1][q]), pa.array(ids), pa.array(rows), pa.array(score, kind)], ["query", "query_id", "id", "row", "score"]
-                    )
-
-            path = f"{at}/found/block={b}/number={number}"
-            whole.where(F.col("turn") == number).drop("turn").mapInArrow(each, result).write.parquet(path)
+                asked, spent = sent.value
+                fresh = (b.filter(pa.array(~np.isin(b["row"].to_numpy(), spent))) for b in batches)
+                for d, best in scan(asked, fresh):
+                    yield reported(*asked[d][:2], best)
+
+            whole.where(F.col("turn") == number).drop("turn").mapInArrow(each, schema).write.parquet(f"{at}/found/block={b}/number={number + 1}")
             sent.destroy()
-            if number + 2 < len(ends):  # pass on what is known of the kth best
-                so_far = spark.read.schema(result).parquet(*(f"{at}/found/block={b}/number={i}" for i in range(number + 1)))
+            if number + 1 < len(ends):  # pass on what is known of the kth best
+                so_far = spark.read.schema(schema).parquet(*(f"{at}/found/block={b}/number={i}" for i in range(number + 2)))
                 place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
                 kth = so_far.select("query", "score", place.alias("place")).where(F.col("place") == k).select("query", "score").toArrow()  # a row a query of the block
-                at_row = {int(q): s for q, s in zip(kth["query"].to_numpy(), kth["score"].to_pylist(), strict=True)}
-                asked = {d: (r, i, m, np.array([max(x, at_row.get(int(q), x)) for q, x in zip(r, least, strict=True)])) for d, (r, i, m, least) in asked.items()}
-    found = spark.read.schema(result).parquet(*(f"{at}/found/block={b}/number=*" for b in range(blocks)))
+                passed = {int(q): x for q, x in zip(kth["query"].to_numpy(), kth["score"].to_pylist(), strict=True)}
+                asked = {d: (r, i, m, np.array([max(x, passed.get(int(q), x)) for q, x in zip(r, least, strict=True)])) for d, (r, i, m, least) in asked.items()}
+    found = spark.read.schema(schema).parquet(*(f"{at}/found/block={b}/number=*" for b in range(blocks)))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id", "row")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
@@ -359,7 +376,7 @@ def one_bit_search(table: DataFrame, every: int = 20, k: int = 20, id_col: str =
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but
     the query's own, so rows of the same id are queries and candidates of their own. Scores
     are exact, in double precision; which rows are scored is chosen by error bounds that
-    hold with high probability. Rows with a null id take no part, nor do vectors that are
+    hold with high probability, but for the pilot's, which all are. Rows with a null id take no part, nor do vectors that are
     null, empty, zero or hold null or non-finite components; vectors of different widths
     don't meet. Ties go to the smaller id. Without queries the result is empty; extra
     columns are ignored.
@@ -391,7 +408,7 @@ def one_bit_search(table: DataFrame, every: int = 20, k: int = 20, id_col: str =
             yield d, x.best
 
     some = lambda v: F.exists(v, lambda x: x != 0)
-    return _search(table, every, k, some, lambda m: m, coded, scan, pa.float64(), id_col, vec_col)
+    return _search(table, every, k, some, lambda m: m, coded, _piloted, scan, pa.float64(), id_col, vec_col)
 
 
 def kd_search(table: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -406,6 +423,11 @@ def kd_search(table: DataFrame, every: int = 50, k: int = 5, scale: float = 256.
     """
     shaped = lambda m: np.floor(m * scale)
 
+    def piloted(queries: np.ndarray, own: np.ndarray, points: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Best:
+        first = KdScan(own, queries, np.full(len(own), -np.inf), k)
+        first.meet(rows, ids, points)
+        return first.best
+
     def scan(asked: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Best]]:
         held = {d: KdScan(rows, m, least, k) for d, (rows, _, m, least) in asked.items()}
         shard: dict[int, list] = {d: [] for d in held}
@@ -427,4 +449,4 @@ def kd_search(table: DataFrame, every: int = 50, k: int = 5, scale: float = 256.
             meet(d)
             yield d, x.best
 
-    return _search(table, every, k, lambda v: F.size(v) > 0, shaped, lambda rows: rows.select("id", "v", "row", "turn"), scan, pa.int64(), id_col, vec_col)
+    return _search(table, every, k, lambda v: F.size(v) > 0, shaped, lambda rows: rows.select("id", "v", "row", "turn"), piloted, scan, pa.int64(), id_col, vec_col)
