@@ -199,9 +199,24 @@ FORMULAS: dict[str, Formula] = {
 }
 
 
+#: Namespaces under which the engine's own premises on order and revisions are found.
+NAMESPACES = {"order", "history"}
+
+
+def use_namespace(name: str) -> None:
+    """Have the premises on order and revisions found under another namespace too."""
+    NAMESPACES.add(name)
+
+
+def own_name(what: str) -> str | None:
+    """The part after the slash, if the namespace is one of the engine's own."""
+    space, _, part = what.partition("/")
+    return part if space in NAMESPACES else None
+
+
 def formula(name: str) -> Formula:
-    """By name; the ordering formulas are found under any namespace."""
-    found = FORMULAS.get(name) or FORMULAS.get(f"order/{name.partition('/')[2]}")
+    """By its whole name, or by the part after a namespace of the engine's own."""
+    found = FORMULAS.get(name) or FORMULAS.get(f"order/{own_name(name)}")
     if found is None:
         raise QueryError("UnknownFormula", name)
     return found

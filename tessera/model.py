@@ -96,7 +96,7 @@ class Attribute:
     kind: str = ANY
     cardinality: str = "one"
     optional: bool = False
-    conforms: Concept | None = field(default=None, compare=False)
+    conforms: Concept | None = None
     #: Symbols that the value must be one of.
     one_of: tuple[str, ...] = ()
 
@@ -134,7 +134,7 @@ class Concept:
     @property
     def identity(self) -> str:
         """Structural: what the attributes are, whatever the fields are called."""
-        own = sorted((a.the, a.kind, a.cardinality, a.optional) for _, a in self.fields)
+        own = sorted((a.the, a.kind, a.cardinality, a.optional, list(a.one_of), a.conforms.identity if a.conforms else "") for _, a in self.fields)
         return hashlib.sha256(json.dumps(own).encode()).hexdigest()[:24]
 
     def by_the(self) -> dict[str, str]:

@@ -446,16 +446,35 @@ class Session:
                 df = df.where(c.isNotNull())
         return State(df, slots, maybe)
 
+    def _yields(self, state: State, p: Premise) -> Column:
+        """Whether a formula has a result on the row: its inputs are there, and so is every
+        output, equal to what it is bound to."""
+        f, t = formula(p.what), p.terms
+        columns, kinds, constants, there = {}, {}, {}, F.lit(True)
+        for n in f.inputs:
+            x, kinds[n] = self._side(state, t[n])
+            if isinstance(x, Const):
+                constants[n], columns[n] = x.value, F.lit(x.value)
+            else:
+                columns[n], there = x, there & x.isNotNull()
+        for n, (c, kind) in f.run(columns, kinds, constants).items():
+            want = t.get(n, Blank())
+            if isinstance(want, Const):
+                there = there & self._constant(c, Slot(kind), want)
+            elif isinstance(want, Var) and want.name in state.slots:
+                x, kx = self._side(state, want)
+                there = there & con.equal(x, kx, c, kind)
+            else:
+                there = there & c.isNotNull()
+        return there
+
     def negated(self, state: State, p: Premise, relation=None) -> State:
         """Rows for which the premise yields nothing."""
         if isinstance(p.what, str) and p.what in con.CONSTRAINTS:
             hit = F.coalesce(self.predicate(state, p), F.lit(False))
             return State(state.df.where(~hit), state.slots, state.maybe)
         if isinstance(p.what, str):
-            mark = "_row"
-            marked = State(state.df.withColumn(mark, F.monotonically_increasing_id()), state.slots | {mark: Slot("SignedInteger")}, state.maybe)
-            hits = self.compute(marked, p).df.select(mark)
-            return State(marked.df.join(hits, mark, "left_anti").drop(mark), state.slots, state.maybe)
+            return State(state.df.where(~F.coalesce(self._yields(state, p), F.lit(False))), state.slots, state.maybe)
         if isinstance(p.what, Concept):
             rel, maybe = (relation or self.relation)(p.what), {n for n, a in p.what.fields if a.optional}
         else:

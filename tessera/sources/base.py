@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.model import Attribute
@@ -40,6 +40,39 @@ class Source(Protocol):
         """Rows (this, field...) of attributes that can be read together, by field names."""
         ...
 
+    def facts(self) -> DataFrame:
+        """Every fact in the narrow layout (the, of, payload columns, cause)."""
+        ...
+
     def any_attribute(self) -> Relation:
         """Every fact as (the, of, is, cause)."""
         ...
+
+
+class Importer(Protocol):
+    """Where facts come from."""
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """Facts in the narrow layout."""
+        ...
+
+
+class Exporter(Protocol):
+    """Where facts go to."""
+
+    def write(self, facts: DataFrame) -> None:
+        """All facts, or none if it fails."""
+        ...
+
+
+@dataclass(frozen=True)
+class ParquetFacts:
+    """Importer and exporter of a folder of Parquet files."""
+
+    path: str
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.path)
+
+    def write(self, facts: DataFrame) -> None:
+        facts.write.mode("overwrite").parquet(self.path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +85,19 @@ def write_facts(facts: DataFrame, path: str) -> None:
     out.write.csv(path, header=True, escape='"', quoteAll=True, emptyValue="")
 
 
+@dataclass(frozen=True)
+class CsvFacts:
+    """Importer and exporter of a folder or file of CSV facts."""
+
+    path: str
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return read_facts(spark, self.path)
+
+    def write(self, facts: DataFrame) -> None:
+        write_facts(facts, self.path)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """A transaction log: facts with the number and time of their transaction."""
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"', schema="txn long, at string, the string, of string, as string, is string")

@@ -154,6 +154,9 @@ class NarrowFacts:
     def knows(self, the: str) -> bool:
         return True
 
+    def facts(self) -> DataFrame:
+        return self.df.select(*SCHEMA.names)
+
     def scan(self, a: Attribute, kind_filter: bool = True, elect_first: bool = True) -> DataFrame:
         """Facts of an attribute. One winner an entity if the cardinality is one: elected
         among all types, and only then filtered by type, so a loser never matches."""
@@ -203,25 +206,32 @@ class NarrowFacts:
 
 @dataclass
 class Many:
-    """Several sources: an attribute is read from whichever knows it."""
+    """Several sources as one: the facts of all, each once, elected among all."""
 
     parts: list
 
     def knows(self, the: str) -> bool:
         return any(p.knows(the) for p in self.parts)
 
+    def _of(self, parts: list) -> NarrowFacts:
+        return NarrowFacts(union(*(p.facts() for p in parts)))
+
     def fields(self, attributes: dict[str, Attribute]) -> list[tuple[list[str], Relation]]:
-        groups: dict[int, dict[str, Attribute]] = {}
+        """An attribute that one source knows is read there; one that several know from their union."""
+        groups: dict[tuple[int, ...], dict[str, Attribute]] = {}
         for n, a in attributes.items():
-            i = next((i for i, p in enumerate(self.parts) if p.knows(a.the)), None)
-            if i is None:
+            who = tuple(i for i, p in enumerate(self.parts) if p.knows(a.the))
+            if not who:
                 raise QueryError("UnknownAttribute", a.the)
-            groups.setdefault(i, {})[n] = a
-        return [x for i, own in groups.items() for x in self.parts[i].fields(own)]
+            groups.setdefault(who, {})[n] = a
+        out = []
+        for who, own in groups.items():
+            parts = [self.parts[i] for i in who]
+            out += (parts[0] if len(parts) == 1 else self._of(parts)).fields(own)
+        return out
+
+    def facts(self) -> DataFrame:
+        return self._of(self.parts).df
 
     def any_attribute(self) -> Relation:
-        first, *rest = [p.any_attribute() for p in self.parts if not hasattr(p, "key") or p.key]
-        df = first.df
-        for r in rest:
-            df = df.unionByName(r.df)
-        return Relation(df, first.slots)
+        return self._of(self.parts).any_attribute()

@@ -68,21 +68,29 @@ class WideTable:
             df = df.where(w)
         return [(list(attributes), Relation(df.select(*columns), slots))]
 
-    def any_attribute(self) -> Relation:
+    def facts(self) -> DataFrame:
+        """Every value as a fact in the narrow layout: a union of one projection an attribute.
+
+        A filter on ``the`` leaves out the other attributes' branches when the plan is made,
+        and a branch reads its own column and the key.
+        """
         if not self.key:
-            raise QueryError("RowIdentity", "rows without a key have no entity to show")
-        facts = []
+            raise QueryError("RowIdentity", f"rows of {self.prefix.rstrip(':')} have no key that names an entity")
+        of = Slot("Entity", self.prefix).shown(F.col(self.key))
+        out = None
         for the, column in self.attributes.items():
             kind, c = self.kind(the), F.col(column)
             payload = {f.name: F.lit(None).cast(f.dataType) for f in VALUE}
             payload["vt"] = F.lit(TAGS[kind]).cast("byte")
-            shown = Slot(kind, self.entities.get(the)).shown(c)
             slot = PAYLOAD[kind]
-            payload[slot] = shown.cast(VALUE[slot].dataType)
-            value = F.struct(*(payload[f.name].alias(f.name) for f in VALUE))
-            facts.append(F.when(c.isNotNull(), F.struct(F.lit(the).alias("the"), value.alias("is"))))
-        own = self.df.select(Slot("Entity", self.prefix).shown(F.col(self.key)).alias("of"), F.explode(F.array_compact(F.array(*facts))).alias("f"))
-        out = own.select(F.col("f.the").alias("the"), "of", F.col("f.is").alias("is"), F.lit(None).cast("binary").alias("cause"))
+            payload[slot] = Slot(kind, self.entities.get(the)).shown(c).cast(VALUE[slot].dataType)
+            own = self.df.where(F.col(self.key).isNotNull() & c.isNotNull())
+            own = own.select(F.lit(the).alias("the"), of.alias("of"), *(payload[f.name].alias(f.name) for f in VALUE), F.lit(None).cast("binary").alias("cause"))
+            out = own if out is None else out.unionByName(own)
+        return out
+
+    def any_attribute(self) -> Relation:
+        out = self.facts().select("the", "of", F.struct(*(f.name for f in VALUE)).alias("is"), "cause")
         return Relation(out, {"the": Slot("Symbol"), "of": Slot("Entity"), "is": Slot(ANY), "cause": Slot("Bytes")})
 
 
