@@ -6,15 +6,14 @@ runs of such windows are removed. A corpus that is its own reference has no size
 could be broadcast, so its shards hold every passage that can repeat at all, and a shard's
 automaton is built in the task that streams the shard's passages:
 
-1. Equal texts are one text with a number of copies; a text's key is its SHA-256.
-2. Each window is keyed by its minimizer, the least hash of its 8-word grams. Equal
+1. Each window is keyed by its minimizer, the least hash of its 8-word grams. Equal
    windows have equal minimizers at equal places, so a window whose minimizer occurs
    once is unique. Windows of a text that share an occurrence form a context.
-3. Contexts that are equal as a whole (128 bits of their words' SHA-256) are folded into
-   one with a weight before any text moves.
-4. Every context under a repeated minimizer goes to the minimizer's shard. The automaton
+2. Contexts that are equal as a whole (128 bits of their words' SHA-256) are folded into
+   one with a weight, before the shuffle and before any text moves; so are all copies.
+3. Every context under a repeated minimizer goes to the minimizer's shard. The automaton
    counts occurrences by weight, and it alone decides which windows repeat.
-5. A minimizer with more than ``SPLIT`` different contexts (a very common line) is dealt
+4. A minimizer with more than ``SPLIT`` different contexts (a very common line) is dealt
    out further: its contexts' windows are keyed anew by their least gram that few of them
    hold, folded again and sent to shards of their own.
 
@@ -33,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_long, fresh, mixed, shuffle_partitions, small_batches, splittable, text_bytes, written
+from tessera.llm.common import as_long, discard, fresh, mixed, shuffle_partitions, small_batches, splittable, text_bytes, written
 
 GRAM = 8
 #: Different contexts under a minimizer beyond which they are dealt out by a second key.
@@ -122,15 +121,18 @@ def contexts(sizes: np.ndarray, words: list[bytes], window: int, common: np.ndar
     return d, first - (ends - sizes)[d], last - first + 1, grams[anchor[new]]
 
 
-def _sha(text):
-    """The key of a text: its SHA-256."""
-    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+def _halves(contexts: list[bytes]) -> np.ndarray:
+    """128 bits of the SHA-256 of each context's words, as two longs."""
+    raw = b"".join([hashlib.sha256(x).digest()[:16] for x in contexts])
+    return np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
 
 
-def _halves(words: list[bytes]) -> tuple[int, int]:
-    """128 bits of the SHA-256 of words, as two longs."""
-    raw = hashlib.sha256(b" ".join(words)).digest()
-    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:16], "little", signed=True)
+def _sliced(words: list[bytes], first: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """words[a : a + n], joined by spaces, for each of ``first`` and ``size``."""
+    text = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    begins = np.r_[0, ends[:-1]]
+    return [text[a:b] for a, b in zip(begins[first].tolist(), (ends[first + size - 1] - 1).tolist(), strict=True)]
 
 
 def _longs(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -139,25 +141,26 @@ def _longs(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 
 
 def _occurrences(texts: DataFrame, window: int) -> DataFrame:
-    """(t, copies, first, n, h, c1, c2): every context of every text."""
-    names = ["t", "copies", "first", "n", "h", "c1", "c2"]
+    """(row, first, n, h, c1, c2): every context of every text."""
+    names = ["row", "first", "n", "h", "c1", "c2"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows = b.column(0).to_numpy()
             units: list[tuple[int, int, list[bytes]]] = []  # row, first word, words
             held = 0
 
-            def out(units: list[tuple[int, int, list[bytes]]], t: np.ndarray = b.column(0).to_numpy(), copies: np.ndarray = b.column(1).to_numpy()) -> pa.RecordBatch:
-                d, first, n, h = contexts(np.array([len(w) for _, _, w in units]), [x for _, _, w in units for x in w], window)
-                own = [w for _, _, w in units]
-                c = [_halves(own[i][a : a + m + window - 1]) for i, a, m in zip(d.tolist(), first.tolist(), n.tolist(), strict=True)]
-                c = np.array(c, dtype=np.int64).reshape(-1, 2)
+            def out(units: list[tuple[int, int, list[bytes]]], rows: np.ndarray = rows) -> pa.RecordBatch:
+                words = [x for _, _, w in units for x in w]
+                sizes = np.array([len(w) for _, _, w in units])
+                d, first, n, h = contexts(sizes, words, window)
+                c = _halves(_sliced(words, first + (np.cumsum(sizes) - sizes)[d], n + window - 1)) if len(d) else np.empty((0, 2), np.int64)
                 row, off = (np.array([u[i] for u in units], dtype=np.int64)[d] for i in (0, 1))
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(t[row]), pa.array(copies[row]), pa.array((first + off).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(as_long(h)), pa.array(c[:, 0]), pa.array(c[:, 1])], names
+                    [pa.array(rows[row]), pa.array((first + off).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(as_long(h)), pa.array(c[:, 0]), pa.array(c[:, 1])], names
                 )
 
-            for i, text in enumerate(text_bytes(b.column(2))):
+            for i, text in enumerate(text_bytes(b.column(1))):
                 words = text.split()
                 if len(words) < window:
                     continue
@@ -171,7 +174,7 @@ def _occurrences(texts: DataFrame, window: int) -> DataFrame:
             if units:
                 yield out(units)
 
-    return texts.select("t", "copies", "text").mapInArrow(each, "t long, copies long, first int, n int, h long, c1 long, c2 long")
+    return texts.mapInArrow(each, "row long, first int, n int, h long, c1 long, c2 long")
 
 
 class SuffixAutomaton:
@@ -228,9 +231,10 @@ class SuffixAutomaton:
 
     def finish(self) -> None:
         """Pass counts on to the suffixes; no text may be added after."""
-        for v in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
-            if self.link[v] > 0:
-                self.count[self.link[v]] += self.count[v]
+        link, count = self.link, self.count
+        for v in np.argsort(self.length, kind="stable")[:0:-1].tolist():
+            if link[v] > 0:
+                count[link[v]] += count[v]
 
     def repeats(self, words: list, window: int, least: int) -> list[int]:
         """Starts of windows of ``words`` that occur at least ``least`` times here.
@@ -318,8 +322,8 @@ def _cut(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     rows = []
             yield _longs(rows, names, kinds)
 
-    by_text = wanted.groupBy("t").agg(F.collect_list(F.struct("first", "n", "h", "c1", "c2", "weight", "many")).alias("wanted"))
-    return texts.join(splittable(by_text), "t").select("text", "wanted").mapInArrow(each, "h long, c1 long, c2 long, weight long, many boolean, words binary")
+    by_text = wanted.groupBy("row").agg(F.collect_list(F.struct("first", "n", "h", "c1", "c2", "weight", "many")).alias("wanted"))
+    return texts.join(splittable(by_text), "row").select("text", "wanted").mapInArrow(each, "h long, c1 long, c2 long, weight long, many boolean, words binary")
 
 
 def _split(pieces: DataFrame, window: int) -> DataFrame:
@@ -348,9 +352,8 @@ def _split(pieces: DataFrame, window: int) -> DataFrame:
                 words = text.split(b" ")
                 _, first, n, key = contexts(np.array([len(words)]), words, window, np.array(common or [], dtype=np.int64).view(np.uint64))
                 key = as_long(mixed(key ^ np.array([h], dtype=np.int64).view(np.uint64)))
-                for a, m, k in zip(first.tolist(), n.tolist(), key.tolist(), strict=True):
-                    own = words[a : a + m + window - 1]
-                    rows.append((k, *_halves(own), weight, b" ".join(own), h, c1, c2, a))
+                own = _sliced(words, first, n + window - 1)
+                rows += [(k, *c, weight, x, h, c1, c2, a) for k, c, x, a in zip(key.tolist(), _halves(own).tolist(), own, first.tolist(), strict=True)]
             yield _longs(rows, names, [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 3 + [pa.int32()])
 
     parts = pieces.join(many, "h", "left").select("h", "c1", "c2", "weight", "words", "common")
@@ -362,27 +365,25 @@ def _split(pieces: DataFrame, window: int) -> DataFrame:
     return back.select(F.col("h0").alias("h"), F.col("c10").alias("c1"), F.col("c20").alias("c2"), (F.col("off") + F.col("x.at")).alias("at"), F.col("x.m").alias("m"))
 
 
-def repeated(docs: DataFrame, text_col: str, window: int) -> DataFrame:
-    """(key, ranges): by text key, the ranges (first, n) of starts whose window repeats."""
-    text = F.col(f"`{text_col}`")
-    own = docs.select(_sha(text).alias("key"), text.cast("string").alias("text"))
-    # Copies meet here once, combined before the shuffle, and never again.
-    texts = own.groupBy("key").agg(F.count("*").alias("copies"), F.any_value("text").alias("text"))
-    texts = written(texts.withColumn("t", F.monotonically_increasing_id()), "texts")
+def repeated(texts: DataFrame, window: int) -> DataFrame:
+    """(row, ranges): of ``texts`` (row, text), the ranges (first, n) of starts whose window repeats."""
     occ = written(_occurrences(texts, window), "occurrences")
-    folded = written(occ.groupBy("h", "c1", "c2").agg(F.sum("copies").alias("weight"), F.min(F.struct("t", "first", "n")).alias("of")), "folded")
+    folded = written(occ.groupBy("h", "c1", "c2").agg(F.count("*").alias("weight"), F.min(F.struct("row", "first", "n")).alias("of")), "folded")
     by_h = folded.groupBy("h").agg(F.sum("weight").alias("total"), F.count("*").alias("different")).where("total > 1")
     by_h = splittable(by_h.select("h", (F.col("different") > SPLIT).alias("many")))
     able = folded.join(by_h, "h").select("h", "c1", "c2", "weight", "of.*", "many")
     pieces = written(_cut(texts, able, window), "pieces")
+    discard(folded)
     judged = _judged(pieces.where("not many"), window).unionByName(_split(pieces.where("many"), window))
-    found = judged.groupBy("h", "c1", "c2").agg(F.collect_list(F.struct("at", "m")).alias("found"))
-    found = written(found, "judged")
-    # Occurrences lie in files by text, so what a common context meets is spread over them.
-    spans = occ.select("t", "first", "h", "c1", "c2").join(splittable(found, merge=True), ["h", "c1", "c2"])
-    spans = spans.select("t", F.explode(F.transform("found", lambda x: F.struct((F.col("first") + x["at"]).alias("first"), x["m"].alias("n")))).alias("r"))
-    ranges = spans.groupBy("t").agg(F.collect_list("r").alias("ranges"))
-    return written(texts.select("t", "key").join(splittable(ranges), "t").select("key", "ranges"), "ranges")
+    found = written(judged.groupBy("h", "c1", "c2").agg(F.collect_list(F.struct("at", "m")).alias("found")), "judged")
+    discard(pieces)
+    # Occurrences lie in files by text, so those of a common context are spread over them.
+    spans = occ.select("row", "first", "h", "c1", "c2").join(splittable(found, merge=True), ["h", "c1", "c2"])
+    spans = spans.select("row", F.explode(F.transform("found", lambda x: F.struct((F.col("first") + x["at"]).alias("first"), x["m"].alias("n")))).alias("r"))
+    ranges = written(spans.groupBy("row").agg(F.collect_list("r").alias("ranges")), "ranges")
+    discard(occ)
+    discard(found)
+    return ranges
 
 
 def kept_words(words: list[bytes], ranges: list[tuple[int, int]], window: int) -> list[bytes]:
@@ -408,9 +409,10 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     all; an empty table gives an empty one; extra columns are ignored.
     """
     small_batches(docs.sparkSession)
-    ranges = repeated(docs, text_col, window)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    marked = own.withColumn("key", _sha(F.col("text"))).join(splittable(ranges), "key", "left").select("id", "text", "ranges")
+    own = written(own.withColumn("row", F.monotonically_increasing_id()), "documents")
+    ranges = repeated(own.select("row", "text"), window)
+    marked = own.join(splittable(ranges), "row", "left").select("id", "text", "ranges")
     return marked.mapInArrow(lambda it: _apply(it, window), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
@@ -421,10 +423,10 @@ def without_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     """
     small_batches(docs.sparkSession)
     names = docs.columns
-    key, runs = fresh("_key", names), fresh("_ranges", names)
-    ranges = repeated(docs, text_col, window).toDF(key, runs)
-    marked = docs.withColumn(key, _sha(F.col(f"`{text_col}`"))).join(splittable(ranges), key, "left")
-    marked = marked.select(*(F.col(f"`{c}`") for c in names), runs)
+    row, runs = fresh("_row", names), fresh("_ranges", names)
+    own = written(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    ranges = repeated(own.select(F.col(row).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")), window)
+    marked = own.join(splittable(ranges.toDF(row, runs)), row, "left").select(*(F.col(f"`{c}`") for c in names), runs)
     at = names.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
