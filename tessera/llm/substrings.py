@@ -140,27 +140,33 @@ def _longs(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+def _key(text) -> list:
+    """k1 and k2, the key of a text: 128 bits of its SHA-256."""
+    sha = F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+    return [F.conv(F.substring(sha, a, 16), 16, -10).cast("long").alias(k) for a, k in ((1, "k1"), (17, "k2"))]
+
+
 def _occurrences(texts: DataFrame, window: int) -> DataFrame:
-    """(row, first, n, h, c1, c2): every context of every text."""
-    names = ["row", "first", "n", "h", "c1", "c2"]
+    """(k1, k2, first, n, h, c1, c2): every context of every text."""
+    names = ["k1", "k2", "first", "n", "h", "c1", "c2"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.column(0).to_numpy()
+            k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             units: list[tuple[int, int, list[bytes]]] = []  # row, first word, words
             held = 0
 
-            def out(units: list[tuple[int, int, list[bytes]]], rows: np.ndarray = rows) -> pa.RecordBatch:
+            def out(units: list[tuple[int, int, list[bytes]]], k1: np.ndarray = k1, k2: np.ndarray = k2) -> pa.RecordBatch:
                 words = [x for _, _, w in units for x in w]
                 sizes = np.array([len(w) for _, _, w in units])
                 d, first, n, h = contexts(sizes, words, window)
                 c = _halves(_sliced(words, first + (np.cumsum(sizes) - sizes)[d], n + window - 1)) if len(d) else np.empty((0, 2), np.int64)
                 row, off = (np.array([u[i] for u in units], dtype=np.int64)[d] for i in (0, 1))
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(rows[row]), pa.array((first + off).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(as_long(h)), pa.array(c[:, 0]), pa.array(c[:, 1])], names
+                    [pa.array(k1[row]), pa.array(k2[row]), pa.array((first + off).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(as_long(h)), pa.array(c[:, 0]), pa.array(c[:, 1])], names
                 )
 
-            for i, text in enumerate(text_bytes(b.column(1))):
+            for i, text in enumerate(text_bytes(b.column(2))):
                 words = text.split()
                 if len(words) < window:
                     continue
@@ -174,7 +180,7 @@ def _occurrences(texts: DataFrame, window: int) -> DataFrame:
             if units:
                 yield out(units)
 
-    return texts.mapInArrow(each, "row long, first int, n int, h long, c1 long, c2 long")
+    return texts.mapInArrow(each, "k1 long, k2 long, first int, n int, h long, c1 long, c2 long")
 
 
 class SuffixAutomaton:
@@ -322,8 +328,10 @@ def _cut(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     rows = []
             yield _longs(rows, names, kinds)
 
-    by_text = wanted.groupBy("row").agg(F.collect_list(F.struct("first", "n", "h", "c1", "c2", "weight", "many")).alias("wanted"))
-    return texts.join(splittable(by_text), "row").select("text", "wanted").mapInArrow(each, "h long, c1 long, c2 long, weight long, many boolean, words binary")
+    # Copies meet here once, combined before the shuffle, and their text is cut once.
+    texts = texts.groupBy("k1", "k2").agg(F.any_value("text").alias("text"))
+    by_text = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n", "h", "c1", "c2", "weight", "many")).alias("wanted"))
+    return texts.join(by_text, ["k1", "k2"]).select("text", "wanted").mapInArrow(each, "h long, c1 long, c2 long, weight long, many boolean, words binary")
 
 
 def _split(pieces: DataFrame, window: int) -> DataFrame:
@@ -366,9 +374,10 @@ def _split(pieces: DataFrame, window: int) -> DataFrame:
 
 
 def repeated(texts: DataFrame, window: int) -> DataFrame:
-    """(row, ranges): of ``texts`` (row, text), the ranges (first, n) of starts whose window repeats."""
+    """(k1, k2, ranges): by key of ``texts`` (k1, k2, text), the ranges (first, n) of starts
+    whose window repeats. Keyed texts count as often as they have rows."""
     occ = written(_occurrences(texts, window), "occurrences")
-    folded = written(occ.groupBy("h", "c1", "c2").agg(F.count("*").alias("weight"), F.min(F.struct("row", "first", "n")).alias("of")), "folded")
+    folded = written(occ.groupBy("h", "c1", "c2").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "first", "n")).alias("of")), "folded")
     by_h = folded.groupBy("h").agg(F.sum("weight").alias("total"), F.count("*").alias("different")).where("total > 1")
     by_h = splittable(by_h.select("h", (F.col("different") > SPLIT).alias("many")))
     able = folded.join(by_h, "h").select("h", "c1", "c2", "weight", "of.*", "many")
@@ -378,9 +387,9 @@ def repeated(texts: DataFrame, window: int) -> DataFrame:
     found = written(judged.groupBy("h", "c1", "c2").agg(F.collect_list(F.struct("at", "m")).alias("found")), "judged")
     discard(pieces)
     # Occurrences lie in files by text, so those of a common context are spread over them.
-    spans = occ.select("row", "first", "h", "c1", "c2").join(splittable(found, merge=True), ["h", "c1", "c2"])
-    spans = spans.select("row", F.explode(F.transform("found", lambda x: F.struct((F.col("first") + x["at"]).alias("first"), x["m"].alias("n")))).alias("r"))
-    ranges = written(spans.groupBy("row").agg(F.collect_list("r").alias("ranges")), "ranges")
+    spans = occ.select("k1", "k2", "first", "h", "c1", "c2").join(splittable(found, merge=True), ["h", "c1", "c2"])
+    spans = spans.select("k1", "k2", F.explode(F.transform("found", lambda x: F.struct((F.col("first") + x["at"]).alias("first"), x["m"].alias("n")))).alias("r"))
+    ranges = written(spans.groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges")), "ranges")
     discard(occ)
     discard(found)
     return ranges
@@ -409,10 +418,10 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     all; an empty table gives an empty one; extra columns are ignored.
     """
     small_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    own = written(own.withColumn("row", F.monotonically_increasing_id()), "documents")
-    ranges = repeated(own.select("row", "text"), window)
-    marked = own.join(splittable(ranges), "row", "left").select("id", "text", "ranges")
+    text = F.col(f"`{text_col}`").cast("string")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *_key(text))
+    ranges = repeated(own.select("k1", "k2", "text"), window)
+    marked = own.join(splittable(ranges), ["k1", "k2"], "left").select("id", "text", "ranges")
     return marked.mapInArrow(lambda it: _apply(it, window), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
@@ -423,10 +432,11 @@ def without_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     """
     small_batches(docs.sparkSession)
     names = docs.columns
-    row, runs = fresh("_row", names), fresh("_ranges", names)
-    own = written(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
-    ranges = repeated(own.select(F.col(row).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")), window)
-    marked = own.join(splittable(ranges.toDF(row, runs)), row, "left").select(*(F.col(f"`{c}`") for c in names), runs)
+    k1, k2, runs = (fresh(x, names) for x in ("_k1", "_k2", "_ranges"))
+    text = F.col(f"`{text_col}`").cast("string")
+    ranges = repeated(docs.select(*_key(text), text.alias("text")), window)
+    own = docs.withColumns(dict(zip((k1, k2), _key(text), strict=True)))
+    marked = own.join(splittable(ranges.toDF(k1, k2, runs)), [k1, k2], "left").select(*(F.col(f"`{c}`") for c in names), runs)
     at = names.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
