@@ -58,10 +58,12 @@ def written(df: DataFrame, what: str = "step") -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a ``written`` frame that nothing reads any more."""
+    """Delete the files of a ``written`` frame that nothing reads any more, and have Spark
+    clear away the shuffles that no frame refers to any more: it does so as garbage goes."""
     path = getattr(df, "_tessera_path", None)
     if path:
         jvm = df.sparkSession._jvm
+        jvm.java.lang.System.gc()
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
