@@ -24,6 +24,9 @@ class Formula:
     outputs: tuple[str, ...]
     #: (columns, kinds, constants) -> output columns and kinds; a null output drops the row.
     run: Callable[[dict[str, Column], dict[str, str], dict[str, object]], dict[str, tuple[Column, str]]]
+    #: Whether there may be any number of rows: ``run`` then gives an array of structs of the
+    #: outputs, and the outputs' kinds.
+    many: bool = False
 
 
 def _no_row() -> Column:
@@ -175,6 +178,32 @@ def _parts(c, kinds, constants):
     return {"namespace": (F.when(ok, F.substring_index(c["of"], "/", 1)), "Text"), "position": (F.when(ok, name), "Text")}
 
 
+_KEY = ("attribute", "entity", "vtype", "value")
+_PART = {"at": "UnsignedInteger", "kind": "Text", "text": "Text", "bytes": "Bytes"}
+
+
+def _part(at: Column, kind: Column, text: Column) -> Column:
+    return F.struct(at.cast(INT).alias("at"), kind.alias("kind"), text.alias("text"), F.encode(text, "UTF-8").alias("bytes"))
+
+
+def _key_parts(c, kinds, constants):
+    """A row a component of a whole key; one ``opaque`` row if it isn't one."""
+    text = F.decode(c["of"], "UTF-8")
+    parts = F.split(text, "\x1f", len(_KEY))
+    own = F.transform(parts, lambda x, i: _part(i, F.element_at(F.array(*map(F.lit, _KEY)), i + 1), x))
+    if kinds["of"] != "Bytes":
+        return F.array(_part(F.lit(0), F.lit("opaque"), F.lit(None).cast("string"))), _PART
+    whole = F.size(parts) == len(_KEY)
+    return F.when(whole, own).when(F.octet_length(c["of"]) > 0, F.array(_part(F.lit(0), F.lit("opaque"), text))), _PART
+
+
+def _separator_parts(c, kinds, constants):
+    """What a separator, the beginning of a key, tells; ``min`` for an open bound."""
+    text = F.decode(c["of"].cast("binary"), "UTF-8")
+    kind = F.when(F.octet_length(c["of"]) > 0, "prefix").otherwise("min")
+    return F.array(_part(F.lit(0), kind, text)), _PART
+
+
 TEXT, BOOL = ("Text",), ("Boolean",)
 FORMULAS: dict[str, Formula] = {
     "math/sum": _math("with", F.try_add, lambda a, b: a + b),
@@ -196,6 +225,8 @@ FORMULAS: dict[str, Formula] = {
     "float/parse": Formula(("text",), ("is",), _parse_float),
     "order/position": Formula(("member", "after", "before"), ("is",), _position),
     "order/position-parts": Formula(("of",), ("namespace", "position"), _parts),
+    "order/key-part": Formula(("of",), tuple(_PART), _key_parts, many=True),
+    "order/separator-part": Formula(("of",), tuple(_PART), _separator_parts, many=True),
 }
 
 
@@ -222,9 +253,9 @@ def formula(name: str) -> Formula:
     return found
 
 
-def register(name: str, inputs: tuple[str, ...], outputs: tuple[str, ...], run) -> None:
-    """Add a formula of one's own: ``run`` as in ``Formula``."""
-    FORMULAS[name] = Formula(inputs, outputs, run)
+def register(name: str, inputs: tuple[str, ...], outputs: tuple[str, ...], run, many: bool = False) -> None:
+    """Add a formula of one's own: ``run`` and ``many`` as in ``Formula``."""
+    FORMULAS[name] = Formula(inputs, outputs, run, many)
 
 
 __all__ = ["FORMULAS", "Formula", "Slot", "formula", "register"]

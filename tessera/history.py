@@ -15,7 +15,8 @@ REVISION = "id string, origin string, edition long, parents array<string>"
 def record(before: DataFrame, after: DataFrame, revision: dict) -> DataFrame:
     """What changed between two states, as assert and retract records of a revision."""
     stamp = lambda df, polarity: df.select(*SCHEMA.names, F.lit(polarity).alias("polarity"), F.lit(revision["id"]).alias("revision"), F.lit(revision["origin"]).alias("origin"), F.lit(revision["edition"]).cast("long").alias("edition"))
-    return stamp(without(after, before), "assert").unionByName(stamp(without(before, after), "retract"))
+    key = [*FACT, "cause"]
+    return stamp(without(after, before, key), "assert").unionByName(stamp(without(before, after, key), "retract"))
 
 
 def revisions(spark: SparkSession, rows: list[dict]) -> DataFrame:
@@ -27,9 +28,33 @@ def parents(revs: DataFrame) -> DataFrame:
     return revs.select(F.col("id").alias("this"), F.explode(F.array_distinct("parents")).alias("parent"))
 
 
+def above(revs: DataFrame, head: str) -> DataFrame:
+    """(id): the head's revision and all its ancestors, by steps that double.
+
+    After k rounds all ancestors within 2^k - 1 steps are there; what is kept beside them is
+    where 2^k steps lead, so a long line of revisions takes few rounds and no closure.
+    """
+    from tessera.plans.compile import ensure_checkpoints
+
+    ensure_checkpoints(revs.sparkSession)
+    jumps = parents(revs).checkpoint()
+    found = revs.where(F.col("id") == head).select("id").checkpoint()
+    n = found.count()
+    while n:
+        more = found.join(jumps, found["id"] == jumps["this"]).select(F.col("parent").alias("id"))
+        found = found.unionByName(more).distinct().checkpoint()
+        m = found.count()
+        if m == n:
+            break
+        n = m
+        twice = jumps.alias("a").join(jumps.alias("b"), F.col("a.parent") == F.col("b.this"))
+        jumps = twice.select(F.col("a.this").alias("this"), F.col("b.parent").alias("parent")).distinct().checkpoint()
+    return found
+
+
 def log(revs: DataFrame, head: str) -> DataFrame:
     """The head's revision and all its ancestors, latest edition first to be sorted by."""
-    return revs.join(ancestors(revs).where(F.col("this") == head).select(F.col("ancestor").alias("id")), "id", "left_semi")
+    return revs.join(above(revs, head), "id", "left_semi")
 
 
 def ancestors(revs: DataFrame) -> DataFrame:
@@ -52,16 +77,15 @@ def causality(revs: DataFrame, a: str, b: str) -> str:
     """equal, supersedes, superseded or concurrent."""
     if a == b:
         return "equal"
-    pairs = {(r["this"], r["ancestor"]) for r in ancestors(revs).where(F.col("this").isin(a, b) & F.col("ancestor").isin(a, b)).collect()}
-    return "supersedes" if (a, b) in pairs else "superseded" if (b, a) in pairs else "concurrent"
+    if not above(revs, a).where(F.col("id") == b).isEmpty():
+        return "supersedes"
+    return "concurrent" if above(revs, b).where(F.col("id") == a).isEmpty() else "superseded"
 
 
 def common_ancestor(revs: DataFrame, a: str, b: str) -> str | None:
     """The nearest shared revision: of the highest edition, then the greatest id."""
-    up = ancestors(revs)
-    both = up.where(F.col("this").isin(a, b)).groupBy("ancestor").agg(F.countDistinct("this").alias("n")).where(F.col("n") == len({a, b}))
-    row = both.join(revs, both["ancestor"] == revs["id"]).agg(F.max_by("id", F.struct("edition", "id")).alias("id")).first()
-    return row["id"]
+    both = revs.join(above(revs, a), "id", "left_semi").join(above(revs, b), "id", "left_semi")
+    return both.agg(F.max_by("id", F.struct("edition", "id")).alias("id")).first()["id"]
 
 
 def context(revs: DataFrame, head: str) -> DataFrame:
@@ -87,7 +111,7 @@ def merged(base: DataFrame, mine: DataFrame, theirs: DataFrame) -> DataFrame:
 
 def live(history: DataFrame) -> DataFrame:
     """Facts whose last record, by edition then hash, asserts them."""
-    rank = F.struct("edition", "revision", fact_hash().alias("h"))
+    rank = F.struct("edition", "revision", (F.col("polarity") == "assert").alias("a"), fact_hash().alias("h"))
     last = history.withColumn("_v", packed()).groupBy("the", "of", "_v").agg(F.max_by(F.struct("polarity", "cause"), rank).alias("r"))
     return last.where("r.polarity = 'assert'").select("the", "of", "_v.*", "r.cause")
 

@@ -186,4 +186,16 @@ class Rule:
 
     @property
     def id(self) -> str:
-        return hashlib.sha256(repr(self).encode()).hexdigest()[:24]
+        """Of what the rule says, in whatever order its fields and terms are written."""
+
+        def plain(x):
+            if isinstance(x, Concept):
+                return sorted((n, plain(a)) for n, a in x.fields)
+            if isinstance(x, Attribute):
+                return (x.the, x.kind, x.cardinality, x.optional, plain(x.conforms) if x.conforms else None, x.one_of)
+            if isinstance(x, Premise):
+                return (plain(x.what), sorted((n, repr(t)) for n, t in x.where))
+            return x
+
+        own = (plain(self.deduce), [plain(p) for p in self.when], [plain(p) for p in self.unless], sorted((n, repr(f)) for n, f in self.reduce), self.head)
+        return hashlib.sha256(repr(own).encode()).hexdigest()[:24]

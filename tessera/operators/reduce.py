@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.model import ANY, COMPARABLE, IDENTITY, NUMERIC, QueryError
+from tessera.model import ANY, COMPARABLE, IDENTITY, NUMERIC, TAGS, VALUE, QueryError
 
 FOLDS = ("count", "count-distinct", "sum", "min", "max", "avg")
 INT = "decimal(38,0)"
@@ -30,6 +30,12 @@ def check(apply: str, kind: str) -> None:
         raise QueryError("ReduceInput", f"{apply} of {kind}")
 
 
+def _value(tag: Column, **payload: Column) -> Column:
+    """A tagged value of a computed type."""
+    parts = payload | {"vt": tag}
+    return F.struct(*(parts.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in VALUE))
+
+
 def output_kind(apply: str, kind: str) -> str:
     return {"count": "UnsignedInteger", "count-distinct": "UnsignedInteger", "avg": "Float"}.get(apply, kind)
 
@@ -48,17 +54,18 @@ def fold(apply: str, c: Column, kind: str) -> Column:
         if kind != ANY:
             return F.coalesce(F.sum(c.cast(INT)), F.lit(0).cast(INT))
         mixed = (F.count(c["vn"]) > 0) & (F.count(c["vf"]) > 0)
-        total = F.struct(F.coalesce(F.sum(c["vn"]), F.lit(0).cast("decimal(38,0)")).alias("n"), F.sum(c["vf"]).alias("f"))
-        return F.when(mixed, F.raise_error(F.lit("sum of integers and floats in one group"))).otherwise(F.coalesce(total["f"], total["n"].cast("double")))
+        whole = F.coalesce(F.sum(c["vn"]), F.lit(0).cast(INT)).cast(INT)
+        kind = F.when(F.count(c["vf"]) > 0, F.lit(TAGS["Float"])).when(whole < 0, F.lit(TAGS["SignedInteger"])).otherwise(F.lit(TAGS["UnsignedInteger"]))
+        own = _value(kind, vn=F.when(F.count(c["vf"]) == 0, whole), vf=F.sum(c["vf"]))
+        return F.when(mixed, F.raise_error(F.lit("sum of integers and floats in one group")).cast(VALUE)).otherwise(own)
     best = F.min if apply == "min" else F.max
     if kind == "Float":
         odd = (F.count(c) > 1) & F.coalesce(F.max(F.isnan(c)), F.lit(False))
         return F.when(odd, F.raise_error(F.lit(f"{apply} over NaN")).cast("double")).otherwise(best(c))
     if kind == ANY:
         odd = (F.count(c) > 1) & ((F.min(c["vt"]) != F.max(c["vt"])) | F.coalesce(F.max(F.isnan(c["vf"])), F.lit(False)))
-        return F.when(odd, F.raise_error(F.lit(f"{apply} over values that can't be ordered")).cast("string")).otherwise(
-            F.coalesce(best(c["vs"]), best(c["vn"]).cast("string"), best(c["vf"]).cast("string"))
-        )
+        own = _value(F.min(c["vt"]), vs=best(c["vs"]), vn=best(c["vn"]), vf=best(c["vf"]), vb=best(c["vb"]))
+        return F.when(odd, F.raise_error(F.lit(f"{apply} over values that can't be ordered")).cast(VALUE)).otherwise(F.when(F.count(c) > 0, own))
     return best(c)
 
 

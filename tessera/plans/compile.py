@@ -43,8 +43,8 @@ def tagged(c: Column, kind: str) -> Column:
 class Session:
     """Queries over a source under a set of rules."""
 
-    def __init__(self, spark: SparkSession, source, rules: list[Rule] = (), revisions: DataFrame | None = None):
-        self.spark, self.source = spark, source
+    def __init__(self, spark: SparkSession, source, rules: list[Rule] = (), revisions: DataFrame | None = None, tables: dict[str, Relation] | None = None):
+        self.spark, self.source, self.tables = spark, source, tables or {}
         self.rules: dict[str, list[Rule]] = {}
         self.revisions = revisions
         self.known: dict[str, Relation] = {}
@@ -167,12 +167,15 @@ class Session:
                     c, kind = con.literal(f.of)
                 out = red.output_kind(f.apply, kind)
                 folds[n] = red.fold(f.apply, c, kind)
-                if kind == ANY and f.apply in ("min", "max", "sum"):
-                    want = head[n].kind
-                    out = want if want != ANY else ("Float" if f.apply == "sum" else "Text")
-                    folds[n] = folds[n].cast({"Float": "double", "UnsignedInteger": red.INT, "SignedInteger": red.INT}.get(out, "string"))
                 slots[n] = Slot(out)
             df = red.reduced(body.df, keys, folds)
+            for n, _f in rule.reduce:
+                want = head[n].kind
+                if slots[n].kind == ANY and want != ANY:  # a value of another type is no row's
+                    v = F.col(f"`{n}`")
+                    tags = [TAGS[k] for k in ((*con.INTS,) if want in con.INTS else (want,))]
+                    df = df.where(v.isNull() | v["vt"].isin(*tags)).withColumn(n, v[PAYLOAD[want]])
+                    slots[n] = Slot(want)
         else:
             df, slots = body.df, dict(body.slots)
         if "this" not in slots:  # an anonymous head
@@ -242,7 +245,11 @@ class Session:
         return self.compute(state, p)
 
     def _revisions(self, name: str) -> Relation:
-        """Revision records, or a row for each of a revision's parents."""
+        """Revision records, or a row for each of a revision's parents; or a table of the layout."""
+        if name in analyze.TREE:
+            if name not in self.tables:
+                raise QueryError("NoTable", name)
+            return self.tables[name]
         if self.revisions is None:
             raise QueryError("NoRevisions", name)
         own = self.revisions
@@ -254,9 +261,10 @@ class Session:
 
     def _scan(self, p: Premise) -> Relation:
         the = p.terms.get("the")
-        if isinstance(the, Var | Blank):
-            return self.source.any_attribute()
-        a = p.what
+        out = self.source.any_attribute() if isinstance(the, Var | Blank) else self._attribute(p.what)
+        return Relation(out.df.withColumn("cause", F.coalesce("cause", F.unhex(F.lit("00" * 32)))), out.slots)
+
+    def _attribute(self, a: Attribute) -> Relation:
         if isinstance(self.source, NarrowFacts):
             own = self.source.scan(a)
             v = packed() if a.kind == ANY else F.col(PAYLOAD[a.kind])
@@ -430,7 +438,13 @@ class Session:
             if isinstance(t[n], Var):
                 df = df.where(F.col(f"`{t[n].name}`").isNotNull())
                 maybe.discard(t[n].name)
-        got = f.run(columns, kinds, constants)
+        if f.many:
+            rows, outputs = f.run(columns, kinds, constants)
+            one = f"_{uuid.uuid4().hex[:8]}"
+            df = df.withColumn(one, F.explode(rows))
+            got = {n: (F.col(one)[n], kind) for n, kind in outputs.items()}
+        else:
+            one, got = None, f.run(columns, kinds, constants)
         for n, (c, kind) in got.items():
             want = t.get(n, Blank())
             if isinstance(want, Const):
@@ -444,7 +458,7 @@ class Session:
                 slots[want.name] = Slot(kind)
             else:
                 df = df.where(c.isNotNull())
-        return State(df, slots, maybe)
+        return State(df.drop(one) if one else df, slots, maybe)
 
     def _yields(self, state: State, p: Premise) -> Column:
         """Whether a formula has a result on the row: its inputs are there, and so is every
@@ -457,16 +471,24 @@ class Session:
                 constants[n], columns[n] = x.value, F.lit(x.value)
             else:
                 columns[n], there = x, there & x.isNotNull()
-        for n, (c, kind) in f.run(columns, kinds, constants).items():
-            want = t.get(n, Blank())
-            if isinstance(want, Const):
-                there = there & self._constant(c, Slot(kind), want)
-            elif isinstance(want, Var) and want.name in state.slots:
-                x, kx = self._side(state, want)
-                there = there & con.equal(x, kx, c, kind)
-            else:
-                there = there & c.isNotNull()
-        return there
+
+        def fits(got: dict[str, tuple[Column, str]]) -> Column:
+            out = F.lit(True)
+            for n, (c, kind) in got.items():
+                want = t.get(n, Blank())
+                if isinstance(want, Const):
+                    out = out & self._constant(c, Slot(kind), want)
+                elif isinstance(want, Var) and want.name in state.slots:
+                    x, kx = self._side(state, want)
+                    out = out & con.equal(x, kx, c, kind)
+                else:
+                    out = out & c.isNotNull()
+            return out
+
+        if f.many:
+            rows, outputs = f.run(columns, kinds, constants)
+            return there & F.exists(rows, lambda r: F.coalesce(fits({n: (r[n], kind) for n, kind in outputs.items()}), F.lit(False)))
+        return there & fits(f.run(columns, kinds, constants))
 
     def negated(self, state: State, p: Premise, relation=None) -> State:
         """Rows for which the premise yields nothing."""
@@ -488,11 +510,29 @@ class Session:
 
     # --- recursion
 
-    def _fixpoint(self, group: frozenset[str], concept: Concept) -> None:
+    def recursive(self, concept: Concept) -> bool:
+        rules = [r for own in self.rules.values() for r in own]
+        return bool(analyze.check_strata(concept.identity, analyze.dependencies(rules)))
+
+    def resumed(self, concept: Concept, rows: DataFrame) -> DataFrame:
+        """A recursive concept's rows from some of them that are known to hold.
+
+        The rules start from those and all base rows; a round joins them all once, and then
+        only what is new. So rows that were taken out and still hold come back.
+        """
+        rules = [r for own in self.rules.values() for r in own]
+        group = analyze.check_strata(concept.identity, analyze.dependencies(rules))
+        slots = {"this": Slot("Entity")} | {a.the: Slot(a.kind) for _, a in concept.fields}
+        columns = [F.col("this"), *(F.col(f"`{n}`").alias(a.the) for n, a in concept.fields)]
+        self._fixpoint(group, concept, Relation(rows.select(*columns), slots))
+        return self._named(self.known[concept.identity], concept).shown()
+
+    def _fixpoint(self, group: frozenset[str], concept: Concept, known: Relation | None = None) -> None:
         """Semi-naive: each round joins what is new with all there is, for the whole component.
 
         Rows are a set. Each round is checkpointed to the shared folder, so lineage doesn't
-        grow and a lost executor costs no more than its tasks.
+        grow and a lost executor costs no more than its tasks. ``known`` rows of ``concept``
+        are there from the start.
         """
         ensure_checkpoints(self.spark)
         heads = {r.deduce.identity: r.deduce for own in self.rules.values() for r in own if r.deduce.identity in group}
@@ -505,6 +545,8 @@ class Session:
         delta: dict[str, Relation] = {}
         for k, c in heads.items():
             parts = [self._stored(c), *(self.derive(r) for r in self.rules.get(k, ()) if not reads(r))]
+            if known is not None and k == concept.identity:
+                parts.append(known)
             own = self._settled(self._union(c, parts))
             first = self._distinct(own).df.checkpoint()
             total[k] = delta[k] = Relation(first, own.slots)

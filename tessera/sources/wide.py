@@ -55,6 +55,9 @@ class WideTable:
             if want != own and not ({want, own} == {"UnsignedInteger", "SignedInteger"}) and not ({want, own} <= {"Text", "Symbol"}):
                 c = F.lit(None).cast("string")  # no fact of the asked type
                 where.append(F.lit(bool(a.optional)))
+            elif a.one_of:
+                c = F.when(c.isin(*a.one_of), c)
+                where.append(c.isNotNull() | F.lit(bool(a.optional)))
             elif not a.optional:
                 where.append(c.isNotNull())
             if want == "UnsignedInteger" and own == "SignedInteger":

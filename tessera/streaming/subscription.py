@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.model import Attribute, Concept, Premise, Rule, Var
+from tessera import files
+from tessera.model import Concept, Rule
 from tessera.operators import zset
-from tessera.plans.compile import Session, State, ensure_checkpoints
-from tessera.sources.facts import FACT, NarrowFacts, union, without
+from tessera.plans.compile import Session, ensure_checkpoints
+from tessera.plans.delta import affected, attributes_read
+from tessera.sources.facts import FACT, NarrowFacts, without
+from tessera.store import Branch
 
 
 @dataclass
@@ -22,135 +24,130 @@ class Delta:
     retracted: DataFrame
 
 
-def attributes_read(c: Concept, rules: list[Rule]) -> set[str]:
-    """Attributes whose facts can change the concept's rows: the demand of its plan."""
-    out: set[str] = set()
-    seen: set[str] = set()
-    todo = [c]
-    while todo:
-        x = todo.pop()
-        out |= {a.the for _, a in x.fields}
-        if x.identity in seen:
-            continue
-        seen.add(x.identity)
-        todo += [a.conforms for _, a in x.fields if a.conforms]
-        for r in rules:
-            if r.deduce.identity == x.identity:
-                for p in (*r.when, *r.unless):
-                    if isinstance(p.what, Concept):
-                        todo.append(p.what)
-                    elif isinstance(p.what, Attribute):
-                        out.add(p.what.the if not isinstance(p.terms.get("the"), Var) else "*")
-    return out
-
-
-def local(c: Concept, rules: list[Rule]) -> bool:
-    """Whether a row hangs on facts of its own entity alone, and isn't reduced or recursive."""
-    for r in rules:
-        if r.deduce.identity == c.identity:
-            if r.reduce or any(not isinstance(p.what, str) and p.terms.get("this") != Var("this") for p in (*r.when, *r.unless)):
-                return False
-            if any(isinstance(p.what, Concept) and (p.what.identity == c.identity or not local(p.what, rules)) for p in (*r.when, *r.unless)):
-                return False
-    return not any(a.conforms for _, a in c.fields)
-
-
 class Subscription:
     """A concept's rows, kept up to date.
 
-    ``facts`` gives the present facts. A poll compares them with the last poll's: if no
-    attribute in demand changed there is nothing to do; if rows are local to entities only
-    those of touched entities are derived anew; else all are.
+    ``facts`` is a branch, or gives the present facts. A poll asks what changed under the
+    attributes in demand: a branch's own records since the last poll, or else a comparison
+    with the last poll's facts. If nothing did there is nothing to do. Else the entities
+    whose rows the change can reach, through joins, negations and recursion, are derived
+    anew; where that can't be told, all are.
     """
 
-    def __init__(self, spark: SparkSession, facts: Callable[[], DataFrame], concept: Concept, rules: list[Rule] = ()):
+    def __init__(self, spark: SparkSession, facts: Callable[[], DataFrame] | Branch, concept: Concept, rules: list[Rule] = ()):
         ensure_checkpoints(spark)
-        self.spark, self.facts, self.concept, self.rules = spark, facts, concept, list(rules)
+        self.spark, self.concept, self.rules = spark, concept, list(rules)
+        self.branch = facts if isinstance(facts, Branch) else None
+        self.facts = None if self.branch else facts
         self.demand = attributes_read(concept, self.rules)
         self.before: DataFrame | None = None
+        self.revision: str | None = None
         self.rows: DataFrame | None = None
         self.recomputes = self.maintenances = 0
 
+    def _wanted(self, df: DataFrame) -> DataFrame:
+        return df if "*" in self.demand else df.where(F.col("the").isin(*sorted(self.demand)))
+
+    def _session(self, facts: DataFrame) -> Session:
+        return Session(self.spark, NarrowFacts(facts), self.rules)
+
     def _derive(self, facts: DataFrame) -> DataFrame:
-        return Session(self.spark, NarrowFacts(facts), self.rules).query(self.concept)
+        return self._session(facts).query(self.concept)
 
     def poll(self) -> Delta | None:
         """All rows on the first call; None if nothing changed."""
-        now = self.facts()
-        if "*" not in self.demand:
-            now = now.where(F.col("the").isin(*sorted(self.demand)))
-        now = now.checkpoint()
-        if self.before is None:
-            rows = self._derive(now).checkpoint()
-            self.before, self.rows = now, rows
-            self.recomputes += 1
-            return Delta(rows, rows.limit(0))
+        if self.branch:
+            self.branch.refresh()
+            head = self.branch._head
+            if self.rows is not None and head == self.revision:
+                return None
+            now = self._wanted(self.branch.facts())
+            records = self.branch.changes_since(self.revision) if self.rows is not None else None
+            before = self._wanted(self.branch.facts(self.revision)) if records is not None and self.revision else None
+            if records is not None:
+                changed = self._wanted(records).select("the", "of").distinct().checkpoint()
+            else:
+                changed = None
+            if before is None and records is not None:
+                before = now.limit(0)
+            self.revision = head
+            return self._update(before, now, changed)
+        now = self._wanted(self.facts()).checkpoint()
+        before, self.before = self.before, now
+        if self.rows is None:
+            return self._update(None, now, None)
         keys = [*FACT, "cause"]
-        touched = without(now, self.before, keys).unionByName(without(self.before, now, keys)).select("of").distinct().checkpoint()
-        if touched.isEmpty():
-            return None
-        if local(self.concept, self.rules):
-            fresh = self._derive(now.join(touched, "of", "left_semi"))
-            gone = touched.withColumnRenamed("of", "this")
-            rows = self.rows.join(gone, "this", "left_anti").unionByName(fresh).checkpoint()
-            self.maintenances += 1
-        else:
-            rows = self._derive(now).checkpoint()
+        changed = without(now, before, keys).unionByName(without(before, now, keys)).select("the", "of").distinct().checkpoint()
+        return self._update(before, now, changed)
+
+    def _update(self, before: DataFrame | None, now: DataFrame, changed: DataFrame | None) -> Delta | None:
+        """Rows after a change of facts; ``changed`` (the, of), or None if it isn't known."""
+        reach = None
+        if self.rows is not None and changed is not None:
+            touched = {r["the"] for r in changed.select("the").distinct().collect()}  # attributes, not facts
+            if not touched:
+                return None
+            reach = affected([self._session(before), self._session(now)], self.concept, changed, touched)
+        if reach is None:
+            rows, old = self._derive(now).checkpoint(), self.rows
             self.recomputes += 1
-        change = zset.changes(self.rows, rows).checkpoint()
-        self.before, self.rows = now, rows
+            if old is None:
+                self.rows = rows
+                return Delta(rows, rows.limit(0))
+            change = zset.changes(old, rows).checkpoint()
+        else:
+            reach = reach.distinct().checkpoint()
+            session = self._session(now)
+            kept = self.rows.join(reach, "this", "left_anti")
+            if session.recursive(self.concept):
+                rows = session.resumed(self.concept, kept)
+                fresh = rows.join(reach, "this", "left_semi")
+                change = zset.changes(self.rows, rows).checkpoint()
+            else:
+                fresh = session.query(self.concept).join(reach, "this", "left_semi").checkpoint()
+                rows = kept.unionByName(fresh)
+                change = zset.changes(self.rows.join(reach, "this", "left_semi"), fresh).checkpoint()
+            rows = rows.checkpoint()
+            self.maintenances += 1
+        self.rows = rows
         if change.isEmpty():
             return None
-        lost = zset.scaled(change, -1)
-        return Delta(zset.expanded(change), zset.expanded(lost))
-
-
-def extended(session: Session, path: Concept, step: Rule, total: DataFrame, added: DataFrame) -> DataFrame:
-    """A closure's rows after additions to it: resumes from the rows there are.
-
-    ``step`` is the linear recursive rule, ``added`` rows that weren't there. Semi-naive:
-    only rows that are new are joined in each round.
-    """
-    ensure_checkpoints(session.spark)
-    names = ["this", *path.attributes]
-    at = next(i for i, p in enumerate(step.when) if isinstance(p.what, Concept) and p.what.identity == path.identity)
-    from tessera.sources.base import Relation, Slot
-
-    slots = {"this": Slot("Entity")} | {n: Slot(a.kind) for n, a in path.fields}
-    all_ = total.select(*names).distinct()
-    new = added.select(*names).join(all_, names, "left_anti").distinct().checkpoint()
-    while not new.isEmpty():
-        all_ = all_.unionByName(new).checkpoint()
-        seed = session.join(State(), Relation(new, slots), step.when[at].terms, set())
-        body = session.body([p for i, p in enumerate(step.when) if i != at], step.unless, Relation(seed.df, seed.slots))
-        got = Relation(body.df, body.slots).shown(names)
-        new = got.distinct().join(all_, names, "left_anti").checkpoint()
-    return all_
+        return Delta(zset.expanded(change), zset.expanded(zset.scaled(change, -1)))
 
 
 def standing(stream: DataFrame, concept: Concept, rules: list[Rule], folder: str, sink: Callable[[Delta, int], None]) -> StreamingQuery:
     """Subscribe to a stream of facts (Structured Streaming): a delta for each micro-batch.
 
-    The facts so far are kept in ``folder``, a shared one, by batch, so that a batch that
-    runs again overwrites itself.
+    Everything is kept in ``folder``, a shared one: facts and rows by batch, and the stream's
+    own checkpoint. So a query that is started again goes on where it was, and a batch that
+    runs again overwrites itself. A batch only reads the facts in demand of the entities
+    that it can reach, and its delta reaches the sink at least once.
     """
     spark = stream.sparkSession
-    known: list[int] = []
-
-    def facts() -> DataFrame:
-        return union(*(spark.read.schema(stream.schema).parquet(f"{folder}/batch={i}") for i in known)) if known else stream.limit(0)
-
-    sub = Subscription(spark, facts, concept, rules)
+    schema = stream.schema
 
     def batch(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-        if number not in known:
-            known.append(number)
-        delta = sub.poll()
+        facts, rows = f"{folder}/facts", f"{folder}/rows"
+        df.write.mode("overwrite").parquet(f"{facts}/batch={number}")
+        done = [int(x[6:]) for x in files.names(spark, rows) if x.startswith("batch=") and int(x[6:]) < number and files.exists(spark, f"{rows}/{x}/_SUCCESS")]
+        sub = Subscription(spark, lambda: None, concept, rules)
+        now = spark.read.schema(schema).parquet(*(f"{facts}/{x}" for x in files.names(spark, facts) if int(x[6:]) <= number)).distinct()
+        earlier = [f"{facts}/{x}" for x in files.names(spark, facts) if int(x[6:]) < number]
+        if done:
+            sub.rows = spark.read.parquet(f"{rows}/batch={max(done)}")
+            before = spark.read.schema(schema).parquet(*earlier).distinct()
+            changed = sub._wanted(df).select("the", "of").distinct().checkpoint()
+            delta = sub._update(sub._wanted(before), sub._wanted(now), changed)
+        else:
+            delta = sub._update(None, sub._wanted(now), None)
         if delta is not None:
             sink(delta, number)
+        if delta is not None or not done:
+            sub.rows.write.mode("overwrite").parquet(f"{rows}/batch={number}")
+            for old in done[:-1]:
+                files.delete(spark, f"{rows}/batch={old}")
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}-state-{uuid.uuid4().hex}").start()
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/stream").start()
 
 
-__all__ = ["Delta", "Premise", "Subscription", "attributes_read", "extended", "local", "standing"]
+__all__ = ["Delta", "Subscription", "standing"]
