@@ -491,10 +491,7 @@ def revision_ancestry(spark, sf):
     """A version tree on the nations' keys, each revision's parent half its number."""
     from tessera.history import ancestors
 
-    n = spark.read.parquet(f"{sf}/nation.parquet").where("n_nationkey > 0")
-    half = F.floor(F.col("n_nationkey") / 2).cast("string")
-    revs = n.select(F.col("n_nationkey").cast("string").alias("id"), F.lit("main").alias("origin"), F.col("n_nationkey").cast("long").alias("edition"), F.when(F.col("n_nationkey") > 1, F.array(half)).otherwise(F.array().cast("array<string>")).alias("parents"))
-    return ancestors(revs)
+    return ancestors(_tree(spark, sf))
 
 
 @query("SELECT 'nation:' || n_nationkey AS of, upper(n_name) AS v FROM nation WHERE n_regionkey = 3 UNION ALL SELECT 'nation:' || n_nationkey, 'northern ' || upper(n_name) FROM nation WHERE n_regionkey = 3")
@@ -545,6 +542,266 @@ def type_predicates(spark, sf):
     return out.groupBy("kind").count().withColumnRenamed("count", "n")
 
 
+# --- several sources, names, selectors
+
+
+def renamed(df: DataFrame, the: str) -> DataFrame:
+    return df.withColumn("the", F.lit(the))
+
+
+@query("SELECT 'customer:' || c_custkey AS this, c_name AS name FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, s_name FROM supplier")
+def two_sources(spark, sf):
+    """Two sources that know the same attribute, and a fact that both hold."""
+    first, second = (renamed(p.facts().where(F.col("the").endswith("/name")), "party/name") for p in source(spark, sf, "customer", "supplier").parts)
+    return Session(spark, Many([NarrowFacts(first.unionByName(second.limit(1))), NarrowFacts(second)])).query(C(name="party/name:Text"))
+
+
+@query("SELECT 'plain' AS how, 'nation:' || n_nationkey AS this FROM nation UNION ALL SELECT 'strict', 'nation:' || n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name = 'ASIA') UNION ALL SELECT 'either', 'nation:' || n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name IN ('ASIA', 'EUROPE'))")
+def conforming_and_plain(spark, sf):
+    """Concepts of the same attribute that differ in what its values conform to, in one session."""
+    s = session(spark, sf, "nation", "region")
+    to = lambda *names: Attribute("nation/regionkey", "Entity", conforms=Concept.of(name=Attribute("region/name", "Text", one_of=names)) if names else None)
+    out = None
+    for how, a in (("plain", to()), ("strict", to("ASIA")), ("either", to("ASIA", "EUROPE"))):
+        own = s.query(Concept.of(region=a)).select(F.lit(how).alias("how"), "this")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("SELECT 'nation.list/' || CASE WHEN n_regionkey % 2 = 0 THEN 'N' ELSE 'n' END || n_nationkey AS the, 'nation.list' AS namespace, 'N' || n_nationkey AS position FROM nation WHERE n_regionkey % 2 = 0 AND n_nationkey % 10 <> 0")
+def position_names(spark, sf):
+    """Names of attributes that are positions, and what they are made of."""
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    the = F.concat(F.lit("nation.list/"), F.when(F.col("n_regionkey") % 2 == 0, "N").otherwise("n"), "n_nationkey")
+    own = narrow(spark, sf).where(F.lit(False)).unionByName(n.select(the.alias("the"), F.lit("list:1").alias("of"), F.lit(3).cast("byte").alias("vt"), F.col("n_name").alias("vs")), allowMissingColumns=True)
+    s = Session(spark, NarrowFacts(select(own, domain="nation.list", name_shape="position")))
+    return s.rows([P(Attribute("any/any"), the="?the", of="_", is_="_"), P("order/position-parts", of="?the", namespace="?namespace", position="?position")], select=["the", "namespace", "position"])
+
+
+@query("SELECT 'customer:' || c_custkey AS of FROM customer WHERE starts_with(CAST(c_custkey AS VARCHAR), '12') AND starts_with(c_mktsegment, 'B')")
+def prefix_selectors(spark, sf):
+    own = select(narrow(spark, sf), the="customer/mktsegment", of_prefix="customer:12")
+    return select(own, is_prefix="B").select("of")
+
+
+@query("SELECT 'customer:' || c_custkey AS this, '0000000000000000000000000000000000000000000000000000000000000000' AS cause FROM customer WHERE c_custkey <= 50")
+def cause_of_plain_facts(spark, sf):
+    """Facts without a cause have the zero hash."""
+    own = Session(spark, source(spark, sf, "customer")).rows([P(Attribute("customer/custkey", "SignedInteger"), the="customer/custkey", of="?this", is_="?k", cause="?cause"), P("<=", of="?k", with_=50)], select=["this", "cause"])
+    return own.select("this", F.lower(F.hex("cause")).alias("cause"))
+
+
+# --- formulas and folds on other types
+
+
+@query("SELECT 'part:' || p_partkey AS p, p_size > 25 AND p_retailprice > 1000 AS a, p_size > 25 OR p_retailprice > 1000 AS o, NOT p_size > 25 AS n FROM part")
+def boolean_formulas(spark, sf):
+    from tessera.sources.wide import simple
+
+    t = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", (F.col("p_size") > 25).alias("p_big"), (F.col("p_retailprice") > 1000).alias("p_dear"))
+    s = Session(spark, Many([simple(t, "part", "p_partkey", "p_")]))
+    when = [P(C(big="part/big:Boolean", dear="part/dear:Boolean"), this="?p", big="?x", dear="?y"), P("boolean/and", left="?x", right="?y", is_="?a"), P("boolean/or", left="?x", right="?y", is_="?o"), P("boolean/not", value="?x", is_="?n")]
+    return s.rows(when, select=["p", "a", "o", "n"])
+
+
+@query("SELECT 'customer:' || c_custkey AS c, c_acctbal AS f, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS u FROM customer WHERE c_custkey % 2 = 0")
+def parsed_numbers(spark, sf):
+    """Floats out of their text, and unsigned integers out of padded text; what isn't one drops the row."""
+    from tessera.sources.wide import simple
+
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    t = c.select("c_custkey", "c_acctbal", F.concat(F.when(F.col("c_custkey") % 2 == 0, " +").otherwise("-"), F.col("c_custkey").cast("string"), F.lit(" ")).alias("c_text"))
+    s = Session(spark, Many([simple(t, "customer", "c_custkey", "c_")]))
+    when = [P(C(balance="customer/acctbal:Float", text="customer/text:Text"), this="?c", balance="?b", text="?t"), P("text/from", value="?b", is_="?s"), P("float/parse", text="?s", is_="?f"), P("unsigned-integer/parse", text="?t", is_="?u")]
+    return s.rows(when, select=["c", "f", "u"]).withColumn("u", F.col("u").cast("long"))
+
+
+@query("SELECT p_brand AS brand, CAST(sum(p_size) AS BIGINT) AS size, min(p_size) AS lo, max(p_size) AS hi, count(DISTINCT p_size) AS sizes FROM part GROUP BY 1")
+def integer_folds(spark, sf):
+    head = C(brand="q/brand:Text", size="q/size:SignedInteger", lo="q/lo:SignedInteger", hi="q/hi:SignedInteger", sizes="q/sizes:UnsignedInteger")
+    r = Rule(head, (P(PART, this="?p", brand="?brand", size="?z"),), reduce=folds(size=("sum", "z"), lo=("min", "z"), hi=("max", "z"), sizes=("count-distinct", "z")))
+    out = session(spark, sf, "part", rules=(r,)).query(head).drop("this")
+    return out.withColumns({"size": F.col("size").cast("long"), "lo": F.col("lo").cast("int"), "hi": F.col("hi").cast("int")})
+
+
+@query("SELECT the, CAST(CASE the WHEN 'customer/acctbal' THEN NULL ELSE s END AS VARCHAR) AS hi_text, CASE the WHEN 'customer/acctbal' THEN f END AS hi_float FROM (SELECT 'customer/acctbal' AS the, max(c_acctbal) AS f, NULL AS s FROM customer UNION ALL SELECT 'customer/name', NULL, max(c_name) FROM customer UNION ALL SELECT 'customer/mktsegment', NULL, max(c_mktsegment) FROM customer)")
+def folds_keep_types(spark, sf):
+    """The greatest value of each attribute, of whatever type."""
+    own = narrow(spark, sf).where(F.col("the").isin("customer/acctbal", "customer/name", "customer/mktsegment"))
+    head = C(the="q/the:Symbol", hi="q/hi:Any")
+    r = Rule(head, (P(Attribute("any/any"), the="?the", of="?of", is_="?v"),), reduce=folds(hi=("max", "v")))
+    return Session(spark, NarrowFacts(own), [r]).query(head).select("the", F.col("hi.vs").alias("hi_text"), F.col("hi.vf").alias("hi_float"))
+
+
+@query("SELECT 'part:' || p_partkey AS p, word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) WHERE word <> ''")
+def formula_of_many_rows(spark, sf):
+    """A formula of one's own that gives a row for each word."""
+    from tessera.functions import formulas
+
+    def words(c, kinds, constants):
+        found = F.filter(F.split(c["text"], " "), lambda x: x != "")
+        return F.transform(found, lambda x: F.struct(x.alias("is"))), {"is": "Text"}
+
+    formulas.register("text/words", ("text",), ("is",), words, many=True)
+    return session(spark, sf, "part").rows([P(PART, this="?p", name="?n"), P("text/words", text="?n", is_="?word")], select=["p", "word"])
+
+
+# --- branches
+
+
+def _branch(spark, name: str = "main", at: str | None = None):
+    import uuid
+
+    from tessera.plans.compile import ensure_checkpoints
+    from tessera.store import Branch
+
+    ensure_checkpoints(spark)
+    return Branch(spark, at or f"{spark.sparkContext.getCheckpointDir()}/branch-{uuid.uuid4().hex}", name)
+
+
+def _committed(spark, sf):
+    """A branch in three commits: nations, other names in region 1, region 2 gone."""
+    br = _branch(spark)
+    own = select(narrow(spark, sf), the_prefix="nation/")
+    as_batch = lambda df, op: df.select(F.lit(0).cast("long").alias("seq"), F.lit(op).alias("op"), "the", "of", "vt", "vs", "vn", "vf", "vb", "vbool")
+    at = lambda k: own.where((F.col("the") == "nation/regionkey") & (F.col("vs") == f"region:{k}")).select("of")
+    br.commit(as_batch(own, "assert"))
+    br.commit(as_batch(own.where("the = 'nation/name'").join(at(1), "of", "left_semi").withColumn("vs", F.lower("vs")), "replace"))
+    br.commit(as_batch(own.join(at(2), "of", "left_semi"), "retract"))
+    return br
+
+
+STATE_SQL = "SELECT 'nation:' || n_nationkey AS of, CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE n_name END AS v FROM nation WHERE n_regionkey <> 2"
+
+
+@query(STATE_SQL)
+def branch_reopened(spark, sf):
+    """What was committed is there for whoever opens the branch next."""
+    br = _committed(spark, sf)
+    return select(_branch(spark, at=br.folder).facts(), the="nation/name").select("of", F.col("vs").alias("v"))
+
+
+@query(STATE_SQL)
+def branch_export_import(spark, sf):
+    from tessera.sources.csv import CsvFacts
+
+    br, other = _committed(spark, sf), _branch(spark)
+    out = CsvFacts(f"{br.folder}/export")
+    br.export(out)
+    other.import_(out)
+    return select(other.facts(), the="nation/name").select("of", F.col("vs").alias("v"))
+
+
+@query(STATE_SQL)
+def branch_pulled_and_pushed(spark, sf):
+    """A branch of another folder is pulled, and a third one receives a push."""
+    br, other, third = _committed(spark, sf), _branch(spark, "other"), _branch(spark, "third")
+    other.pull(br)
+    other.push(third)
+    return select(third.facts(), the="nation/name").select("of", F.col("vs").alias("v"))
+
+
+@query("SELECT 'assert' AS polarity, 1 AS edition, 3 * count(*) AS n FROM nation UNION ALL SELECT p, 2, count(*) FROM nation, (SELECT unnest(['assert', 'retract']) AS p) WHERE n_regionkey = 1 GROUP BY 1 UNION ALL SELECT 'retract', 3, 3 * count(*) FROM nation WHERE n_regionkey = 2")
+def history_records(spark, sf):
+    own = _committed(spark, sf).history()
+    return own.groupBy("polarity", F.col("edition").cast("int").alias("edition")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'nation:' || n_nationkey AS of, CASE n_nationkey % 4 WHEN 0 THEN 'c' WHEN 1 THEN n_name WHEN 2 THEN n_name ELSE 'b' END AS v FROM nation UNION ALL SELECT 'nation:' || n_nationkey, 'd' FROM nation WHERE n_nationkey % 4 = 3")
+def batch_order(spark, sf):
+    """Writes of one batch to the same facts: the order they are in decides."""
+    from tessera.store import BATCH, applied
+
+    own = select(narrow(spark, sf), the="nation/name")
+    k = F.substring_index("of", ":", -1).cast("long") % 4
+    write = lambda seq, op, v: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(v).alias("vs"))
+    ops = (
+        F.when(k == 0, F.array(write(0, "replace", "b"), write(1, "replace", "c")))
+        .when(k == 1, F.array(write(0, "assert", "z"), write(1, "retract", "z")))
+        .when(k == 3, F.array(write(0, "assert", "a"), write(1, "replace", "b"), write(2, "assert", "d")))
+    )
+    batch = own.where(k != 2).select("the", "of", F.explode(ops).alias("w"))
+    batch = batch.select("w.seq", "w.op", "the", "of", F.lit(3).cast("byte").alias("vt"), "w.vs", *(F.lit(None).cast(t).alias(n) for n, t in (("vn", "decimal(38,0)"), ("vf", "double"), ("vb", "binary"), ("vbool", "boolean"))))
+    return applied(own, spark.createDataFrame([], BATCH).unionByName(batch)).select("of", F.col("vs").alias("v"))
+
+
+def _tree(spark, sf) -> DataFrame:
+    """A version tree on the nations' keys, each revision's parent half its number."""
+    n = spark.read.parquet(f"{sf}/nation.parquet").where("n_nationkey > 0")
+    half = F.floor(F.col("n_nationkey") / 2).cast("string")
+    return n.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_regionkey").cast("string").alias("origin"), F.col("n_nationkey").cast("long").alias("edition"), F.when(F.col("n_nationkey") > 1, F.array(half)).otherwise(F.array().cast("array<string>")).alias("parents"))
+
+
+TREE_SQL = "r AS (SELECT n_nationkey AS id, n_nationkey // 2 AS p, n_regionkey AS origin FROM nation WHERE n_nationkey > 0), a AS (SELECT id AS x, id AS y FROM r UNION SELECT a.x, r.p FROM a JOIN r ON a.y = r.id WHERE r.p > 0)"
+
+
+@query(f"WITH RECURSIVE {TREE_SQL}, q(a, b) AS (VALUES (17, 4), (4, 17), (20, 22), (6, 6), (9, 24)) SELECT CAST(q.a AS VARCHAR) AS a, CAST(q.b AS VARCHAR) AS b, CASE WHEN q.a = q.b THEN 'equal' WHEN EXISTS (SELECT 1 FROM a z WHERE z.x = q.a AND z.y = q.b) THEN 'supersedes' WHEN EXISTS (SELECT 1 FROM a z WHERE z.x = q.b AND z.y = q.a) THEN 'superseded' ELSE 'concurrent' END AS relation, (SELECT CAST(max(z.y) AS VARCHAR) FROM a z JOIN a w ON z.y = w.y WHERE z.x = q.a AND w.x = q.b) AS ancestor FROM q")
+def version_relations(spark, sf):
+    from tessera.history import causality, common_ancestor
+
+    revs = _tree(spark, sf)
+    pairs = (("17", "4"), ("4", "17"), ("20", "22"), ("6", "6"), ("9", "24"))
+    return spark.createDataFrame([(a, b, causality(revs, a, b), common_ancestor(revs, a, b)) for a, b in pairs], "a string, b string, relation string, ancestor string")
+
+
+@query(f"WITH RECURSIVE {TREE_SQL} SELECT CAST(origin AS VARCHAR) AS origin, CAST(max(id) AS BIGINT) AS edition FROM a JOIN r ON r.id = a.y WHERE a.x = 22 GROUP BY 1")
+def version_context(spark, sf):
+    from tessera.history import context
+
+    return context(_tree(spark, sf), "22")
+
+
+# --- changes of standing queries
+
+
+@query("SELECT 'customer:' || c_custkey AS this, lower(n_name) AS nation, 'asserted' AS how FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 'customer:' || c_custkey, n_name, 'retracted' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")
+def subscription_over_a_join(spark, sf):
+    """Names of nations change: only customers who live there are derived anew."""
+    from tessera.streaming.subscription import Subscription
+
+    own = narrow(spark, sf).where(F.col("the").isin("customer/nationkey", "nation/name", "nation/regionkey")).checkpoint()
+    region = own.where("the = 'nation/regionkey' and vs = 'region:1'").select(F.col("of").alias("_of"))
+    head = C(nation="home/nation:Text")
+    rule = Rule(head, (P(C(nation="customer/nationkey:Entity"), this="?this", nation="?n"), P(C(name="nation/name:Text"), this="?n", name="?nation")))
+    state = {"df": own}
+    sub = Subscription(spark, lambda: state["df"], head, [rule])
+    sub.poll()
+    there = own.join(region, F.col("of") == F.col("_of"), "left")
+    state["df"] = there.withColumn("vs", F.when((F.col("the") == "nation/name") & F.col("_of").isNotNull(), F.lower("vs")).otherwise(F.col("vs"))).select(own.columns)
+    d = sub.poll()
+    if sub.recomputes != 1:
+        raise AssertionError("the join was derived as a whole")
+    return d.asserted.withColumn("how", F.lit("asserted")).unionByName(d.retracted.withColumn("how", F.lit("retracted")))
+
+
+@query(f"WITH RECURSIVE {EDGES}, f AS (SELECT x, y FROM e WHERE x % 4 <> 1), p AS (SELECT x, y FROM e UNION SELECT e.x, p.y FROM e JOIN p ON e.y = p.x), o AS (SELECT x, y FROM f UNION SELECT f.x, o.y FROM f JOIN o ON f.y = o.x) SELECT 'nation:' || x AS this, 'nation:' || y AS \"to\" FROM p EXCEPT SELECT 'nation:' || x, 'nation:' || y FROM o")
+def closure_grows(spark, sf):
+    """What a standing closure gains when a quarter of the edges is added."""
+    from tessera.streaming.subscription import Subscription
+
+    path, rules = chain_rules()
+    edges = graph(spark, sf).parts[0].facts()
+    state = {"df": edges.where(F.substring_index("of", ":", -1).cast("int") % 4 != 1)}
+    sub = Subscription(spark, lambda: state["df"], path, list(rules))
+    sub.poll()
+    state["df"] = edges
+    return sub.poll().asserted
+
+
+@query(f"WITH RECURSIVE {EDGES}, f AS (SELECT x, y FROM e WHERE x % 4 <> 1), p AS (SELECT x, y FROM e UNION SELECT e.x, p.y FROM e JOIN p ON e.y = p.x), o AS (SELECT x, y FROM f UNION SELECT f.x, o.y FROM f JOIN o ON f.y = o.x) SELECT 'nation:' || x AS this, 'nation:' || y AS \"to\" FROM p EXCEPT SELECT 'nation:' || x, 'nation:' || y FROM o")
+def closure_shrinks(spark, sf):
+    """What it loses when they are taken away again."""
+    from tessera.streaming.subscription import Subscription
+
+    path, rules = chain_rules()
+    edges = graph(spark, sf).parts[0].facts()
+    state = {"df": edges}
+    sub = Subscription(spark, lambda: state["df"], path, list(rules))
+    sub.poll()
+    state["df"] = edges.where(F.substring_index("of", ":", -1).cast("int") % 4 != 1)
+    return sub.poll().retracted
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, (f, _) in QUERIES.items()}
 

@@ -211,6 +211,30 @@ def test_positions_sort():
     assert all(valid(p) for p in order) and order == sorted(order) and len(set(order)) == len(order)
 
 
+def test_positions_of_random_insertions():
+    import random
+
+    from tessera.functions import position as pos
+
+    assert pos.insert("member-1").startswith("N0") and len(pos.insert("member-1")) <= 2 + pos.BIAS
+    assert pos.digits(0) == "0" and pos.identity("\0\0") == "00" and pos.insert("m", "N", "N") == "N"
+    rng = random.Random(5)
+    for far in (0.0, 0.4):
+        order: list[str] = []
+        for i in range(600):
+            at = rng.choice([0, len(order)]) if rng.random() < far else rng.randrange(len(order) + 1)
+            p = pos.insert(f"m:{i}", order[at - 1] if at else "", order[at] if at < len(order) else "")
+            assert p is not None and pos.valid(p)
+            order.insert(at, p)
+        assert order == sorted(order) and len(set(order)) == len(order)
+    # Appending grows with the logarithm only; both orders of the ends are the same.
+    line = ["N"]
+    for i in range(4000):
+        line.append(pos.insert(f"m:{i}", after=line[-1]))
+    assert line == sorted(line) and max(map(len, line)) <= 4 + pos.BIAS
+    assert pos.insert("x", line[5], line[9]) == pos.insert("x", line[9], line[5])
+
+
 def test_election(spark):
     own = facts(spark, [("a/x", "e:1", "old"), ("a/x", "e:1", "new", "Text", b"\x01"), ("a/x", "e:1", "newer", "Text", b"\x02")])
     assert elect(own).first()["vs"] == "newer"
@@ -248,3 +272,52 @@ def test_variables_meet_types(spark, people):
     with pytest.raises(QueryError, match="TypeInference"):
         S(spark, people).rows([P(PERSON, this="?p", name="?x"), P(PARENT, this="?x", to="_")])
     assert Var("x") != Const("x")
+
+
+def test_sources_that_share_an_attribute(spark):
+    from tessera.sources.facts import Many
+    from tessera.sources.wide import simple
+
+    first, second = (NarrowFacts(facts(spark, x)) for x in ([("a/x", "e:1", "one"), ("a/x", "e:3", "low", "Text", b"\x01")], [("a/x", "e:2", "two"), ("a/x", "e:3", "high", "Text", b"\x02"), ("a/x", "e:1", "one")]))
+    s = Session(spark, Many([first, second]))
+    assert rows(s.query(C(x="a/x:Text"))) == [("e:1", "one"), ("e:2", "two"), ("e:3", "high")]
+    table = simple(spark.createDataFrame([(4, "four")], "k int, x string"), "a", "k", "")
+    assert rows(Session(spark, Many([table, first])).query(C(x="a/x:Text"))) == [("a:4", "four"), ("e:1", "one"), ("e:3", "low")]
+    bag = simple(spark.createDataFrame([(4, "four")], "k int, x string"), "b", None, "")
+    with pytest.raises(QueryError, match="RowIdentity"):
+        Session(spark, Many([bag, first])).rows([P(Attribute("any/any"), the="?the", of="?of", is_="_")])
+
+
+def test_choices_and_conformance_tell_concepts_apart(spark):
+    own = facts(spark, [("a/x", "e:1", "x", "Symbol"), ("a/x", "e:2", "y", "Symbol"), ("a/to", "e:1", "e:2", "Entity"), ("a/to", "e:2", "e:9", "Entity")])
+    s = S(spark, own)
+    one = lambda *of: Concept.of(x=Attribute("a/x", "Symbol", one_of=of))
+    assert rows(s.query(one("x"))) == [("e:1", "x")] and rows(s.query(one("y"))) == [("e:2", "y")] and len(rows(s.query(one("x", "y")))) == 2
+    plain, strict = C(to="a/to:Entity"), Concept.of(to=Attribute("a/to", "Entity", conforms=one("y")))
+    assert rows(s.query(strict)) == [("e:1", "e:2")] and len(rows(s.query(plain))) == 2
+    assert plain != strict and Rule(plain, ()) != Rule(strict, ())
+
+
+def test_any_typed_folds_keep_their_type(spark):
+    own = facts(spark, [("v/x", "e:1", 2**70), ("v/x", "e:2", 3), ("w/x", "e:1", "b"), ("w/x", "e:2", "a")])
+    for name, apply, kind, want in (("v", "sum", "Any", 2**70 + 3), ("v", "max", "UnsignedInteger", 2**70), ("w", "min", "Any", "a"), ("w", "max", "Text", "b")):
+        head = Concept.of(v=Attribute("q/v", kind))
+        got = S(spark, own, Rule(head, (P(C(x=f"{name}/x:Any"), this="?e", x="?x"),), reduce=folds(v=(apply, "x")))).query(head).collect()
+        v = got[0]["v"]
+        assert (v["vn"] if kind == "Any" and name == "v" else v["vs"] if kind == "Any" else v) == want
+
+
+def test_negated_formulas(spark, people):
+    got = S(spark, people).rows([P(PERSON, this="?p", name="?n")], unless=[P("text/like", text="?n", pattern="?*n*", is_="_")], select=["p"])
+    assert rows(got) == [("p:2",), ("p:3",)]
+    got = S(spark, people).rows([P(PERSON, this="?p", name="?n"), P("text/upper-case", of="?n", is_="?u")], unless=[P("text/concatenate", first="BO", second="B", is_="?u")], select=["p"])
+    assert rows(got) == [("p:1",), ("p:3",)]
+
+
+def test_formula_names_are_exact(spark, people):
+    from tessera.functions import formulas
+
+    with pytest.raises(QueryError, match="UnknownFormula"):
+        formulas.formula("nonsense/position")
+    formulas.use_namespace("theirs")
+    assert formulas.formula("theirs/position") is formulas.formula("order/position")

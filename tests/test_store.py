@@ -4,12 +4,12 @@ import pytest
 
 from tessera import history as H
 from tessera.catalog import C, P
-from tessera.model import Attribute, Concept, QueryError, Rule
+from tessera.model import Attribute, Concept, Fold, QueryError, Rule, Var
 from tessera.operators import zset
 from tessera.sources import csv
 from tessera.sources.facts import facts, select
 from tessera.store import Branch, Changes, applied
-from tessera.streaming.subscription import Subscription, extended
+from tessera.streaming.subscription import Subscription
 
 TASK = C(title="task/title:Text")
 DONE = C(done="task/done:Boolean")
@@ -29,6 +29,60 @@ def test_replace_retract_assert(spark):
     assert {r["vs"]: r["cause"] for r in same.collect()} == {"one": None, "two": None}
 
 
+def test_a_batch_keeps_its_order(spark):
+    own = facts(spark, [("a/x", "e:1", "old"), ("a/y", "e:1", "kept"), ("a/x", "e:2", "p"), ("a/x", "e:2", "q")])
+    put = lambda c: sorted((r["the"], r["of"], r["vs"], r["cause"] is not None) for r in applied(own, c.frame(spark)).collect())
+    others = [("a/x", "e:2", "p", False), ("a/x", "e:2", "q", False), ("a/y", "e:1", "kept", False)]
+    assert put(Changes().replace("a/x", "e:1", "b").replace("a/x", "e:1", "c")) == sorted([("a/x", "e:1", "c", True), *others])
+    assert put(Changes().assert_("a/x", "e:1", "z").retract("a/x", "e:1", "z")) == sorted([("a/x", "e:1", "old", False), *others])
+    assert put(Changes().retract("a/x", "e:1", "old").assert_("a/x", "e:1", "old")) == sorted([("a/x", "e:1", "old", False), *others])
+    assert put(Changes().assert_("a/x", "e:1", "z").replace("a/x", "e:1", "c").assert_("a/x", "e:1", "d")) == sorted([("a/x", "e:1", "c", True), ("a/x", "e:1", "d", False), *others])
+    assert put(Changes().replace("a/x", "e:1", "b").retract("a/x", "e:1", "b")) == sorted(others)
+    # The same value may stand beside others: those go.
+    assert put(Changes().replace("a/x", "e:2", "p")) == sorted([("a/x", "e:1", "old", False), ("a/x", "e:2", "p", False), ("a/y", "e:1", "kept", False)])
+
+
+def test_a_branch_outlives_its_object(spark, tmp_path, monkeypatch):
+    from tessera import store
+
+    monkeypatch.setattr(store, "LOGS", 3)
+    at = str(tmp_path / "durable")
+    a = Branch(spark, at, "a")
+    states = []
+    for i in range(5):
+        a.transaction().replace("task/title", "t:1", f"v{i}").assert_("task/tag", f"t:{i}", "x").commit()
+        states.append(rows(a.facts().select("of", "vs")))
+    again = Branch(spark, at, "a")
+    assert rows(again.facts().select("of", "vs")) == states[-1]
+    assert [rows(again.facts(r["id"]).select("of", "vs")) for r in again.revisions] == states
+    assert {r["vs"] for r in H.live(again.history()).collect()} == {"v4", "x"}
+    stale = Branch(spark, at, "a")
+    a.transaction().assert_("task/tag", "t:9", "y").commit()
+    with pytest.raises(QueryError, match="HeadMoved"):
+        stale.transaction().assert_("task/tag", "t:8", "z").commit()
+    # Another folder: fetch, pull, push, export and import.
+    b = Branch(spark, str(tmp_path / "elsewhere"), "b")
+    b.set_upstream(a)
+    assert b.fetch()["id"] == a.head["id"] and b.head is None
+    assert b.pull()["id"] == a.head["id"] and rows(b.facts()) == rows(a.facts())
+    b.transaction().replace("task/title", "t:1", "b's").commit()
+    b.push()
+    again = Branch(spark, at, "a")
+    assert rows(again.facts()) == rows(b.facts()) and {r["vs"] for r in select(again.facts(), the="task/title").collect()} == {"b's"}
+    again.transaction().replace("task/title", "t:1", "a's").commit()
+    b.transaction().assert_("task/tag", "t:1", "w").commit()
+    with pytest.raises(QueryError, match="NotFastForward"):
+        b.push()
+    b.pull()
+    assert {r["vs"] for r in select(b.facts(), the="task/title").collect()} == {"a's"} and select(b.facts(), the="task/tag", of="t:1").count() == 2
+    b.export(csv.CsvFacts(str(tmp_path / "out")))
+    c = Branch(spark, str(tmp_path / "third"))
+    c.import_(csv.CsvFacts(str(tmp_path / "out")))
+    assert rows(c.facts().drop("cause")) == rows(b.facts().drop("cause"))
+    c.reset(None)
+    assert c.facts().isEmpty() and Branch(spark, str(tmp_path / "third")).head is None
+
+
 def test_branch_history_and_pull(spark, tmp_path):
     a = Branch(spark, str(tmp_path / "repo"), "a")
     with pytest.raises(QueryError, match="ReservedNamespace"):
@@ -70,6 +124,49 @@ def test_induction(spark, tmp_path):
         br.transaction().assert_("c/n", "c:1", 1).commit([runaway])
 
 
+def test_installed_rules_fire(spark, tmp_path):
+    br = Branch(spark, str(tmp_path / "installed"))
+    tag = Rule(C(tag="derived/tag:Text"), (P(TASK, this="?this", title="?tag"),), head="assert")
+    br.transaction().replace("task/title", "t:1", "before").commit()
+    br.transaction().install(tag).commit()  # runs over what is there
+    tags = lambda b: sorted(r["vs"] for r in select(b.facts(), the="derived/tag").collect())
+    assert tags(br) == ["before"]
+    again = Branch(spark, str(tmp_path / "installed"))
+    again.transaction().replace("task/title", "t:2", "while").commit()
+    assert tags(again) == ["before", "while"]
+    again.transaction().uninstall(tag).commit()
+    again.transaction().replace("task/title", "t:3", "after").commit()
+    assert tags(again) == ["before", "while"]
+    # A backlog is drained, and a pulled rule catches up.
+    drain = Rule(C(body="queue/body:Text"), (P(C(body="queue/body:Text"), this="?this", body="?body"),), head="retract")
+    again.transaction().assert_("queue/body", "q:1", "pending").commit()
+    other = Branch(spark, str(tmp_path / "installed"), "other")
+    other.transaction().install(drain).commit()
+    other.pull(again)
+    assert select(other.facts(), the="queue/body").count() == 1
+    other.induce()
+    assert select(other.facts(), the="queue/body").count() == 0
+    forged = Changes().assert_("system.rule/source", "rule:forged", "{}")
+    other.commit(forged)
+    assert [r.head for r in other.installed()] == ["retract"]
+
+
+def test_rules_start_from_what_changed(spark, tmp_path):
+    """From the changed entities of each premise on, the same comes out as from everything."""
+    from tessera.plans import delta
+    from tessera.plans.compile import Session
+    from tessera.sources.facts import NarrowFacts
+
+    owner = C(owner="task/owner:Entity")
+    told = Rule(C(note="task/note:Text"), (P(TASK, this="?this", title="?t"), P(owner, this="?this", owner="?o"), P(C(name="p/name:Text"), this="?o", name="?n"), P("text/concatenate", first="?n", second="?t", is_="?note")), head="assert")
+    own = facts(spark, [("task/title", f"t:{i}", f"title{i}") for i in range(6)] + [("task/owner", f"t:{i}", f"p:{i % 2}", "Entity") for i in range(6)] + [("p/name", f"p:{i}", f"n{i}") for i in range(2)])
+    s = Session(spark, NarrowFacts(own), [])
+    for changed, n in (([("p/name", "p:1")], 3), ([("task/title", "t:0")], 1), ([("task/owner", "t:1"), ("p/name", "p:0")], 4)):
+        got = delta.derivations(s, told, spark.createDataFrame(changed, "the string, of string"), {c[0] for c in changed})
+        assert len({r for x in got for r in rows(x.df.select("this", "note"))}) == n
+    assert delta.derivations(s, Rule(told.deduce, told.when, (P(DONE, this="?this", done=True),), head="assert"), own, {"task/done"}) is None
+
+
 def test_subscription_equals_recompute(spark):
     state = {"df": facts(spark, [("task/title", "t:1", "dig"), ("task/title", "t:2", "eat")])}
     sub = Subscription(spark, lambda: state["df"], TASK)
@@ -82,19 +179,59 @@ def test_subscription_equals_recompute(spark):
     assert rows(sub.rows) == rows(sub._derive(state["df"]))
 
 
-def test_extend_closure(spark):
+def test_resumed_closure(spark):
     from tessera.plans.compile import Session
     from tessera.sources.facts import NarrowFacts
 
     edge, path = Concept.of(to=Attribute("g/edge", "Entity", "many")), Concept.of(to=Attribute("g/path", "Entity", "many"))
-    step = Rule(path, (P(edge, this="?this", to="?m"), P(path, this="?m", to="?to")))
-    base = Rule(path, (P(edge, this="?this", to="?to"),))
+    rules = [Rule(path, (P(edge, this="?this", to="?to"),)), Rule(path, (P(edge, this="?this", to="?m"), P(path, this="?m", to="?to")))]
     old = [("g/edge", f"n:{i}", f"n:{i + 1}", "Entity") for i in range(4)]
-    more = ("g/edge", "n:4", "n:5", "Entity")
-    before = Session(spark, NarrowFacts(facts(spark, old)), [base, step]).query(path)
-    full = Session(spark, NarrowFacts(facts(spark, [*old, more])), [base, step])
-    got = extended(full, path, step, before, spark.createDataFrame([("n:4", "n:5")], "this string, to string"))
-    assert rows(got) == rows(full.query(path))
+    before = Session(spark, NarrowFacts(facts(spark, old)), rules).query(path)
+    full = Session(spark, NarrowFacts(facts(spark, [*old, ("g/edge", "n:4", "n:5", "Entity")])), rules)
+    assert rows(full.resumed(path, before)) == rows(full.query(path))
+
+
+def test_subscriptions_equal_recomputation_on_random_edits(spark, tmp_path):
+    """A join, a negation, a fold and a closure, over a branch: each poll as if derived anew."""
+    import random
+
+    person, boss = C(name="p/name:Text", dept="p/dept:Entity"), C(head="d/head:Text")
+    away = C(day="p/away:Text")
+    works, size = C(name="w/name:Text", head="w/head:Text"), C(n="d/size:UnsignedInteger")
+    edge, path = Concept.of(to=Attribute("g/edge", "Entity", "many")), Concept.of(to=Attribute("g/path", "Entity", "many"))
+    rules = [
+        Rule(works, (P(person, this="?this", name="?name", dept="?d"), P(boss, this="?d", head="?head")), (P(away, this="?this", day="_"),)),
+        Rule(size, (P(person, this="?p", dept="?this"),), reduce=(("n", Fold("count", Var("p"))),)),
+        Rule(path, (P(edge, this="?this", to="?to"),)),
+        Rule(path, (P(edge, this="?this", to="?m"), P(path, this="?m", to="?to"))),
+    ]
+    rng = random.Random(2)
+    br = Branch(spark, str(tmp_path / "subs"))
+    subs = [Subscription(spark, br, c, rules) for c in (works, size, path)]
+    held = [[] for _ in subs]
+    live = set()
+    for step in range(4):
+        c = Changes()
+        for _ in range(5 if step else 14):
+            x = rng.choice(
+                [("p/name", f"p:{rng.randrange(4)}", f"n{rng.randrange(3)}", None), ("p/dept", f"p:{rng.randrange(4)}", f"d:{rng.randrange(2)}", "Entity"), ("d/head", f"d:{rng.randrange(2)}", f"h{rng.randrange(3)}", None), ("p/away", f"p:{rng.randrange(4)}", "mon", None), ("g/edge", f"n:{rng.randrange(5)}", f"n:{rng.randrange(5)}", "Entity")]
+            )
+            if x in live and rng.random() < 0.5:
+                c.retract(*x)
+                live.discard(x)
+            else:
+                (c.assert_ if x[0] == "g/edge" else c.replace)(*x)
+                live.add(x)
+        br.commit(c)
+        for i, sub in enumerate(subs):
+            delta = sub.poll()
+            if delta is not None:
+                for r in rows(delta.retracted):
+                    held[i].remove(r)
+                held[i] += rows(delta.asserted)
+            assert sorted(held[i]) == rows(sub._derive(br.facts())) == rows(sub.rows), (step, i)
+    assert all(sub.maintenances for sub in subs) and all(sub.recomputes == 1 for sub in subs)
+    assert subs[0].poll() is None
 
 
 def test_zset(spark):
@@ -136,6 +273,14 @@ def test_standing_query_over_a_stream(spark, tmp_path):
     finally:
         q.stop()
     assert [x[1:] for x in seen] == [([("t:1", "dig")], []), ([("t:2", "eat")], [])]
+    # Started again, it goes on.
+    facts(spark, [("task/title", "t:3", "rest")]).coalesce(1).write.mode("append").parquet(inbox)
+    q = standing(stream, TASK, [], str(tmp_path / "kept"), lambda d, n: seen.append((n, rows(d.asserted), rows(d.retracted))))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert [x[1:] for x in seen[2:]] == [([("t:3", "rest")], [])]
 
 
 def test_revision_premises(spark):
@@ -148,3 +293,47 @@ def test_revision_premises(spark):
     note = P(C(at="note/at:Text"), this="?n", at="?r")
     got = s.rows([note, P("history/revision", of="?r", branch="?b", edition="?e"), P("history/revision-parent", of="?r", parent="?p")], select=["n", "b", "e", "p"])
     assert rows(got) == [("n:1", "b", 2, "r1")]
+
+
+def test_files_as_relations(spark, tmp_path, monkeypatch):
+    from tessera import store
+    from tessera.plans.compile import Session
+    from tessera.sources import layout
+    from tessera.sources.blobs import BlobIndex
+    from tessera.sources.facts import NarrowFacts
+
+    monkeypatch.setattr(store, "LOGS", 2)
+    br = Branch(spark, str(tmp_path / "files"))
+    br.transaction().assert_("a/x", "e:1", "one").assert_("a/b", "e:1", b"raw").commit()
+    br.transaction().retract("a/x", "e:1", "one").assert_("a/x", "e:2", "two").commit()
+    blobs = BlobIndex.empty(spark).put(spark.createDataFrame([(b"h1", 10), (b"h2", 20)], "hash binary, size long"))
+    s = Session(spark, NarrowFacts(br.facts()), tables=layout.tables(br, blobs.list()))
+    log = f"log-{br.head['id']}"
+    one = lambda what, *names, **where: rows(s.rows([P(what, **where)], select=list(names)))
+    assert [x[0] for x in one("tree/node", "k", of=log, kind="?k", count="?n")] == ["index"]
+    assert one("tree/manifest", "v", of=log, version="?v") == [(1,)]
+    entry = (P("tree/span", of=log, node="?f"), P("tree/entry", of="?f", key="?key", state="?state", edition="?e"))
+    got = rows(s.rows([*entry, P("order/key-part", of="?key", at="?at", kind="?kind", text="?text")], select=["state", "kind", "text"]))
+    assert got == sorted([("asserted", k, t) for k, t in (("attribute", "a/x"), ("entity", "e:2"), ("vtype", "3"), ("value", "two"))] + [("removed", k, t) for k, t in (("attribute", "a/x"), ("entity", "e:1"), ("vtype", "3"), ("value", "one"))])
+    kept = f"snapshot-{br.head['id']}"
+    assert len(rows(s.rows([P("tree/span", of=kept, node="?f"), P("tree/key", of="?f", key="?k")], select=["k"]))) == 2
+    bound = rows(s.rows([P("tree/span", of=kept, until="?u", at="?at"), P("order/separator-part", of="?u", kind="?kind")], select=["kind"]))
+    assert ("min",) in bound
+    spilled = rows(s.rows([P("tree/span", of=kept, node="?f"), P("tree/entry", of="?f", spill="?v"), P("tree/value", of="?v", size="?n", bytes="?b")], select=["n", "b"]))
+    assert [(n, bytes(b)) for n, b in spilled] == [(3, b"raw")]
+    assert [n for (n,) in one("tree/blob", "n", of="blobs", blob="?b", size="?n")] == [10, 20]
+    with pytest.raises(QueryError, match="RequiredBindings"):
+        s.rows([P("tree/node", of="?f", kind="?k")])
+
+
+def test_blob_index(spark):
+    from tessera.sources.blobs import BlobIndex
+
+    put = lambda x, *rows_: x.put(spark.createDataFrame(list(rows_), "hash binary, size long"))
+    drop = lambda x, h: x.retract(spark.createDataFrame([(h,)], "hash binary"))
+    first = put(BlobIndex.empty(spark), (b"a", 1), (b"b", 2))
+    gone = drop(first, b"a")
+    assert first.has(b"a") and not gone.has(b"a") and not gone.merged(first).has(b"a") and not gone.has(b"zz")
+    again = put(drop(gone, b"a"), (b"a", 1), (b"b", 2))
+    assert sorted((bytes(h), v, n) for h, v, n in rows(again.list())) == [(b"a", 1, 1), (b"b", 1, 2)]
+    assert [tuple(r) for r in again.get(b"b").collect()] == [(1, 2)]
