@@ -16,7 +16,7 @@ from tessera.functions.formulas import formula
 from tessera.model import ANY, PAYLOAD, TAGS, VALUE, Attribute, Blank, Concept, Const, Premise, QueryError, Rule, Var
 from tessera.operators import constraints as con
 from tessera.operators import reduce as red
-from tessera.plans import analyze
+from tessera.plans import analyze, types
 from tessera.sources.base import Relation, Slot
 from tessera.sources.facts import NarrowFacts, elect, packed
 
@@ -155,6 +155,7 @@ class Session:
     def derive(self, rule: Rule, relation=None) -> Relation:
         """Head rows of one rule."""
         analyze.check_rule(rule)
+        types.check(rule)
         body = self.body(rule.when, rule.unless, relation=relation)
         head = rule.deduce.attributes
         if rule.reduce:

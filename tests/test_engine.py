@@ -308,7 +308,7 @@ def test_any_typed_folds_keep_their_type(spark):
 
 
 def test_negated_formulas(spark, people):
-    got = S(spark, people).rows([P(PERSON, this="?p", name="?n")], unless=[P("text/like", text="?n", pattern="?*n*", is_="_")], select=["p"])
+    got = S(spark, people).rows([P(PERSON, this="?p", name="?n")], unless=[P("text/like", text="?n", pattern="*n*", is_="_")], select=["p"])
     assert rows(got) == [("p:2",), ("p:3",)]
     got = S(spark, people).rows([P(PERSON, this="?p", name="?n"), P("text/upper-case", of="?n", is_="?u")], unless=[P("text/concatenate", first="BO", second="B", is_="?u")], select=["p"])
     assert rows(got) == [("p:1",), ("p:3",)]
@@ -321,3 +321,41 @@ def test_formula_names_are_exact(spark, people):
         formulas.formula("nonsense/position")
     formulas.use_namespace("theirs")
     assert formulas.formula("theirs/position") is formulas.formula("order/position")
+
+
+def test_types_are_inferred(spark, people):
+    from tessera.plans.types import infer
+
+    age, head = C(age="person/age:Any"), C(x="q/x:Text")
+    for when, code in (
+        ((P(PERSON, this="?this", name="?x"), P("math/sum", of="?x", with_=1, is_="?y")), "TypeInference"),
+        ((P(PERSON, this="?this", name="?x"), P("==", this="?x", is_="?b"), P("boolean/not", value="?b", is_="?n")), "TypeInference"),
+        ((P(PARENT, this="?this", to="?x"), P("type", of="?x", is_="number")), "TypeInference"),
+        ((P(PERSON, this="?this", name="_"), P(C(n="person/n:Float"), this="?this", n="?x")), "TypeInference"),
+    ):
+        with pytest.raises(QueryError, match=code):
+            S(spark, people, Rule(head, when)).query(head)
+    found = infer(Rule(head, (P(age, this="?this", age="?x"), P("type", of="?x", is_="textual"), P("text/upper-case", of="?x", is_="?u"))))
+    assert found.kinds["x"] == {"Text"} and ("Narrowing", "x") in {(c, v) for c, v, _ in found.lints}
+    found = infer(Rule(head, (P(MAYBE, this="?this", nick="?n"), P("text/upper-case", of="?n", is_="?x"))))
+    assert [(c, v) for c, v, _ in found.lints] == [("DeadOptionality", "n")]
+
+
+def test_entities_as_classes(spark, people):
+    from dataclasses import dataclass
+
+    from tessera.schema import attribute, concept
+
+    @concept("person")
+    @dataclass
+    class Person:
+        name: str
+        nick: str | None = None
+        tags: list[str] = attribute(the="person.extra/tag", default_factory=list)
+
+    assert Person.concept == Concept.of(name=Attribute("person/name", "Text"), nick=Attribute("person/nick", "Text", optional=True), tags=Attribute("person.extra/tag", "Text", "many")) or Person.concept.attributes["tags"].cardinality == "many"
+    made = Person.written("p:9", Person("Zed", None, ["a", "b"]))
+    assert [(r[0], r[1], r[2]) for r in made.rows] == [("replace", "person/name", "p:9"), ("assert", "person.extra/tag", "p:9"), ("assert", "person.extra/tag", "p:9")]
+    s = S(spark, people)
+    got = s.query(Concept(tuple((n, a) for n, a in Person.concept.fields if n != "tags")))
+    assert {r["this"]: r["nick"] for r in got.collect()}["p:1"] == "annie"
