@@ -30,8 +30,10 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 CACHE_SEGMENTS = 500_000
 INDEX_CHARS = 1 << 21
 GROUP_BYTES = 4 << 20
-#: Above this many characters a segment is relaxed by itself.
+#: Above this many characters a segment is relaxed edge by edge, not in step with others.
 LONG = 400
+#: Pairs of pieces that a worker remembers of such segments.
+CACHE_PAIRS = 1_000_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -126,6 +128,35 @@ class Model:
                     ranks.append(rank[p])
         o = np.argsort(np.array(pairs))
         self.pairs, self.pair_rank = np.array(pairs)[o], np.array(ranks)[o]
+        self._scalar: tuple | None = None
+
+    def follow(self, u: int, v: int) -> bool:
+        """``follows`` of one pair, remembered."""
+        if u < 0 or v < 0:
+            return True
+        if self._scalar is None:
+            self._scalar = (dict(zip(self.pairs.tolist(), self.pair_rank.tolist(), strict=True)), self.rank.tolist(), self.left.tolist(), self.right.tolist(), {})
+        pairs, rank, left, right, known = self._scalar
+        n = len(self.piece) + 1
+        asked = u * n + v
+        got = known.get(asked)
+        if got is None:
+            if len(known) > CACHE_PAIRS:
+                known.clear()
+            got, limit = True, 1 << 60
+            while True:
+                if pairs.get(u * n + v, limit) < limit:
+                    got = False
+                    break
+                ru, rv = rank[u], rank[v]
+                if ru < 0 and rv < 0:
+                    break
+                if ru > rv:
+                    limit, u = ru, right[u]
+                else:
+                    limit, v = rv + 1, left[v]
+            known[asked] = got
+        return got
 
     def follows(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Whether each pair of pieces stays a pair when its text is encoded.
@@ -236,14 +267,23 @@ class Encoder:
         came = np.zeros(len(codes) + 1, dtype=np.int64)
         last[begins] = -1
         # A segment's first position is where its predecessor's separator ends, so each has its own.
-        for own, key in ((~long, step), (long, end)):
-            i = np.flatnonzero(own)
-            i = i[np.argsort(key[i], kind="stable")]
-            cuts = np.flatnonzero(np.r_[True, key[i][1:] != key[i][:-1], True]) if len(i) else []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                e = i[a:b]
-                take = e[(last[start[e]] != -2) & m.follows(last[start[e]], token[e])]
-                last[end[take]], came[end[take]] = token[take], start[take]
+        i = np.flatnonzero(~long)
+        i = i[np.argsort(step[i], kind="stable")]
+        cuts = np.flatnonzero(np.r_[True, step[i][1:] != step[i][:-1], True]) if len(i) else []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            e = i[a:b]
+            take = e[(last[start[e]] != -2) & m.follows(last[start[e]], token[e])]
+            last[end[take]], came[end[take]] = token[take], start[take]
+        i = np.flatnonzero(long)
+        if len(i):
+            i = i[np.argsort(end[i], kind="stable")]
+            at: dict[int, int] = dict.fromkeys(begins[sizes > LONG].tolist(), -1)
+            back: dict[int, int] = {}
+            for s, e, t in zip(start[i].tolist(), end[i].tolist(), token[i].tolist(), strict=True):
+                if e not in at and s in at and m.follow(at[s], t):
+                    at[e], back[e] = t, s
+            where = np.fromiter(back, dtype=np.int64, count=len(back))
+            last[where], came[where] = [at[e] for e in back], list(back.values())
         at = begins + sizes
         rows, tokens, places = [], [], []
         live = np.arange(len(sizes))
