@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,8 @@ from pyspark.sql import types as T
 from tessera.sources.facts import FACT, SCHEMA, fact_hash, packed, without
 
 RECORD = T.StructType([*SCHEMA.fields, T.StructField("polarity", T.StringType()), T.StructField("revision", T.StringType()), T.StructField("origin", T.StringType()), T.StructField("edition", T.LongType())])
+#: A fact with the version that wrote it.
+STATE = T.StructType([*SCHEMA.fields, T.StructField("origin", T.StringType()), T.StructField("edition", T.LongType())])
 REVISION = "id string, origin string, edition long, parents array<string>"
 
 
@@ -109,6 +113,31 @@ def merged(base: DataFrame, mine: DataFrame, theirs: DataFrame) -> DataFrame:
     return best.select("the", "of", "_v.*", "cause")
 
 
+def screened(mine: DataFrame, theirs: DataFrame, seen_here: dict[str, int], seen_there: dict[str, int], revision: dict) -> DataFrame:
+    """The records that merging two states (``STATE``) adds to mine, by version vectors.
+
+    A fact that one side alone has, in a version that the other has seen, was removed there,
+    and goes; one that the other hasn't seen stays or comes, in the version that wrote it, so
+    that whoever removes it later is believed. Facts that are the same but for their cause
+    keep the higher. No base is needed: sides that have merged before merge alike.
+    """
+
+    def unseen(side: str, seen: dict[str, int]):
+        known = F.lit(None).cast("long")
+        for origin, edition in seen.items():  # as many as there are writers
+            known = F.when(F.col(f"{side}.origin") == origin, F.lit(edition)).otherwise(known)
+        return F.coalesce(F.col(f"{side}.edition") > known, F.lit(True))
+
+    same = reduce(lambda a, b: a & b, (F.col(f"m.{c}").eqNullSafe(F.col(f"t.{c}")) for c in FACT))
+    both = mine.alias("m").join(theirs.alias("t"), same, "full_outer")
+    here, there = F.col("m.the").isNotNull(), F.col("t.the").isNotNull()
+    higher = here & there & (F.coalesce(F.hex("t.cause"), F.lit("")) > F.coalesce(F.hex("m.cause"), F.lit("")))
+    adds = both.where((~here & unseen("t", seen_here)) | higher).select("t.*", F.lit("assert").alias("polarity"))
+    takes = both.where((~there & ~unseen("m", seen_there)) | higher).select("m.*", F.lit("retract").alias("polarity"))
+    takes = takes.withColumns({"origin": F.lit(revision["origin"]), "edition": F.lit(revision["edition"]).cast("long")})
+    return adds.unionByName(takes).withColumn("revision", F.lit(revision["id"])).select(*RECORD.names)
+
+
 def live(history: DataFrame) -> DataFrame:
     """Facts whose last record, by edition then hash, asserts them."""
     rank = F.struct("edition", "revision", (F.col("polarity") == "assert").alias("a"), fact_hash().alias("h"))

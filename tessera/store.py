@@ -177,11 +177,11 @@ class Branch:
         known = [self.revision(p) for p in parents]
         return {"id": uuid.uuid4().hex, "origin": self.origin, "edition": 1 + max((r["edition"] for r in known), default=0), "parents": parents, "logs": 1 + (known[0]["logs"] if known else 0)}
 
-    def _store(self, rev: dict, facts: DataFrame | None = None) -> dict:
+    def _store(self, rev: dict) -> dict:
         """The revision's record, and a snapshot if logs have piled up."""
         if rev["logs"] >= LOGS:
             self._known[rev["id"]] = rev
-            own = self.facts(rev["id"]) if facts is None else facts
+            own = self._state(rev["id"])
             own = own.repartitionByRange("the", "of").sortWithinPartitions("the", "of")
             own.write.mode("overwrite").partitionBy("the").parquet(f"{self.folder}/snapshot-{rev['id']}")
             rev["logs"] = 0
@@ -193,10 +193,14 @@ class Branch:
         return self.spark.read.schema(H.RECORD).parquet(f"{self.folder}/log-{id}")
 
     def facts(self, revision: str | None = None) -> DataFrame:
-        """The facts at a revision, the head's by default: a snapshot and the logs after it."""
+        """The facts at a revision, the head's by default."""
+        return self._state(revision).select(*SCHEMA.names)
+
+    def _state(self, revision: str | None = None) -> DataFrame:
+        """Facts with the versions that wrote them: a snapshot and the logs after it."""
         at = revision or self._head
         if at is None:
-            return self.spark.createDataFrame([], SCHEMA)
+            return self.spark.createDataFrame([], H.STATE)
         logs: list[str] = []
         rev = self.revision(at)
         while rev["logs"]:
@@ -205,13 +209,14 @@ class Branch:
                 rev = None
                 break
             rev = self.revision(rev["parents"][0])
-        base = self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/snapshot-{rev['id']}").select(*SCHEMA.names) if rev else None
+        base = self.spark.read.schema(H.STATE).parquet(f"{self.folder}/snapshot-{rev['id']}").select(*H.STATE.names) if rev else None
         if not logs:
             return base
-        own = [self._log(x).select(*SCHEMA.names, "polarity", F.lit(-i).alias("_at")) for i, x in enumerate(logs)]
+        own = [self._log(x).withColumn("_at", F.lit(-i)) for i, x in enumerate(logs)]
         key = [*FACT, "cause"]
-        last = reduce(DataFrame.unionByName, own).groupBy(*key).agg(F.max_by("polarity", F.struct("_at", "polarity")).alias("polarity")) if len(own) > 1 else own[0].drop("_at")
-        live = last.where("polarity = 'assert'").select(*SCHEMA.names)
+        newest = F.max_by(F.struct("polarity", "origin", "edition"), "_at").alias("r")
+        last = reduce(DataFrame.unionByName, own).groupBy(*key).agg(newest).select(*key, "r.*") if len(own) > 1 else own[0]
+        live = last.where("polarity = 'assert'").select(*H.STATE.names)
         return live if base is None else without(base, last, key).unionByName(live)
 
     def history(self) -> DataFrame:
@@ -355,13 +360,13 @@ class Branch:
                     continue
                 other._log(rev["id"]).write.mode("overwrite").parquet(f"{self.folder}/log-{rev['id']}")
                 if not rev["logs"]:
-                    own = self.spark.read.schema(SCHEMA).parquet(f"{other.folder}/snapshot-{rev['id']}")
+                    own = self.spark.read.schema(H.STATE).parquet(f"{other.folder}/snapshot-{rev['id']}")
                     own.repartitionByRange("the", "of").sortWithinPartitions("the", "of").write.mode("overwrite").partitionBy("the").parquet(f"{self.folder}/snapshot-{rev['id']}")
                 files.create(self.spark, f"{self.folder}/revisions/{rev['id']}.json", json.dumps(rev))
         return other.head
 
     def pull(self, other: Branch | None = None) -> dict | None:
-        """Adopt, fast-forward or merge another branch's head into this one."""
+        """Adopt, fast-forward or merge (``history.screened``) another branch's head into this one."""
         other = self._upstream(other)
         other.refresh()
         theirs = self.fetch(other)
@@ -372,12 +377,16 @@ class Branch:
         if self._head is None or self._head in above:
             self._move(theirs["id"])
             return self.head
-        shared = [r for r in mine.values() if r["id"] in above]
-        base = max(shared, key=lambda r: (r["edition"], r["id"])) if shared else None
-        start = self.facts(base["id"]) if base else self.spark.createDataFrame([], SCHEMA)
-        before = self.facts()
+
+        def vector(revs: dict[str, dict]) -> dict[str, int]:
+            out: dict[str, int] = {}
+            for r in revs.values():
+                out[r["origin"]] = max(out.get(r["origin"], 0), r["edition"])
+            return out
+
         rev = self._next([self._head, theirs["id"]])
-        return self._write(H.record(before, H.merged(start, before, self.facts(theirs["id"])), rev), rev, True)
+        log = H.screened(self._state(), self._state(theirs["id"]), vector(mine), vector(above), rev)
+        return self._write(log, rev, True)
 
     def push(self, other: Branch | None = None) -> dict | None:
         """Move another branch to this head; refused if that branch has revisions of its own."""

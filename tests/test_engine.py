@@ -359,3 +359,16 @@ def test_entities_as_classes(spark, people):
     s = S(spark, people)
     got = s.query(Concept(tuple((n, a) for n, a in Person.concept.fields if n != "tags")))
     assert {r["this"]: r["nick"] for r in got.collect()}["p:1"] == "annie"
+
+
+def test_absent_values_meet_optional_fields(spark):
+    own = facts(spark, [("t/name", f"p:{i}", f"n{i}") for i in range(4)] + [("t/a", "p:0", "x"), ("t/a", "p:1", "x"), ("t/b", "p:0", "x"), ("t/b", "p:2", "x"), ("t/b", "p:1", "y")])
+    a, b = C(n="t/name:Text", a="t/a:Text?"), C(n="t/name:Text", b="t/b:Text?")
+    # Present meets an equal value; absent passes only where there is no fact.
+    got = S(spark, own).rows([P(a, this="?p", n="_", a="?v"), P(b, this="?p", n="_", b="?v")], select=["p", "v"])
+    assert rows(got.fillna("-")) == [("p:0", "x"), ("p:3", "-")]
+    # A derived field that no premise binds is absent, and no constant meets it.
+    head = C(n="q/n:Text", extra="q/extra:Text?")
+    r = Rule(head, (P(a, this="?this", n="?n"),))
+    assert {x["extra"] for x in S(spark, own, r).query(head).collect()} == {None}
+    assert rows(S(spark, own, r).query(head, this="?p", extra="x")) == []

@@ -29,6 +29,34 @@ def test_replace_retract_assert(spark):
     assert {r["vs"]: r["cause"] for r in same.collect()} == {"one": None, "two": None}
 
 
+def test_merges_by_version(spark, tmp_path):
+    """What one side removed stays removed, whichever way branches have merged before."""
+    at = str(tmp_path / "merge")
+    a = Branch(spark, at, "a")
+    a.transaction().assert_("x/v", "e:1", "one").assert_("x/v", "e:2", "two").commit()
+    b = Branch(spark, at, "b")
+    b.pull(a)
+    values = lambda br: sorted(r["vs"] for r in br.facts().collect())
+    a.transaction().retract("x/v", "e:1", "one").assert_("x/v", "e:3", "a's").commit()
+    b.transaction().replace("x/v", "e:2", "b's").assert_("x/v", "e:4", "new").commit()
+    a.pull(b)
+    assert values(a) == ["a's", "b's", "new"]
+    b.transaction().assert_("x/v", "e:5", "later").commit()
+    b.pull(a)  # both ways
+    assert values(b) == ["a's", "b's", "later", "new"]
+    b.transaction().retract("x/v", "e:3", "a's").commit()  # removes what a wrote
+    a.transaction().retract("x/v", "e:4", "new").assert_("x/v", "e:1", "one").commit()
+    a.pull(b)
+    b.pull(a)
+    assert values(a) == values(b) == ["b's", "later", "one"]
+    # Written anew on one side and removed, as it was, on the other: it stays.
+    a.transaction().retract("x/v", "e:1", "one").commit()
+    a.transaction().assert_("x/v", "e:1", "one").commit()
+    b.transaction().retract("x/v", "e:1", "one").assert_("x/v", "e:6", "z").commit()
+    a.pull(b)
+    assert values(a) == ["b's", "later", "one", "z"]
+
+
 def test_a_batch_keeps_its_order(spark):
     own = facts(spark, [("a/x", "e:1", "old"), ("a/y", "e:1", "kept"), ("a/x", "e:2", "p"), ("a/x", "e:2", "q")])
     put = lambda c: sorted((r["the"], r["of"], r["vs"], r["cause"] is not None) for r in applied(own, c.frame(spark)).collect())
