@@ -36,12 +36,42 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: By session: the batch size it came with, and the one that was set here last.
+_BATCHES: dict[str, tuple[int, int]] = {}
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Have Arrow batches of at most ``rows`` rows, unless fewer are set already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """Have Arrow batches of at most ``rows`` rows, or as few as the session itself asks for.
+
+    What an earlier operator asked for doesn't count.
+    """
+    key, session = "spark.sql.execution.arrow.maxRecordsPerBatch", spark._jsparkSession.sessionUUID()
     now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    own, last = _BATCHES.get(session, (now, 0))
+    if now != last:
+        own = now
+    want = min(own, rows) if own > 0 else rows
+    if now != want:
+        spark.conf.set(key, str(want))
+    _BATCHES[session] = own, want
+
+
+#: Paths of what was written here and not discarded, in order.
+_MADE: list[str] = []
+
+
+def made() -> int:
+    """A mark for ``sweep``."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete what was written after a mark, but for ``keep``, whose lineage has ended."""
+    kept = getattr(keep, "_tessera_path", None)
+    for path in [p for p in _MADE[since:] if p != kept]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _MADE.remove(path)
 
 
 def written(df: DataFrame, what: str = "step") -> DataFrame:
@@ -51,6 +81,7 @@ def written(df: DataFrame, what: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{what}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
@@ -66,6 +97,8 @@ def discard(df: DataFrame) -> None:
         jvm.java.lang.System.gc()
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        if path in _MADE:
+            _MADE.remove(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

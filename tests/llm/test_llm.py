@@ -565,5 +565,20 @@ def test_shared_dir_and_hash(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = common.written(spark.range(5))
     assert df.count() == 5
+    begun = common.made()
+    other, last = common.written(df.where("id > 2")), common.written(df)
+    common.sweep(spark, begun, last)
+    assert last.count() == df.count() == 5 and common.made() == begun + 1
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        other.count()
     common.discard(df)
+    assert common.made() == begun
+    session = spark.newSession()
+    size = lambda: session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for rows, want in ((500, "500"), (2000, "2000"), (10**6, "10000")):
+        common.small_batches(session, rows)
+        assert size() == want
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    common.small_batches(session, 2000)
+    assert size() == "700"
     assert spark.range(1).select(toxicity.fold("id") == F.lit(zlib.crc32(b"0") % 3)).first()[0]
