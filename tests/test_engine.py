@@ -372,3 +372,38 @@ def test_absent_values_meet_optional_fields(spark):
     r = Rule(head, (P(a, this="?this", n="?n"),))
     assert {x["extra"] for x in S(spark, own, r).query(head).collect()} == {None}
     assert rows(S(spark, own, r).query(head, this="?p", extra="x")) == []
+
+
+def test_more_checks(spark, people, monkeypatch):
+    from tessera.plans import compile as compiler
+
+    head, named = C(x="q/x:Text"), P(PERSON, this="?this", name="?n")
+    for when, unless, code in (
+        ((named, P("coalesce", source="?n", fallback="none", is_="?x")), (), "CoalesceTypeMismatch"),
+        ((P(MAYBE, this="?this", nick="?k"), P("coalesce", source="?k", fallback=3, is_="?x")), (), "CoalesceTypeMismatch"),
+        ((P(PERSON, this="?this", name="?x"),), (P(MAYBE, this="?this", nick="?k"),), "NegatedOptional"),
+        ((named, P("text/upper-case", is_="?x")), (), "OmittedCell"),
+        ((named, P("text/upper-case", of="_", is_="?x")), (), "BlankCell"),
+    ):
+        with pytest.raises(QueryError, match=code):
+            S(spark, people, Rule(head, when, unless)).query(head)
+    chain = facts(spark, [("family/parent", f"n:{i}", f"n:{i + 1}", "Entity") for i in range(8)])
+    monkeypatch.setattr(compiler, "MAX_ROUNDS", 2)
+    with pytest.raises(QueryError, match="FixpointDivergence"):
+        S(spark, chain, *ancestors()).query(ANCESTOR)
+
+
+def test_mutual_and_linear_recursion_that_shrinks(spark):
+    """Entities that a removed edge can reach, through the recursion in either form."""
+    from tessera.plans.delta import affected
+
+    edge, path = Concept.of(to=Attribute("g/edge", "Entity", "many")), Concept.of(to=Attribute("g/path", "Entity", "many"))
+    base = Rule(path, (P(edge, this="?this", to="?to"),))
+    right = Rule(path, (P(edge, this="?this", to="?m"), P(path, this="?m", to="?to")))
+    left = Rule(path, (P(path, this="?this", to="?m"), P(edge, this="?m", to="?to")))
+    own = facts(spark, [("g/edge", f"n:{i}", f"n:{i + 1}", "Entity") for i in range(5)])
+    changed = spark.createDataFrame([("g/edge", "n:2")], "the string, of string")
+    sessions = [S(spark, own, base, right), S(spark, own.where("of <> 'n:2'"), base, right)]
+    assert rows(affected(sessions, path, changed, {"g/edge"})) == [("n:0",), ("n:1",), ("n:2",)]
+    assert affected([S(spark, own, base, left)] * 2, path, changed, {"g/edge"}) is None  # the body doesn't tell
+    assert rows(affected(sessions, path, changed, {"other/x"})) == []
