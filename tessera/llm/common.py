@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -60,18 +61,22 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 _MADE: list[str] = []
 
 
-def made() -> int:
-    """A mark for ``sweep``."""
-    return len(_MADE)
+def made() -> list[str]:
+    """Paths of what was written here and not discarded, in order."""
+    return list(_MADE)
 
 
-def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
-    """Delete what was written after a mark, but for ``keep``, whose lineage has ended."""
-    kept = getattr(keep, "_tessera_path", None)
-    for path in [p for p in _MADE[since:] if p != kept]:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        _MADE.remove(path)
+def remove(spark: SparkSession, paths: list[str], reader: DataFrame | None = None) -> list[str]:
+    """Delete written paths, but those that ``reader`` still reads; these are given back."""
+    held = tuple(reader.inputFiles()) if reader is not None and paths else ()
+    kept = [p for p in paths if any(f.startswith(p) or f.removeprefix("file://").startswith(p.removeprefix("file://").rstrip("/")) for f in held)]
+    for path in paths:
+        if path not in kept:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            if path in _MADE:
+                _MADE.remove(path)
+    return kept
 
 
 def written(df: DataFrame, what: str = "step") -> DataFrame:
@@ -88,17 +93,19 @@ def written(df: DataFrame, what: str = "step") -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark clear away the shuffles that nothing refers to any more: it does so as the
+    driver's garbage goes, which may take half an hour otherwise."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the files of a ``written`` frame that nothing reads any more, and have Spark
-    clear away the shuffles that no frame refers to any more: it does so as garbage goes."""
+    """Delete the files of a ``written`` frame that nothing reads any more, and ``release``."""
     path = getattr(df, "_tessera_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        jvm.java.lang.System.gc()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-        if path in _MADE:
-            _MADE.remove(path)
+        release(df.sparkSession)
+        remove(df.sparkSession, [path])
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -225,7 +232,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._tessera_path = edges._tessera_path  # for ``discard``
+    return out
 
 
 def ceil_div(a: int, b: int) -> int:

@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import splittable, written
+from tessera.llm.common import discard, splittable, written
 
 #: Notices by licence: fixed values.
 TEMPLATES = (
@@ -172,9 +172,11 @@ def scan(
     units = F.when(near(F.split(low, GAP)), units)
     names = F.array(*(F.lit(n) for n, _ in templates))
     # Written, as several plans read it and none should compare texts again.
-    own = written(files.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_kept"), path.alias("_path"), named.alias("_named"), units.alias("_units"), F.monotonically_increasing_id().alias("_row")), "lines")
-    best = _best(own.select("_row", F.posexplode("_units").alias("_at", "t")), counts, w)
-    own = written(own.drop("_units").join(splittable(best), "_row", "left").drop("_row"), "licences")
+    units_ = written(files.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_kept"), path.alias("_path"), named.alias("_named"), units.alias("_units"), F.monotonically_increasing_id().alias("_row")), "lines")
+    best = _best(units_.select("_row", F.posexplode("_units").alias("_at", "t")), counts, w)
+    own = written(units_.drop("_units").join(splittable(best), "_row", "left").drop("_row"), "licences")
+    discard(units_)
+    discard(counts)
     own = own.withColumn("_own", F.when(F.col("_best.cosine") >= threshold, F.element_at(names, 1 - F.col("_best.template"))))
     # A licence file speaks for its directory.
     directory = F.regexp_replace("_path", "/?[^/]*$", "")

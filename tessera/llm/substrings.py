@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_long, discard, fresh, mixed, shuffle_partitions, small_batches, splittable, text_bytes, written
+from tessera.llm.common import as_long, discard, fresh, mixed, release, shuffle_partitions, small_batches, splittable, text_bytes, written
 
 GRAM = 8
 #: Different contexts under a minimizer beyond which they are dealt out by a second key.
@@ -369,6 +369,7 @@ def repeated(texts: DataFrame, window: int) -> DataFrame:
     """(row, ranges): of ``texts`` (row, text), the ranges (first, n) of starts whose window repeats."""
     occ = written(_occurrences(texts, window), "occurrences")
     folded = written(occ.groupBy("h", "c1", "c2").agg(F.count("*").alias("weight"), F.min(F.struct("row", "first", "n")).alias("of")), "folded")
+    release(texts.sparkSession)
     by_h = folded.groupBy("h").agg(F.sum("weight").alias("total"), F.count("*").alias("different")).where("total > 1")
     by_h = splittable(by_h.select("h", (F.col("different") > SPLIT).alias("many")))
     able = written(folded.join(by_h, "h").select("h", "c1", "c2", "weight", "of.*", "many"), "able")

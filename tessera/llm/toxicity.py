@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mixed, small_batches, splittable, written
+from tessera.llm.common import discard, mixed, small_batches, splittable, written
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 24_000
@@ -293,7 +293,9 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     weight = F.floor(F.lit(WHOLE * SKETCH) / F.col("likes")) + 1  # no text goes
     share = F.col("y") / (F.col("n") * WHOLE)
     own = rows.join(likes, "key").select("text", weight.alias("w"), F.rint(weight * share).cast("long").alias("pos"))
-    return written(own.select("text", "pos", (F.col("w") - F.col("pos")).alias("neg")), "weighed")
+    out = written(own.select("text", "pos", (F.col("w") - F.col("pos")).alias("neg")), "weighed")
+    discard(rows)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Scorer:
@@ -337,6 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = written(counts, "features")
     # What a test of the sample leaves; the sample bounds it.
     lexicon = choose([(r["w"], r["stem"], r["share"]) for r in telling(counts, total["pos"] or 0, total["neg"] or 0).collect()])
+    discard(counts)
     first = Scorer(lexicon)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,6 +356,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     found = rows.mapInArrow(described, "x array<double>, pos long, neg long").groupBy("x").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()  # at most a row a sampled text
     found = sorted((tuple(r["x"]), r["pos"], r["neg"]) for r in found)
+    discard(rows)
     if not found:
         return first
     nothing = (1.0, *[0.0] * (len(FEATURES) - 1))
