@@ -138,7 +138,10 @@ def test_branch_history_and_pull(spark, tmp_path):
     assert a.view().where("of = 't:9'").count() == 1 and a.facts().where("of = 't:9'").count() == 0
 
 
-def test_induction(spark, tmp_path):
+def test_induction(spark, tmp_path, monkeypatch):
+    from tessera.streaming import induction
+
+    monkeypatch.setattr(induction, "MAX_ROUNDS", 4)
     br = Branch(spark, str(tmp_path / "induce"))
     rule = Rule(OPEN, (P(TASK, this="?this", title="?desc"),), (P(DONE, this="?this", done=True),), head="assert")
     close = Rule(OPEN, (P(OPEN, this="?this", desc="?desc"), P(DONE, this="?this", done=True)), head="retract")
