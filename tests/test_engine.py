@@ -407,3 +407,37 @@ def test_mutual_and_linear_recursion_that_shrinks(spark):
     assert rows(affected(sessions, path, changed, {"g/edge"})) == [("n:0",), ("n:1",), ("n:2",)]
     assert affected([S(spark, own, base, left)] * 2, path, changed, {"g/edge"}) is None  # the body doesn't tell
     assert rows(affected(sessions, path, changed, {"other/x"})) == []
+
+
+def test_shorthand(spark):
+    from tessera.shorthand import expand, read, small
+
+    assert small("RecipeStep") == "recipe-step"
+    doc = {
+        "home": {
+            "unit": {"as": [":tsp", ":mls"]},
+            "amount-int": {"the": "./amount", "as": "UnsignedInteger"},
+            "amount": {"the": "far.away/.", "as": "Float"},
+            "Ingredient": {"with": {"name": {"as": "Text"}, "quantity": ".amount", "kind": "home/unit", "of": "else.where/of"}, "maybe": {"after": {"as": ".Ingredient"}}},
+            "Double": {"with": {"quantity": {"as": "UnsignedInteger"}}},
+            "doubled": {
+                "deduce": {"Double": {"quantity": "?doubled"}},
+                "when": [{"home/amount-int": {"this": "?this", "is": "?quantity"}}, {"math/sum": {"of": "?quantity", "with": "?quantity", "is": "?doubled"}}, {">": {"of": "?doubled", "with": 4}}],
+                "unless": [{"home/Spoilt": {"this": "?this", "since": "_"}}],
+            },
+        }
+    }
+    got = expand(doc)
+    assert got["home/unit"] == {"the": "home/unit", "cardinality": "one", "as": ["home/tsp", "home/mls"]}
+    assert got["home/amount"]["the"] == "far.away/amount" and got["home/amount-int"]["the"] == "home/amount"
+    fields = got["home/Ingredient"]["with"]
+    assert fields["quantity"] == {"the": "home.ingredient/amount"} and fields["of"] == {"the": "else.where/of"} and fields["kind"] == got["home/unit"]
+    assert fields["name"] == {"the": "home.ingredient/name", "cardinality": "one", "as": "Text"} and fields["after"]["optional"]
+    assert got["home/doubled"]["unless"][0]["assert"] == {"with": {"since": {"the": "home.spoilt/since"}}}
+    assert fields["after"] == {"the": "home.ingredient/after", "cardinality": "one", "as": "Entity", "optional": True}
+    doc["home"]["Step"] = {"with": {"uses": {"as": ".Double"}, "next": {"as": ".Step"}}}
+    steps = expand(doc)["home/Step"]["with"]
+    assert steps["uses"]["as"]["with"]["quantity"]["the"] == "home.double/quantity" and steps["next"]["as"] == "Entity"
+    made = read(doc)
+    own = facts(spark, [("home/amount", "i:1", 2), ("home/amount", "i:2", 3), ("home/amount", "i:3", 9), ("home.spoilt/since", "i:3", "may")])
+    assert [(r["this"], int(r["quantity"])) for r in S(spark, own, made["home/doubled"]).query(made["home/Double"]).collect()] == [("i:2", 6)]
