@@ -184,11 +184,20 @@ class Model:
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of suffixes in the order of their first ``depth`` codes, by prefix doubling."""
+    """Starts of suffixes in the order of their first ``depth`` codes, by prefix doubling
+    from as many codes as fit a word."""
     rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
-    have = 1
-    order = np.argsort(rank, kind="stable")
-    while have < depth:
+    bits = int(rank.max(initial=1)).bit_length()
+    have = max(1, min(depth, 62 // bits, len(codes)))
+    key = np.zeros(len(codes), dtype=np.int64)
+    for j in range(have):
+        key <<= bits
+        key[: len(codes) - j] |= rank[j:]
+    order = np.argsort(key, kind="stable")
+    s = key[order]
+    rank = np.empty(len(codes), dtype=np.int64)
+    rank[order] = np.cumsum(np.r_[1, s[1:] != s[:-1]])
+    while have < depth and rank[order[-1]] < len(codes):
         key = rank * (len(codes) + 2)
         key[:-have] += rank[have:] if have < len(codes) else 0
         order = np.argsort(key, kind="stable")
@@ -196,8 +205,6 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
         rank = np.empty(len(codes), dtype=np.int64)
         rank[order] = np.cumsum(np.r_[1, s[1:] != s[:-1]])
         have *= 2
-        if rank[order[-1]] == len(codes):
-            break
     return order
 
 
@@ -268,8 +275,10 @@ class Encoder:
         last[begins] = -1
         # A segment's first position is where its predecessor's separator ends, so each has its own.
         i = np.flatnonzero(~long)
-        i = i[np.argsort(step[i], kind="stable")]
-        cuts = np.flatnonzero(np.r_[True, step[i][1:] != step[i][:-1], True]) if len(i) else []
+        own = step[i].astype(np.int16)  # at most LONG; sorted by radix
+        order = np.argsort(own, kind="stable")
+        i, own = i[order], own[order]
+        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(i) else []
         for a, b in zip(cuts, cuts[1:], strict=False):
             e = i[a:b]
             take = e[(last[start[e]] != -2) & m.follows(last[start[e]], token[e])]
@@ -300,18 +309,14 @@ class Encoder:
         o = np.lexsort((place, row))
         row, tok, place = row[o], tok[o], place[o]
         ids = tok.astype("<u4").tobytes()
-        cuts = np.searchsorted(row, np.arange(len(sizes) + 1)).tolist()
-        plain = np.ones(len(sizes), dtype=bool)
-        plain[row[tok < 0]] = False
-        for s, text in enumerate(segments):
-            a, b = cuts[s], cuts[s + 1]
-            if plain[s]:
-                self.known[text] = ids[4 * a : 4 * b]
-            else:
-                out: list[int] = []
-                for t, c in zip(tok[a:b].tolist(), codes[place[a:b]].tolist(), strict=True):
-                    out += [t] if t >= 0 else [m.byte.get(x, m.unknown) for x in chr(c).encode()] if m.byte else [m.unknown]
-                self.known[text] = np.array(out, dtype="<u4").tobytes()
+        cuts = np.searchsorted(row, np.arange(len(sizes) + 1))
+        at_byte = (4 * cuts).tolist()
+        self.known.update(zip(segments, [ids[a:b] for a, b in zip(at_byte, at_byte[1:], strict=False)], strict=True))
+        for s in np.unique(row[tok < 0]).tolist():  # characters that are no piece
+            out: list[int] = []
+            for t, c in zip(tok[cuts[s] : cuts[s + 1]].tolist(), codes[place[cuts[s] : cuts[s + 1]]].tolist(), strict=True):
+                out += [t] if t >= 0 else [m.byte.get(x, m.unknown) for x in chr(c).encode()] if m.byte else [m.unknown]
+            self.known[segments[s]] = np.array(out, dtype="<u4").tobytes()
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -331,7 +336,7 @@ class Encoder:
                 new = set().union(*split)
             part: list[str] = []
             held = 0
-            for s in sorted(new):
+            for s in new:
                 part.append(s)
                 held += len(s) + 1
                 if held >= INDEX_CHARS:
