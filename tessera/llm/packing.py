@@ -94,24 +94,27 @@ class WordIds:
             self.known.clear()
         if len(self.letters) + len(words) > CACHE_WORDS:
             self.letters.clear()
-        parts, other = {}, []
-        for w in words:
-            core = w.lower().rstrip(MARKS)
-            if core and PLAIN.issuperset(core.decode()):
-                parts[w] = core
-            else:
+        own = list(words)
+        cores = [w.lower().rstrip(MARKS) for w in own]
+        new = [c for c in set(cores).difference(self.letters) if c.isalpha() or (c and PLAIN.issuperset(c.decode()))]
+        for at in range(0, len(new), 4000):
+            self.letters.update(zip(new[at : at + 4000], self._encode_letters(new[at : at + 4000]), strict=True))
+        letters = self.letters.get
+        other, ends, marked = [], [], []
+        for w, core in zip(own, cores, strict=True):
+            ids = letters(core)
+            if ids is None:
                 other.append(w)
-        for keep, new, encode in (
-            (self.letters, list({c for c in parts.values() if c not in self.letters}), self._encode_letters),
-            (self.known, other, self._encode),
-        ):
-            for at in range(0, len(new), 4000):
-                keep.update(zip(new[at : at + 4000], encode(new[at : at + 4000]), strict=True))
-        for w, core in parts.items():
-            marks = w[len(core) :]
-            if marks and marks not in self.known:
-                self.known[marks] = self._encode([marks])[0]
-            self.known[w] = self.letters[core] + (self.known[marks] if marks else b"")
+            elif len(core) == len(w):
+                self.known[w] = ids
+            else:
+                ends.append(w[len(core) :])
+                marked.append((w, ids))
+        other += set(ends).difference(self.known)
+        for at in range(0, len(other), 4000):
+            self.known.update(zip(other[at : at + 4000], self._encode(other[at : at + 4000]), strict=True))
+        known = self.known
+        known.update([(w, ids + known[end]) for (w, ids), end in zip(marked, ends, strict=True)])
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
