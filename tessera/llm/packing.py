@@ -12,7 +12,6 @@ executor places its own pieces.
 from __future__ import annotations
 
 import bisect
-import itertools
 import json
 import os
 import unicodedata
@@ -22,11 +21,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, splittable, text_bytes, written
+from tessera.llm.common import small_batches, splittable, written
 
 #: Classes that lengths are rounded up to in the program, and its rounds.
 CLASSES = 128
@@ -37,7 +37,7 @@ SHARES = (0.9, 0.5, 0.2, 0.05)
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 700_000
 #: Bytes of text whose words are looked up together.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 8 << 20
 #: Marks that end a word, each its own run after letters.
 MARKS = b".,!?;:%#*$&"
 
@@ -46,10 +46,11 @@ def _plain() -> frozenset[str]:
     """Letters that stay one letter each when they are composed or lower-cased.
 
     From the Latin, Greek and Cyrillic blocks, where all versions of Unicode agree; a letter
-    like the dotted capital I, whose small form is a letter and a mark, is none of them.
+    like the dotted capital I, whose small form is a letter and a mark, is none of them, nor
+    is the capital sigma, whose small form hangs on its place.
     """
     same = lambda c: unicodedata.normalize("NFC", c) == c and len(c) == 1 and c.isalpha()
-    return frozenset(c for c in map(chr, range(0x530)) if same(c) and same(c.lower()))
+    return frozenset(c for c in map(chr, range(0x530)) if same(c) and same(c.lower()) and c != "Σ")
 
 
 PLAIN = _plain()
@@ -69,77 +70,114 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        own = json.loads(self.tokenizer.to_str())
+        suffix = own["model"].get("end_of_word_suffix")
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
+        # Small plain letters need none of the steps before the model but the cut into words.
+        own |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.lean = Tokenizer.from_str(json.dumps(own | {"added_tokens": []}))
         self.known: dict[bytes, bytes] = {}
-        self.letters: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast([x.decode() for x in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+        out: list[bytes] = []
+        for at in range(0, len(words), 4000):
+            got = self.tokenizer.encode_batch_fast([x.decode() for x in words[at : at + 4000]], add_special_tokens=False)
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+        return out
 
     def _encode_letters(self, words: list[bytes]) -> list[bytes]:
-        """Words of plain letters, each a single run: encoded together and cut where one ends."""
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words) or cuts[-1] != len(ids):  # this tokenizer has no mark for the end of a run
-            return self._encode(words)
-        raw, cuts = ids.tobytes(), (4 * cuts).tolist()
-        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        if len(self.letters) + len(words) > CACHE_WORDS:
-            self.letters.clear()
-        own = list(words)
-        cores = [w.lower().rstrip(MARKS) for w in own]
-        new = [c for c in set(cores).difference(self.letters) if c.isalpha() or (c and PLAIN.issuperset(c.decode()))]
-        for at in range(0, len(new), 4000):
-            self.letters.update(zip(new[at : at + 4000], self._encode_letters(new[at : at + 4000]), strict=True))
-        letters = self.letters.get
-        other, ends, marked = [], [], []
-        for w, core in zip(own, cores, strict=True):
-            ids = letters(core)
-            if ids is None:
-                other.append(w)
-            elif len(core) == len(w):
-                self.known[w] = ids
-            else:
-                ends.append(w[len(core) :])
-                marked.append((w, ids))
-        other += set(ends).difference(self.known)
-        for at in range(0, len(other), 4000):
-            self.known.update(zip(other[at : at + 4000], self._encode(other[at : at + 4000]), strict=True))
-        known = self.known
-        known.update([(w, ids + known[end]) for (w, ids), end in zip(marked, ends, strict=True)])
-
-    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Words of small plain letters, each a single run: encoded together and cut where one ends."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 4000):
+            part = words[at : at + 4000]
+            ids = np.array(self.lean.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):  # this tokenizer has no mark for the end of a run
+                out += self._encode(part)
+                continue
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return out
+
+    def _found(self, word: bytes) -> bytes | None:
+        got = self.known.get(word)
+        return self.old.get(word) if got is None else got
+
+    def _learned(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that aren't remembered."""
+        cores = []
+        for w in words:
+            core = w.lower().rstrip(MARKS)
+            if not core.isalpha():  # not ASCII letters alone
+                letters = core.decode()
+                core = letters.lower().encode() if letters and PLAIN.issuperset(letters) else b""
+            cores.append(core)
+        wanted = [c for c in set(cores) if c and self._found(c) is None]
+        made = dict(zip(wanted, self._encode_letters(wanted), strict=True))
+        marks = {w[len(w.rstrip(MARKS)) :] for w, c in zip(words, cores, strict=True) if c}
+        other = [w for w, c in zip(words, cores, strict=True) if not c] + [m for m in marks if m and self._found(m) is None]
+        whole = dict(zip(other, self._encode(other), strict=True)) | {b"": b""}
+        self.known.update(made)
+
+        def ids(w: bytes, core: bytes) -> bytes:
+            if not core:
+                return whole[w]
+            own = made.get(core) or self._found(core)
+            end = w[len(w.rstrip(MARKS)) :]
+            return own + (whole.get(end) or self._found(end)) if end else own
+
+        out = [ids(w, c) for w, c in zip(words, cores, strict=True)]
+        self.known.update((m, whole[m]) for m in marks if m in whole and m)
+        return out
+
+    def values(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words. Of two generations the older goes as the younger fills up, so
+        that common words stay."""
+        out: list = list(map(self.known.get, words))
+        new = [i for i, v in enumerate(out) if v is None]
+        if new:
+            for i in new:
+                out[i] = self.old.get(words[i])
+            fresh = [i for i in new if out[i] is None]
+            for i, v in zip(fresh, self._learned([words[i] for i in fresh]), strict=True):
+                out[i] = v
+            if len(words) <= CACHE_WORDS // 2:  # one text may have more distinct words than are remembered
+                self.known.update((words[i], out[i]) for i in new)
+            if len(self.known) > CACHE_WORDS // 2:
+                self.old, self.known = self.known, {}
+        return out
+
+    def __call__(self, texts: pa.Array | list[bytes]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; null counts as empty.
+
+        Words are told apart and numbered by Arrow, and only distinct ones become objects.
+        """
+        if isinstance(texts, list):
+            texts = pa.array([t.decode() for t in texts], pa.string())
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP_BYTES):
-                size += len(texts[end])
-                end += 1
-            split = [t.split() for t in texts[at:end]]
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP_BYTES, side="right")))
+            lists = pc.ascii_split_whitespace(texts.slice(at, end - at))
+            coded = lists.flatten().dictionary_encode()
+            own = self.values(coded.dictionary.cast(pa.binary()).to_pylist())
+            size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+            ids = np.frombuffer(b"".join(own), dtype="<u4")
+            word = coded.indices.to_numpy()
+            n = size[word]
+            total = np.cumsum(n)
+            place = np.repeat((np.cumsum(size) - size)[word] - (total - n), n)
+            place += np.arange(len(place))
+            out = ids[place].tobytes()
+            offsets = lists.offsets.to_numpy()
+            cuts = (4 * np.r_[0, total][offsets - offsets[0]]).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield out[a:b]
             at = end
-            words = set(itertools.chain.from_iterable(split))
-            if len(words) > CACHE_WORDS // 2:  # one text with more distinct words than are remembered
-                for own in split:
-                    yield b"".join(x for i in range(0, len(own), 4000) for x in self._encode(own[i : i + 4000]))
-                continue
-            new = words.difference(self.known)
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = words
-            if new:
-                self.learn(new)
-            known = self.known.__getitem__
-            for own in split:
-                yield b"".join(map(known, own))
 
 
 _OPEN: dict[str, WordIds] = {}
@@ -161,7 +199,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for b in batches:
             row, piece, start, length, crc, rank = [], [], [], [], [], []
-            for i, ids in enumerate(encode(text_bytes(b.column(1)))):
+            for i, ids in enumerate(encode(b.column(1))):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     own = ids[at : at + step]
