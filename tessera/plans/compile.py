@@ -257,8 +257,9 @@ class Session:
         if name.endswith("/revision-parent"):
             df = own.select(F.col("id").alias("of"), F.col("id").alias("this"), F.explode(F.array_distinct("parents")).alias("parent"))
             return Relation(df, {n: Slot("Text") for n in df.columns})
-        df = own.select(F.col("id").alias("of"), F.col("id").alias("this"), F.col("origin").alias("branch"), F.col("edition").cast(red.INT).alias("edition"))
-        return Relation(df, {n: Slot("Text") for n in ("of", "this", "branch")} | {"edition": Slot("UnsignedInteger")})
+        writer = {n: F.col("origin").alias(n) for n in ("branch", "issuer", "authority")}  # there are no signatures
+        df = own.select(F.col("id").alias("of"), F.col("id").alias("this"), *writer.values(), F.col("edition").cast(red.INT).alias("edition"))
+        return Relation(df, {n: Slot("Text") for n in ("of", "this", *writer)} | {"edition": Slot("UnsignedInteger")})
 
     def _scan(self, p: Premise) -> Relation:
         the = p.terms.get("the")

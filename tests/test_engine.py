@@ -441,3 +441,11 @@ def test_shorthand(spark):
     made = read(doc)
     own = facts(spark, [("home/amount", "i:1", 2), ("home/amount", "i:2", 3), ("home/amount", "i:3", 9), ("home.spoilt/since", "i:3", "may")])
     assert [(r["this"], int(r["quantity"])) for r in S(spark, own, made["home/doubled"]).query(made["home/Double"]).collect()] == [("i:2", 6)]
+
+
+def test_single_attributes(spark, people):
+    s = S(spark, people)
+    name = Attribute("person/name", "Text")
+    assert rows(s.rows([P(name, of="?p", is_="Bob")], select=["p"])) == [("p:2",)]
+    assert rows(s.rows([P(name, of="?p", is_="?n"), P(Attribute("person/nick"), of="?p", is_="?k"), P("type", of="?k", is_="text")], select=["n"])) == [("Ann",)]
+    assert rows(s.rows([P(Attribute("person/age", "Float"), the="person/age", of="?p", is_="?a")], select=["p", "a"])) == [("p:2", 41.5)]

@@ -322,7 +322,7 @@ def test_revision_premises(spark):
     own = facts(spark, [("note/at", "n:1", "r2")])
     s = Session(spark, NarrowFacts(own), revisions=revs)
     note = P(C(at="note/at:Text"), this="?n", at="?r")
-    got = s.rows([note, P("history/revision", of="?r", branch="?b", edition="?e"), P("history/revision-parent", of="?r", parent="?p")], select=["n", "b", "e", "p"])
+    got = s.rows([note, P("history/revision", of="?r", branch="?b", issuer="?b", edition="?e"), P("history/revision-parent", of="?r", parent="?p")], select=["n", "b", "e", "p"])
     assert rows(got) == [("n:1", "b", 2, "r1")]
 
 
@@ -368,3 +368,31 @@ def test_blob_index(spark):
     again = put(drop(gone, b"a"), (b"a", 1), (b"b", 2))
     assert sorted((bytes(h), v, n) for h, v, n in rows(again.list())) == [(b"a", 1, 1), (b"b", 1, 2)]
     assert [tuple(r) for r in again.get(b"b").collect()] == [(1, 2)]
+
+
+def test_statements(spark):
+    """A concept's values as writes, taken back, and kept for some entities only."""
+    person = Concept.of(name=Attribute("p/name", "Text"), tag=Attribute("p/tag", "Symbol", "many"), age=Attribute("p/age", "UnsignedInteger", optional=True))
+    c = Changes().concept(person, "p:1", name="Ann", tag="a/b").concept(person, "p:2", name="Bob", age=3)
+    assert [(r[0], r[1], r[2]) for r in c.rows] == [("replace", "p/name", "p:1"), ("assert", "p/tag", "p:1"), ("replace", "p/name", "p:2"), ("replace", "p/age", "p:2")]
+    own = applied(facts(spark, []), c.frame(spark))
+    assert own.count() == 4 and rows(applied(own, c.reverted().frame(spark))) == []
+    assert {r["of"] for r in applied(own, c.reverted().retain(["p:1"]).frame(spark)).collect()} == {"p:2"}
+    with pytest.raises(QueryError, match="ValueRange"):
+        Changes().concept(person, "p:3", age=-1)
+
+
+def test_layers_of_branches(spark, tmp_path):
+    """Facts and rules of branches beside each other, and of an overlay."""
+    a, b = (Branch(spark, str(tmp_path / "layers"), x) for x in "ab")
+    shout = Rule(C(loud="task/loud:Text"), (P(TASK, this="?this", title="?t"), P("text/upper-case", of="?t", is_="?loud")))
+    a.transaction().assert_("task/title", "t:1", "dig").commit()
+    b.transaction().install(shout).assert_("task/title", "t:2", "eat").commit()
+    loud = C(loud="task/loud:Text")
+    assert rows(a.session().query(loud)) == [] and rows(a.session(b).query(loud)) == [("t:1", "DIG"), ("t:2", "EAT")]
+    laid = Changes()
+    laid.rows += a.transaction().install(shout).changes.rows
+    a.overlay(laid.assert_("task/title", "t:3", "here"), Changes().assert_("task/title", "t:1", "dig"))
+    assert rows(a.session().query(loud)) == [("t:3", "HERE")]
+    a.clear_overlay()
+    assert rows(a.session().query(loud)) == []
