@@ -6,6 +6,7 @@ import gc
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +140,20 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def strung(own: list[bytes], index: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+    """Runs of 32-bit ids: ``own[i]`` for each of ``index``, cut at ``offsets`` into it."""
+    size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+    ids = np.frombuffer(b"".join(own), dtype="<u4")
+    n = size[index]
+    total = np.cumsum(n)
+    place = np.repeat((np.cumsum(size) - size)[index] - (total - n), n)
+    place += np.arange(len(place))
+    out = ids[place].tobytes()
+    cuts = (4 * np.r_[0, total][offsets]).tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield out[a:b]
+
+
 def as_long(values: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as Spark's longs, bit for bit."""
     return np.ascontiguousarray(values, dtype=np.uint64).view(np.int64)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, splittable, written
+from tessera.llm.common import small_batches, splittable, strung, written
 
 #: Classes that lengths are rounded up to in the program, and its rounds.
 CLASSES = 128
@@ -165,18 +165,8 @@ class WordIds:
             lists = pc.ascii_split_whitespace(texts.slice(at, end - at))
             coded = lists.flatten().dictionary_encode()
             own = self.values(coded.dictionary.cast(pa.binary()).to_pylist())
-            size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
-            ids = np.frombuffer(b"".join(own), dtype="<u4")
-            word = coded.indices.to_numpy()
-            n = size[word]
-            total = np.cumsum(n)
-            place = np.repeat((np.cumsum(size) - size)[word] - (total - n), n)
-            place += np.arange(len(place))
-            out = ids[place].tobytes()
             offsets = lists.offsets.to_numpy()
-            cuts = (4 * np.r_[0, total][offsets - offsets[0]]).tolist()
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                yield out[a:b]
+            yield from strung(own, coded.indices.to_numpy(), offsets - offsets[0])
             at = end
 
 

@@ -11,7 +11,6 @@ own encoding leaves both whole. So relaxation needs no scores of paths.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import small_batches, strung, text_bytes
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
@@ -212,6 +211,7 @@ class Encoder:
     def __init__(self, path: str):
         self.model = m = Model(path)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.depth = max(len(m.piece[i]) for i in m.usable)
         self.size = np.array([len(m.piece[i]) for i in m.usable])
         self.chars = np.zeros((len(m.usable), self.depth), dtype=np.int64)
@@ -219,10 +219,31 @@ class Encoder:
             self.chars[r, : self.size[r]] = [ord(c) for c in m.piece[i]]
         self.tokens = np.array(m.usable)
         self.single = np.array(sorted(ord(p) for p in m.id if len(p) == 1))
-        if m.splittable:
-            self.cut = re.compile(r" *[^ \n]+| +|\n" if m.newline else r" *[^ ]+| +")
-        else:
-            self.cut = re.compile(r"(?s).+")
+
+    def cut(self, texts: list[bytes]) -> tuple[pa.StringArray, np.ndarray]:
+        """Segments of texts laid end to end, and where each text's begin.
+
+        Pieces hold spaces at their beginning only, and no line break, so a segment is a run of
+        spaces with the characters after it, or a line break; a model whose pieces hold more has
+        whole texts for segments.
+        """
+        data = b"".join(texts)
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        begins = np.cumsum(sizes) - sizes
+        raw = np.frombuffer(data, dtype=np.uint8)
+        first = np.zeros(len(raw) + 1, dtype=bool)
+        first[begins] = True
+        first = first[:-1]
+        if self.model.splittable and len(raw):
+            space = raw == 32
+            first[1:] |= space[1:] & ~space[:-1]
+            if self.model.newline:
+                line = raw == 10
+                first |= line
+                first[1:] |= line[:-1]
+        starts = np.flatnonzero(first)
+        offsets = np.r_[starts, len(raw)].astype(np.int32)
+        return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)), np.searchsorted(starts, np.r_[begins, len(raw)])
 
     def occurrences(self, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Range of the suffix array that begins with each piece, by binary search."""
@@ -318,35 +339,46 @@ class Encoder:
                 out += [t] if t >= 0 else [m.byte.get(x, m.unknown) for x in chr(c).encode()] if m.byte else [m.unknown]
             self.known[segments[s]] = np.array(out, dtype="<u4").tobytes()
 
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        lead = " " if self.model.dummy else ""
+    def values(self, segments: list[str]) -> list[bytes]:
+        """Ids of distinct segments. Of two generations of remembered ones the older goes as the
+        younger fills up, so that common ones stay."""
+        known, old = self.known, self.old
+        out: list = list(map(known.get, segments))
+        new = [i for i, v in enumerate(out) if v is None]
+        part: list[str] = []
+        held = 0
+        for i in new:
+            s = segments[i]
+            got = old.get(s)
+            if got is not None:
+                known[s] = got
+                continue
+            part.append(s)
+            held += len(s) + 1
+            if held >= INDEX_CHARS:
+                self.learn(part)
+                part, held = [], 0
+        if part:
+            self.learn(part)
+        for i in new:
+            out[i] = known[segments[i]]
+        if len(known) > CACHE_SEGMENTS // 2:
+            self.old, self.known = known, {}
+        return out
+
+    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each UTF-8 text; an empty one has none."""
+        lead, mark = (b" " if self.model.dummy else b""), SPACE.encode()
         at = 0
         while at < len(texts):
-            split: list[list[str]] = []
-            size = 0
-            while at < len(texts) and (not split or size + len(texts[at] or "") <= GROUP_BYTES):
-                t = texts[at]
-                size += len(t or "")
-                split.append(self.cut.findall(lead + t.replace(SPACE, " ")) if t else [])
-                at += 1
-            new = set().union(*split).difference(self.known)
-            if len(self.known) + len(new) > CACHE_SEGMENTS:
-                self.known.clear()
-                new = set().union(*split)
-            part: list[str] = []
-            held = 0
-            for s in new:
-                part.append(s)
-                held += len(s) + 1
-                if held >= INDEX_CHARS:
-                    self.learn(part)
-                    part, held = [], 0
-            if part:
-                self.learn(part)
-            known = self.known.__getitem__
-            for own in split:
-                yield b"".join(map(known, own))
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP_BYTES):
+                size += len(texts[end])
+                end += 1
+            segments, offsets = self.cut([lead + t.replace(mark, b" ") if t else t for t in texts[at:end]])
+            coded = segments.dictionary_encode()
+            yield from strung(self.values(coded.dictionary.to_pylist()), coded.indices.to_numpy(), offsets)
+            at = end
 
 
 class Decoder:
@@ -391,13 +423,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = opened(Encoder, model)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            raw = list(encoder(texts))
+            raw = list(encoder(text_bytes(b.column(1))))
             offsets = np.cumsum([0] + [len(x) // 4 for x in raw])
             values = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
             ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-            nulls = pa.array([t is None for t in texts])
-            ids = pa.compute.if_else(nulls, pa.scalar(None, ids.type), ids)
+            ids = pa.compute.if_else(b.column(1).is_null(), pa.scalar(None, ids.type), ids)
             yield pa.RecordBatch.from_arrays([b.column(0), ids], ["id", "ids"])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -427,7 +457,7 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = opened(Encoder, model), opened(Decoder, model)
         for b in batches:
-            raw = list(encoder(b.column(1).to_pylist()))
+            raw = list(encoder(text_bytes(b.column(1))))
             sha = [hashlib.sha256(decoder(np.frombuffer(x, dtype="<u4")).encode()).hexdigest() for x in raw]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(sha, pa.string())],
