@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to Python at once; bounds a worker's memory when texts are long.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
+#: The same where much is made of each text.
+FEW_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

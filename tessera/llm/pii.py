@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import FEW_ROWS, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
 BASE = KINDS[:4]
@@ -278,7 +278,7 @@ class Model:
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """Count vote patterns over all documents, then estimate. The driver gets patterns only."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, FEW_ROWS)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -311,7 +311,7 @@ def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     Offsets are code points, ends exclusive. Null and empty texts have no spans; rows
     with equal or null ids are documents of their own; an empty table gives an empty one.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, FEW_ROWS)
     probability = (model or fit(docs, text_col)).probability
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +342,7 @@ def redacted(t: str, spans: list[tuple[str, int, int]]) -> str:
 
 def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with personal data replaced in ``text_col``; other columns and nulls stay."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, FEW_ROWS)
     probability = (model or fit(docs, text_col)).probability
     at = docs.columns.index(text_col)
 

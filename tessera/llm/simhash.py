@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import as_long, components, forest, fresh, small_batches, splittable, text_bytes, written
+from tessera.llm.common import FEW_ROWS, as_long, components, forest, fresh, small_batches, splittable, text_bytes, written
 
 BITS = 64
 #: Rows of a tile beyond which it is split into square sub-tiles.
@@ -174,7 +174,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
     Null ids come last. Fingerprints and links are those of ``near_duplicates``.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, FEW_ROWS)
     at = docs.columns.index(text_col)
     columns, mark = docs.columns, fresh("_fp", docs.columns)
 

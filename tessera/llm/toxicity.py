@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, mixed, small_batches, splittable, written
+from tessera.llm.common import FEW_ROWS, discard, mixed, small_batches, splittable, written
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 24_000
@@ -285,7 +285,7 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
             got = [sketch(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.list_(pa.int64()))], [*b.schema.names, "sketch"])
 
-    small_batches(spark, 500)
+    small_batches(spark, FEW_ROWS)
     rows = written(rows.mapInArrow(each, "key string, text string, n long, y long, sketch array<long>"), "sampled")
     marks = rows.select("key", F.posexplode("sketch").alias("i", "m"))
     alike = marks.groupBy("i", "m").agg(F.count("*").alias("alike"))
@@ -370,7 +370,7 @@ def scores(docs: DataFrame, model: Scorer, text_col: str = "text", out_col: str
     Null and empty texts have the score of a text without hits. Other columns, nulls and
     repeated rows stay as they are; an empty table stays empty.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, FEW_ROWS)
     kept = [c for c in docs.columns if c != out_col]
     at = kept.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # short strings, as many as a bounded sample holds
