@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,11 +72,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_KNOWN.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
 class Stretch:
-    """Hashes of all runs of words in a row of words."""
+    """Hashes of all runs of words in a row of words, given by their own hashes."""
 
-    def __init__(self, words: list[bytes]):
-        w = np.fromiter(map(_KNOWN.__getitem__, words), dtype=np.uint64, count=len(words))
+    def __init__(self, words: np.ndarray):
+        w = words
         up, self.down = _powers(len(words) + 1)
         self.total = np.zeros(len(words) + 1, dtype=np.uint64)
         np.cumsum(w * up[: len(w)], out=self.total[1:])
@@ -85,8 +90,8 @@ class Stretch:
         return mixed((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def contexts(sizes: np.ndarray, words: list[bytes], window: int, common: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Of documents of ``sizes`` words laid end to end: (document, first window's start
+def contexts(sizes: np.ndarray, words: np.ndarray, window: int, common: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Of documents of ``sizes`` words, as hashes, laid end to end: (document, first window's start
     there, number of windows, minimizer hash) of every context. Grams whose hash is in
     ``common`` are least of all only where a window holds no other."""
     gram = min(GRAM, window)
@@ -129,8 +134,12 @@ def _halves(contexts: list[bytes]) -> np.ndarray:
 
 def _sliced(words: list[bytes], first: np.ndarray, size: np.ndarray) -> list[bytes]:
     """words[a : a + n], joined by spaces, for each of ``first`` and ``size``."""
-    text = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    return _between(b" ".join(words), ends, first, size)
+
+
+def _between(text: bytes, ends: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """The same of words that are joined already; ``ends``: where each word's successor begins."""
     begins = np.r_[0, ends[:-1]]
     return [text[a:b] for a, b in zip(begins[first].tolist(), (ends[first + size - 1] - 1).tolist(), strict=True)]
 
@@ -147,30 +156,40 @@ def _occurrences(texts: DataFrame, window: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.column(0).to_numpy()
-            units: list[tuple[int, int, list[bytes]]] = []  # row, first word, words
+            lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(b.column(1), "")))
+            coded = lists.flatten().dictionary_encode()
+            hashes = hashed(coded.dictionary.cast(pa.binary()).to_pylist())[coded.indices.to_numpy()]
+            long = pc.binary_length(coded.dictionary).to_numpy().astype(np.int64)[coded.indices.to_numpy()]
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            offsets -= offsets[0]
+            joined = text_bytes(pc.binary_join(lists, " "))
+            units: list[tuple[int, int, int]] = []  # row, first word, words
             held = 0
 
-            def out(units: list[tuple[int, int, list[bytes]]], rows: np.ndarray = rows) -> pa.RecordBatch:
-                words = [x for _, _, w in units for x in w]
-                sizes = np.array([len(w) for _, _, w in units])
-                d, first, n, h = contexts(sizes, words, window)
-                c = _halves(_sliced(words, first + (np.cumsum(sizes) - sizes)[d], n + window - 1)) if len(d) else np.empty((0, 2), np.int64)
-                row, off = (np.array([u[i] for u in units], dtype=np.int64)[d] for i in (0, 1))
+            def out(units: list[tuple[int, int, int]], rows=rows, hashes=hashes, long=long, offsets=offsets, joined=joined) -> pa.RecordBatch:
+                u = np.array(units, dtype=np.int64)
+                own = np.concatenate([np.arange(offsets[r] + a, offsets[r] + a + m) for r, a, m in units])
+                d, first, n, h = contexts(u[:, 2], hashes[own], window)
+                parts = []
+                for r, a, m in units:  # stretches of a text are its bytes from one word to another
+                    if a == 0 and m == offsets[r + 1] - offsets[r]:
+                        parts.append(joined[r])
+                    else:
+                        at = np.r_[0, np.cumsum(long[offsets[r] : offsets[r + 1]] + 1)]
+                        parts.append(joined[r][at[a] : at[a + m] - 1])
+                c = _halves(_between(b" ".join(parts), np.cumsum(long[own] + 1), first + (np.cumsum(u[:, 2]) - u[:, 2])[d], n + window - 1)) if len(d) else np.empty((0, 2), np.int64)
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(rows[row]), pa.array((first + off).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(as_long(h)), pa.array(c[:, 0]), pa.array(c[:, 1])], names
+                    [pa.array(rows[u[d, 0]]), pa.array((first + u[d, 1]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(as_long(h)), pa.array(c[:, 0]), pa.array(c[:, 1])], names
                 )
 
-            for i, text in enumerate(text_bytes(b.column(1))):
-                words = text.split()
-                if len(words) < window:
-                    continue
-                for at in range(0, len(words) - window + 1, STRETCH):
-                    part = words[at : at + STRETCH + window - 1]
-                    if units and held + len(part) > TOGETHER:
+            for i, m in enumerate(np.diff(offsets).tolist()):
+                for at in range(0, m - window + 1, STRETCH):
+                    part = min(m - at, STRETCH + window - 1)
+                    if units and held + part > TOGETHER:
                         yield out(units)
                         units, held = [], 0
                     units.append((i, at, part))
-                    held += len(part)
+                    held += part
             if units:
                 yield out(units)
 
@@ -336,7 +355,7 @@ def _split(pieces: DataFrame, window: int) -> DataFrame:
             for key, text in zip(b["h"].to_pylist(), b["words"].to_pylist(), strict=True):
                 words = text.split(b" ")
                 at = np.arange(len(words) - gram + 1)
-                own = np.unique(Stretch(words).runs(at, at + gram))
+                own = np.unique(Stretch(hashed(words)).runs(at, at + gram))
                 h.append(np.full(len(own), key))
                 g.append(as_long(own))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (h, g)], ["h", "g"])
@@ -350,7 +369,7 @@ def _split(pieces: DataFrame, window: int) -> DataFrame:
             rows = []
             for h, c1, c2, weight, text, common in zip(*(b[x].to_pylist() for x in ("h", "c1", "c2", "weight", "words", "common")), strict=True):
                 words = text.split(b" ")
-                _, first, n, key = contexts(np.array([len(words)]), words, window, np.array(common or [], dtype=np.int64).view(np.uint64))
+                _, first, n, key = contexts(np.array([len(words)]), hashed(words), window, np.array(common or [], dtype=np.int64).view(np.uint64))
                 key = as_long(mixed(key ^ np.array([h], dtype=np.int64).view(np.uint64)))
                 own = _sliced(words, first, n + window - 1)
                 rows += [(k, *c, weight, x, h, c1, c2, a) for k, c, x, a in zip(key.tolist(), _halves(own).tolist(), own, first.tolist(), strict=True)]
@@ -446,18 +465,31 @@ def without_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     return marked.mapInArrow(each, docs.schema)
 
 
+def _joined(texts: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+    """Numbers of words, and the words joined by one space, of each text; null counts as empty."""
+    texts = pc.ascii_trim_whitespace(pc.fill_null(texts, ""))
+    lists = pc.ascii_split_whitespace(texts)
+    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    n[pc.equal(texts, "").to_numpy(zero_copy_only=False)] = 0
+    return n, text_bytes(pc.binary_join(lists, " "))
+
+
 def _apply(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, gone, sha, kept = [], [], [], []
-        for raw, ranges in zip(b["text"].to_pylist(), b["ranges"].to_pylist(), strict=True):
-            words = (raw or "").encode().split()
-            left = kept_words(words, [(x["first"], x["n"]) for x in ranges or ()], window)
-            text = b" ".join(left)
-            n.append(len(words))
-            gone.append(len(words) - len(left))
+        n, own = _joined(b["text"])
+        gone, sha, kept = [], [], []
+        for raw, text, ranges in zip(b["text"].to_pylist(), own, b["ranges"].to_pylist(), strict=True):
+            if ranges:
+                words = text.split(b" ")
+                left = kept_words(words, [(x["first"], x["n"]) for x in ranges], window)
+                text = b" ".join(left)
+                gone.append(len(words) - len(left))
+                kept.append(text.decode())
+            else:
+                gone.append(0)
+                kept.append(raw)
             sha.append(hashlib.sha256(text).hexdigest())
-            kept.append(raw if len(left) == len(words) else text.decode())
-        yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([b["id"], pa.array(n), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
 def _shards(texts: list[list[bytes]]) -> list[SuffixAutomaton]:
