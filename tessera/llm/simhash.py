@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import FEW_ROWS, as_long, components, forest, fresh, small_batches, splittable, text_bytes, written
+from tessera.llm.common import FEW_ROWS, as_long, components, forest, fresh, mixed, small_batches, splittable, text_bytes, written
 
 BITS = 64
 #: Rows of a tile beyond which it is split into square sub-tiles.
@@ -51,6 +51,40 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
+def wide(own: np.ndarray, words: int) -> np.ndarray:
+    """The SimHash of a set of 64-bit hashes, ``words`` longs of it: a bit is 1 if over half
+    of the set's members have it.
+
+    Members are extended by mixing and counted bit by bit in planes: three rows of one
+    weight become one of that weight and one of twice it.
+    """
+    planes: list[np.ndarray] = []
+    level = np.empty((0, words), np.uint64)
+    steps = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rows = [mixed(own[at : at + (1 << 13), None] + steps) for at in range(0, len(own), 1 << 13)]
+    level = np.concatenate(rows) if rows else level
+    while len(level):
+        carried = []
+        while len(level) > 1:
+            if len(level) == 2:
+                level = np.concatenate([level, np.zeros((1, words), np.uint64)])
+            t = len(level) // 3
+            a, b, c = level[:t], level[t : 2 * t], level[2 * t : 3 * t]
+            odd = a ^ b
+            carried.append((a & b) | (c & odd))
+            level = np.concatenate([odd ^ c, level[3 * t :]])
+        planes.append(level[0])
+        level = np.concatenate(carried) if carried else level[:0]
+    half, over, even = len(own) // 2, np.zeros(words, np.uint64), np.full(words, np.iinfo(np.uint64).max)
+    for k in reversed(range(len(planes))):
+        if half >> k & 1:
+            even &= planes[k]
+        else:
+            over |= even & planes[k]
+            even &= ~planes[k]
+    return over
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """(id, fp): each row's fingerprint, as the long with the same bits."""
     small_batches(docs.sparkSession)

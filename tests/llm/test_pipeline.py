@@ -138,3 +138,37 @@ def test_near_copies(spark, monkeypatch, tile_rows):
     assert got.columns == frame.columns
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(group))
     assert C.drop_near_copies(spark, frame.limit(0), "").collect() == []
+
+
+def test_near_copies_are_found_by_simhash(spark, monkeypatch):
+    """The stage's candidates are SimHashes that agree on a block and lie within the radius."""
+    rng = random.Random(5)
+    for n in (0, 1, 2, 5, 64, 301):
+        own = np.array([rng.getrandbits(64) for _ in range(n)], dtype=np.uint64)
+        got = simhash.wide(own, 3)
+        for k in range(3):
+            members = [int(x) for x in simhash.mixed(own + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))]
+            assert int(got[k]) == sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in members) > n)
+    words = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
+    texts, pairs = [], []
+    for k in range(300):
+        own = words(60 + k)
+        texts.append(" ".join(own))
+        own[20] = "changed"
+        if k % 2:
+            own[40 + k // 10] = "as well"
+        texts.append(" ".join(own))
+        if near(texts[-2], texts[-1]) >= 0.8:
+            pairs.append((2 * k, 2 * k + 1))
+    assert len(pairs) > 250
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    root = {r["node"]: r["root"] for r in jaccard.candidates(frame, 0.8).collect()}
+    assert all(root.get(b) == root.get(a, a) for a, b in pairs)
+    hashes = [simhash.wide(jaccard.shingles(t.encode()), jaccard.LONGS) for t in texts]
+    for b, a in root.items():  # pairs alone: no text is near any but its copy
+        assert a == b - 1 and b % 2 == 1
+        assert np.bitwise_count(hashes[a][: jaccard.SIGNED] ^ hashes[b][: jaccard.SIGNED]).sum() <= jaccard.radius(0.8)
+    rows = [(i, t, "en", "src", 1) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(jaccard, "radius", lambda least: -1)  # no SimHash is near any
+    assert C.drop_near_copies(spark, frame, "").count() == len(rows)
