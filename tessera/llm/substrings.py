@@ -15,7 +15,9 @@ automaton is built in the task that streams the shard's passages:
    counts occurrences by weight, and it alone decides which windows repeat.
 4. A minimizer with more than ``SPLIT`` different contexts (a very common line) is dealt
    out further: its contexts' windows are keyed anew by their least gram that few of them
-   hold, folded again and sent to shards of their own.
+   hold, folded again and sent to shards of their own, and so on while that helps. Which
+   grams many hold is told from ``SAMPLE`` of the contexts: whatever is told, equal windows
+   get equal keys, so only the shards' sizes hang on it.
 
 A given reference is broadcast as automata, a block of bounded size at a time
 (``remove_matches``).
@@ -38,6 +40,8 @@ from tessera.llm.common import as_long, discard, fresh, mixed, release, shuffle_
 GRAM = 8
 #: Different contexts under a minimizer beyond which they are dealt out by a second key.
 SPLIT = 256
+#: Contexts under such a minimizer that show which grams they share.
+SAMPLE = 64
 #: Words an automaton holds before the next one is begun.
 SHARD_WORDS = 60_000
 #: Words handled at once; a longer document is keyed in overlapping stretches.
@@ -326,27 +330,27 @@ def _judged(pieces: DataFrame, window: int) -> DataFrame:
 
 
 def _cut(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The words of the contexts (h, c1, c2, weight, many) that ``wanted`` names, by text."""
-    names = ["h", "c1", "c2", "weight", "many", "words"]
-    kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
+    """The words of the contexts (h, c1, c2, weight, different) that ``wanted`` names, by text."""
+    names = ["h", "c1", "c2", "weight", "different", "words"]
+    kinds = [pa.int64()] * 5 + [pa.binary()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for text, wants in zip(text_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
                 words = text.split()
-                rows += [(x["h"], x["c1"], x["c2"], x["weight"], x["many"], b" ".join(words[x["first"] : x["first"] + x["n"] + window - 1])) for x in wants]
+                rows += [(x["h"], x["c1"], x["c2"], x["weight"], x["different"], b" ".join(words[x["first"] : x["first"] + x["n"] + window - 1])) for x in wants]
                 if len(rows) > 20_000:
                     yield _longs(rows, names, kinds)
                     rows = []
             yield _longs(rows, names, kinds)
 
-    by_text = wanted.groupBy("row").agg(F.collect_list(F.struct("first", "n", "h", "c1", "c2", "weight", "many")).alias("wanted"))
-    return texts.join(splittable(by_text), "row").select("text", "wanted").mapInArrow(each, "h long, c1 long, c2 long, weight long, many boolean, words binary")
+    by_text = wanted.groupBy("row").agg(F.collect_list(F.struct("first", "n", "h", "c1", "c2", "weight", "different")).alias("wanted"))
+    return texts.join(splittable(by_text), "row").select("text", "wanted").mapInArrow(each, "h long, c1 long, c2 long, weight long, different long, words binary")
 
 
-def _split(pieces: DataFrame, window: int) -> DataFrame:
-    """(h, c1, c2, at, m) of pieces under very common minimizers, dealt out by a second key."""
+def _grams(pieces: DataFrame, window: int) -> DataFrame:
+    """(h, g): the grams of some ``SAMPLE`` contexts of each minimizer."""
     gram = min(GRAM, window)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,8 +364,24 @@ def _split(pieces: DataFrame, window: int) -> DataFrame:
                 g.append(as_long(own))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (h, g)], ["h", "g"])
 
-    many = pieces.select("h", "words").mapInArrow(grams, "h long, g long").groupBy("h", "g").count().where(F.col("count") > SPLIT)
-    many = splittable(many.groupBy("h").agg(F.collect_list("g").alias("common")))
+    # Halves of a SHA-256 are as good as random.
+    return pieces.where(F.pmod("c1", "different") < SAMPLE).select("h", "words").mapInArrow(grams, "h long, g long")
+
+
+def _shared(pieces: DataFrame, window: int) -> DataFrame:
+    """(h, common): the grams that, going by the sample, over half of ``SPLIT`` of a minimizer's contexts hold."""
+    held = _grams(pieces, window).groupBy("h", "g").count().where("count > 1")
+    sizes = splittable(pieces.select("h", "different").distinct())
+    held = held.join(sizes, "h").where(2 * F.col("count") * F.col("different") > SAMPLE * SPLIT)
+    return held.groupBy("h").agg(F.collect_list("g").alias("common"))
+
+
+def _split(pieces: DataFrame, window: int, largest: int) -> DataFrame:
+    """(h, c1, c2, at, m) of pieces under very common minimizers, dealt out by a second key.
+
+    ``largest``: how many different contexts a minimizer has at most.
+    """
+    many = splittable(_shared(pieces, window))
     names = ["h", "c1", "c2", "weight", "words", "h0", "c10", "c20", "off"]
 
     def anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +398,14 @@ def _split(pieces: DataFrame, window: int) -> DataFrame:
     parts = pieces.join(many, "h", "left").select("h", "c1", "c2", "weight", "words", "common")
     parts = written(parts.mapInArrow(anew, "h long, c1 long, c2 long, weight long, words binary, h0 long, c10 long, c20 long, off int"), "parts")
     folded = parts.groupBy("h", "c1", "c2").agg(F.sum("weight").alias("weight"), F.any_value("words").alias("words"))
-    found = _judged(folded, window).groupBy("h", "c1", "c2").agg(F.collect_list(F.struct("at", "m")).alias("found"))
+    hot = written(parts.select("h", "c1", "c2").distinct().groupBy("h").agg(F.count("*").alias("different")).where(F.col("different") > SPLIT), "hot")
+    now = hot.agg(F.max("different").alias("n")).first()["n"] or 0
+    if 0 < 2 * now <= largest:
+        again = written(folded.join(splittable(hot), "h"), "again")
+        judged = _judged(folded.join(splittable(hot), "h", "left_anti"), window).unionByName(_split(again, window, now))
+    else:  # no second key sets the rest apart: their automaton is as large as it is
+        judged = _judged(folded, window)
+    found = judged.groupBy("h", "c1", "c2").agg(F.collect_list(F.struct("at", "m")).alias("found"))
     back = parts.select("h", "c1", "c2", "h0", "c10", "c20", "off").join(splittable(found, merge=True), ["h", "c1", "c2"])
     back = back.select("h0", "c10", "c20", "off", F.explode("found").alias("x"))
     return back.select(F.col("h0").alias("h"), F.col("c10").alias("c1"), F.col("c20").alias("c2"), (F.col("off") + F.col("x.at")).alias("at"), F.col("x.m").alias("m"))
@@ -390,12 +417,15 @@ def repeated(texts: DataFrame, window: int) -> DataFrame:
     folded = written(occ.groupBy("h", "c1", "c2").agg(F.count("*").alias("weight"), F.min(F.struct("row", "first", "n")).alias("of")), "folded")
     release(texts.sparkSession)
     by_h = folded.groupBy("h").agg(F.sum("weight").alias("total"), F.count("*").alias("different")).where("total > 1")
-    by_h = splittable(by_h.select("h", (F.col("different") > SPLIT).alias("many")))
-    able = written(folded.join(by_h, "h").select("h", "c1", "c2", "weight", "of.*", "many"), "able")
+    by_h = splittable(by_h.select("h", "different"))
+    able = written(folded.join(by_h, "h").select("h", "c1", "c2", "weight", "of.*", "different"), "able")
     discard(folded)
     pieces = written(_cut(texts, able, window), "pieces")
     discard(able)
-    judged = _judged(pieces.where("not many"), window).unionByName(_split(pieces.where("many"), window))
+    judged = _judged(pieces.where(F.col("different") <= SPLIT), window)
+    largest = pieces.agg(F.max("different").alias("n")).first()["n"] or 0
+    if largest > SPLIT:
+        judged = judged.unionByName(_split(pieces.where(F.col("different") > SPLIT), window, largest))
     found = written(judged.groupBy("h", "c1", "c2").agg(F.collect_list(F.struct("at", "m")).alias("found")), "judged")
     discard(pieces)
     # Occurrences lie in files by text, so those of a common context are spread over them.

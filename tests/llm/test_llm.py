@@ -111,6 +111,24 @@ def test_common_lines_in_all_orders(spark, monkeypatch):
     got = substrings.substring_dedup(frame(spark, rows), 35).collect()
     assert sorted((r["id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == [(i, *x) for (i, _), x in zip(rows, brute_removed(rows, 35), strict=True)]
 
+@pytest.mark.parametrize("sample", [1, 64])
+def test_grams_of_a_sample_of_contexts(spark, monkeypatch, sample):
+    """A common line makes rows of grams for some of its contexts only; whatever they tell, results are whole."""
+    monkeypatch.setattr(substrings, "SAMPLE", sample)
+    rng = random.Random(13)
+    own = [(7, i, i, 1, 3000, " ".join(words(rng, 40)).encode()) for i in range(3000)]
+    pieces = spark.createDataFrame(own, "h long, c1 long, c2 long, weight long, different long, words binary")
+    grams = substrings._grams(pieces, 35)
+    assert grams.columns == ["h", "g"] and grams.count() == sample * 33
+    monkeypatch.setattr(substrings, "SPLIT", 4)
+    line, twice = words(rng, 12), words(rng, 36)
+    own = [[*words(rng, 40), *line, *words(rng, 40), *(twice if i % 9 == 0 else [])] for i in range(60)]
+    own += [[*line, *twice[i:], *line, *own[i][20:]] for i in range(9)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(own)]
+    got = substrings.substring_dedup(frame(spark, rows), 35).collect()
+    assert sorted((r["id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == [(i, *x) for (i, _), x in zip(rows, brute_removed(rows, 35), strict=True)]
+
+
 def test_automaton_counts():
     rng = random.Random(1)
     for _ in range(200):
