@@ -74,6 +74,7 @@ class Weights:
         self.vocabulary = sorted({t for _, text in templates for t in tokens(text)})
         self.idf = {t: idf(n, df.get(t, 0)) for t in self.vocabulary}
         self.n = n
+        self.threshold = threshold
         self.vectors: list[dict[str, float]] = []
         needed: set[str] = set()
         for _, text in templates:
@@ -102,31 +103,45 @@ def _adding(weights: Column):
     return lambda a, t: a + F.coalesce(F.element_at(weights, t), F.lit(0.0))
 
 
-def _best(units: DataFrame, counts: DataFrame, w: Weights) -> DataFrame:
-    """(_row, _best) of ``units`` (_row, _at, t): struct(cosine, template) of the template
-    nearest to any of a row's token arrays.
+def _best(hopeful: DataFrame, counts: DataFrame, w: Weights) -> DataFrame:
+    """(_row, _best) of ``_hopeful`` units: struct(cosine, template) of the template nearest to
+    any of a row's token arrays."""
+    # Tokens of no template weigh by their own document frequency.
+    odd = hopeful.select("_row", "_at", F.explode("o").alias("token")).groupBy("_row", "_at", "token").agg(F.count("*").alias("tf"))
+    heavy = F.log((1.0 + F.lit(w.n)) / (1.0 + F.col("df"))) + 1.0
+    odd = odd.join(splittable(counts), "token").groupBy("_row", "_at").agg(F.sum(F.pow(F.col("tf") * heavy, F.lit(2.0))).alias("odd"))
+    own = hopeful.join(splittable(odd), ["_row", "_at"], "left")
+    own = own.select("_row", "dots", F.sqrt(F.col("square") + F.coalesce("odd", F.lit(0.0))).alias("norm"))
+    # Rounded, so that ties don't hang on the order of sums; ties go to the first template.
+    found = F.transform("dots", lambda d, j: F.struct(F.round(F.when(F.col("norm") > 0, d / F.col("norm")).otherwise(0.0), 9).alias("cosine"), (-j).alias("template")))
+    return own.select("_row", F.array_max(found).alias("_best")).groupBy("_row").agg(F.max("_best").alias("_best"))
+
 
-    One step a column of intermediate results, so that nothing is computed twice.
+def _hopeful(units: DataFrame, w: Weights) -> DataFrame:
+    """(_row, _at, o, dots, square) of the ``units`` (_row, _at, t) that may reach the threshold:
+    tokens of no template, products with the templates, the square of the known tokens' length.
+
+    No token weighs less than 1, as none is in more texts than there are, so the length of all
+    the others is at least that of their counts. One step a column of intermediate results, so
+    that nothing is computed twice.
     """
     weight = _map(w.idf)
     known = lambda t: F.map_contains_key(weight, t)
-    # Tokens of no template weigh by their own document frequency.
-    odd = units.select("_row", "_at", F.explode(F.filter("t", lambda t: ~known(t))).alias("token")).groupBy("_row", "_at", "token").agg(F.count("*").alias("tf"))
-    heavy = F.log((1.0 + F.lit(w.n)) / (1.0 + F.col("df"))) + 1.0
-    odd = odd.join(splittable(counts), "token").groupBy("_row", "_at").agg(F.sum(F.pow(F.col("tf") * heavy, F.lit(2.0))).alias("odd"))
-    own = units.select("_row", "_at", F.filter("t", known).alias("m")).join(splittable(odd), ["_row", "_at"], "left")
+    own = units.select("_row", "_at", F.filter("t", known).alias("m"), F.filter("t", lambda t: ~known(t)).alias("o"))
     square = F.aggregate(
         F.array_distinct("m"),
-        F.coalesce("odd", F.lit(0.0)),
+        F.lit(0.0),
         lambda a, d: a + F.pow(F.size(F.filter("m", lambda x: x == d)).cast("double") * F.element_at(weight, d), F.lit(2.0)),
     )
-    own = own.select("_row", "m", F.sqrt(square).alias("norm"))
-    found = []
-    for j, vector in enumerate(w.vectors):
-        dot = F.aggregate("m", F.lit(0.0), _adding(_map({t: x * w.idf[t] for t, x in vector.items()})))
-        # Rounded, so that ties don't hang on the order of sums; ties go to the first template.
-        found.append(F.struct(F.round(F.when(F.col("norm") > 0, dot / F.col("norm")).otherwise(0.0), 9).alias("cosine"), F.lit(-j).alias("template")))
-    return own.select("_row", F.array_max(F.array(*found)).alias("_best")).groupBy("_row").agg(F.max("_best").alias("_best"))
+    dots = [F.aggregate("m", F.lit(0.0), _adding(_map({t: x * w.idf[t] for t, x in vector.items()}))) for vector in w.vectors]
+    own = own.select("_row", "_at", "o", F.array(*dots).alias("dots"), square.alias("square"))
+    # Written, as the optimizer would compute all of it again in the filter.
+    own = written(own, "units")
+    # At least one of each, so that counting them suffices.
+    least = F.sqrt(F.col("square") + F.size("o"))
+    out = own.where(F.array_max("dots") >= (w.threshold - 1e-6) * least)
+    out._tessera_path = own._tessera_path  # for ``discard``
+    return out
 
 
 def frequencies(files: DataFrame, text_col: str) -> DataFrame:
@@ -173,9 +188,11 @@ def scan(
     names = F.array(*(F.lit(n) for n, _ in templates))
     # Written, as several plans read it and none should compare texts again.
     units_ = written(files.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_kept"), path.alias("_path"), named.alias("_named"), units.alias("_units"), F.monotonically_increasing_id().alias("_row")), "lines")
-    best = _best(units_.select("_row", F.posexplode("_units").alias("_at", "t")), counts, w)
+    hopeful = _hopeful(units_.select("_row", F.posexplode("_units").alias("_at", "t")), w)
+    best = _best(hopeful, counts, w)
     own = written(units_.drop("_units").join(splittable(best), "_row", "left").drop("_row"), "licences")
     discard(units_)
+    discard(hopeful)
     discard(counts)
     own = own.withColumn("_own", F.when(F.col("_best.cosine") >= threshold, F.element_at(names, 1 - F.col("_best.template"))))
     # A licence file speaks for its directory.

@@ -277,6 +277,22 @@ def test_licences_weigh_all_tokens(spark):
     assert got["a.txt"] == ("MIT", pytest.approx(want, abs=1e-8)) and got["b.txt"] == (None, None)
 
 
+def test_licences_weigh_few_lines(spark):
+    """Tokens of lines that can't reach the threshold aren't joined with their frequencies, and nothing else is lost."""
+    rng = random.Random(3)
+    notice = "Released under the MIT License."
+    rows = [(f"p/{i}.txt", " ".join([*words(rng, i % 70), notice, *words(rng, i % 3)])) for i in range(140)]
+    df = Counter(t for _, x in rows for t in set(licences.tokens(x)))
+    w = licences.Weights(len(rows), df, licences.TEMPLATES, licences.THRESHOLD)
+    units = spark.createDataFrame([(i, 0, licences.tokens(x)) for i, (_, x) in enumerate(rows)], "_row long, _at int, t array<string>")
+    hopeful = {r["_row"] for r in licences._hopeful(units, w).collect()}
+    want = plain_licences(rows, licences.TEMPLATES, licences.THRESHOLD)
+    own = {i for i, x in enumerate(want) if x[2] == "own"}
+    assert own and own <= hopeful and len(hopeful) < 40
+    got = licences.scan(spark.createDataFrame(rows, "path string, text string"))
+    assert sorted((r["path"], str(r["licence"]), str(r["via"])) for r in got.collect()) == sorted((p, str(x), str(v)) for p, x, v in want)
+
+
 def test_lexicon_automaton():
     def distance(a, b):
         row = list(range(len(b) + 1))
