@@ -59,22 +59,22 @@ def wide(own: np.ndarray, words: int) -> np.ndarray:
     weight become one of that weight and one of twice it.
     """
     planes: list[np.ndarray] = []
-    level = np.empty((0, words), np.uint64)
     steps = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    rows = [mixed(own[at : at + (1 << 13), None] + steps) for at in range(0, len(own), 1 << 13)]
-    level = np.concatenate(rows) if rows else level
-    while len(level):
-        carried = []
-        while len(level) > 1:
-            if len(level) == 2:
-                level = np.concatenate([level, np.zeros((1, words), np.uint64)])
-            t = len(level) // 3
-            a, b, c = level[:t], level[t : 2 * t], level[2 * t : 3 * t]
-            odd = a ^ b
-            carried.append((a & b) | (c & odd))
-            level = np.concatenate([odd ^ c, level[3 * t :]])
-        planes.append(level[0])
-        level = np.concatenate(carried) if carried else level[:0]
+    for at in range(0, len(own), 2048):
+        level, k = mixed(own[at : at + 2048, None] + steps), 0
+        while len(level):
+            level = np.concatenate([level, *(x[None] for x in planes[k : k + 1])])
+            carried = []
+            while len(level) > 1:
+                if len(level) == 2:
+                    level = np.concatenate([level, np.zeros((1, words), np.uint64)])
+                t = len(level) // 3
+                a, b, c = level[:t], level[t : 2 * t], level[2 * t : 3 * t]
+                odd = a ^ b
+                carried.append((a & b) | (c & odd))
+                level = np.concatenate([odd ^ c, level[3 * t :]])
+            planes[k : k + 1] = [level[0]]
+            level, k = np.concatenate(carried) if carried else level[:0], k + 1
     half, over, even = len(own) // 2, np.zeros(words, np.uint64), np.full(words, np.iinfo(np.uint64).max)
     for k in reversed(range(len(planes))):
         if half >> k & 1:

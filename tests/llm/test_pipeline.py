@@ -143,7 +143,7 @@ def test_near_copies(spark, monkeypatch, tile_rows):
 def test_near_copies_are_found_by_simhash(spark, monkeypatch):
     """The stage's candidates are SimHashes that agree on a block and lie within the radius."""
     rng = random.Random(5)
-    for n in (0, 1, 2, 5, 64, 301):
+    for n in (0, 1, 2, 5, 64, 301, 5000):
         own = np.array([rng.getrandbits(64) for _ in range(n)], dtype=np.uint64)
         got = simhash.wide(own, 3)
         for k in range(3):
