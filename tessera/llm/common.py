@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 #: The same where much is made of each text.
 FEW_ROWS = 500
+#: Links (16 bytes each) up to which components may be found on the driver.
+FEW_LINKS = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -206,14 +208,25 @@ def _summary(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def gathered(links: DataFrame) -> DataFrame:
+    """``components`` of links that the driver holds at once."""
+    own = links.select("u", "v").toArrow()
+    node, root = forest(own["u"].to_numpy(), own["v"].to_numpy())
+    table = pa.table({"node": pa.array(node, pa.int64()), "root": pa.array(root, pa.int64())})
+    return written(links.sparkSession.createDataFrame(table, "node long, root long").coalesce(1), "links")
+
+
+def components(links: DataFrame, max_rounds: int = 60, few: int = 0) -> DataFrame:
     """Connected components of ``links`` (u long, v long) as (node, root), root the least node.
 
     Alternating large-star and small-star steps: each round every node hands its
     neighbours to the least of them. No node's neighbours meet in one task: minima are
     aggregated before the shuffle, joins can be split, and each round is written to the
-    shared folder. Self links only name their node.
+    shared folder. Self links only name their node. ``links`` that are written already and
+    no more than ``few`` are ``gathered`` instead: rounds take seconds each, however few.
     """
+    if few and links.count() <= few:
+        return gathered(links)
     edges = written(
         links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links"
     )

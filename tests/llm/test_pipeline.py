@@ -10,8 +10,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
-from tessera.llm import jaccard, pii, simhash
-from tessera.llm.common import written
+from tessera.llm import common, jaccard, pii, simhash
+from tessera.llm.common import components, written
 
 
 def corpus():
@@ -140,6 +140,24 @@ def test_near_copies(spark, monkeypatch, tile_rows):
     assert C.drop_near_copies(spark, frame.limit(0), "").collect() == []
 
 
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """Near copies of a small table are linked without rounds of tables; more links give the same by rounds."""
+    rng = random.Random(9)
+    pairs = [(rng.randrange(90), rng.randrange(90)) for _ in range(50)] + [(200 + i, 201 + i) for i in range(5)] + [(300, 300)]
+    frame = spark.createDataFrame(pairs, "u long, v long")
+    few, many = (sorted(map(tuple, components(frame, few=n).collect())) for n in (len(pairs), len(pairs) - 1))
+    assert few == many and (205, 200) in few
+    for own in ([(5, 5)], []):
+        assert components(spark.createDataFrame(own, "u long, v long"), few=1).collect() == []
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*base[: i + 1], f"x{i}", *base[i + 2 :]]), "en", "src", 1) for i in range(70)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    made, put = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, what="step": made.append(what) or put(df, what))
+    assert [r["doc_id"] for r in C.drop_near_copies(spark, frame, "").collect()] == [0]
+    assert made and not {"large", "small"} & {*made}
+
+
 def test_near_copies_are_found_by_simhash(spark, monkeypatch):
     """The stage's candidates are SimHashes that agree on a block and lie within the radius."""
     rng = random.Random(5)
